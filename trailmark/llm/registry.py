@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup", "sharding", "simhash_dedup"]
+MODULES = ["line_dedup", "sharding", "simhash_dedup", "quality_rules", "bpe_automaton", "decontamination"]
 
 
 def _all(name: str) -> dict:
