@@ -106,12 +106,12 @@ _FAILED = " OR ".join(f"({rule})" for _, rule in RULES)
 QUERIES = {"op8_quality_rules": op8_quality_rules}
 SQL = {"op8_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 g AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS st FROM d WHERE len(w) >= 3),
 x AS (SELECT rid, st, list_slice(w, st, st + 2) AS tri FROM g),
 r AS (SELECT rid, st, count(*) OVER (PARTITION BY rid, tri) AS n FROM x),
 c AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([st, st + 1, st + 2]) AS p FROM r WHERE n >= 2) GROUP BY rid),
-m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!!')) AS n_shouts
       FROM d LEFT JOIN c USING (rid))
