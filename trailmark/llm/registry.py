@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup", "sharding", "simhash_dedup", "quality_rules", "bpe_automaton", "decontamination"]
+MODULES = ["line_dedup", "sharding", "language_id", "url_filter", "simhash_dedup", "weak_quality", "bpe_automaton", "quality_rules", "decontamination", "html_extract"]
 
 
 def _all(name: str) -> dict:
