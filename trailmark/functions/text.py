@@ -163,7 +163,7 @@ def tuner_value(c: Column, key: str, low: int, high: int) -> Column:
     loose = key.replace("_", "[ _-]")
     raw = F.regexp_extract(plain, rf"(?is)config:.*?\"?{loose}\"?\s*:\s*\"?(-?\d+)", 1)
     raw = F.coalesce(F.nullif(raw, F.lit("")), F.nullif(F.regexp_extract(plain, rf"(?is)\"?{loose}\"?\s*[:=]\s*\"?(-?\d+)", 1), F.lit("")))
-    return F.greatest(F.lit(low), F.least(F.lit(high), raw.cast("long")))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), raw.cast("long"))))
 
 
 def canonical_map(m: Column) -> Column:
@@ -188,7 +188,7 @@ def strip_keys(m: Column) -> Column:
 def fenced_json(c: Column) -> Column:
     """The JSON text of a reply: itself, or the inside of a ```json or other fence; null if none parses."""
     tries = [c, F.regexp_extract(c, r"(?s)```json\s*(.*?)```", 1), F.regexp_extract(c, r"(?s)```\w*\s*(.*?)```", 1), F.regexp_extract(c, r"(?s)(\{.*\})", 1)]
-    ok = lambda x: F.when(F.from_json(F.when(F.startswith(F.ltrim(x), F.lit("{")), x), "map<string,string>").isNotNull(), F.trim(x))
+    ok = lambda x: F.when(F.from_json(F.when(F.startswith(F.ltrim(x), F.lit("{")), x), "map<string,string>").isNotNull(), F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.coalesce(*[ok(x) for x in tries])
 
 
