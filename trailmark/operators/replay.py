@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("run_id").orderBy("step")
+
+def by_step():
+    return Window.partitionBy("run_id").orderBy("step")
 
 
 def matched(guesses: str = "guesses", move: str = "move") -> Column:
@@ -26,8 +28,9 @@ def confident(guesses: str = "guesses", scores: str = "scores", least: float = 5
     return F.when((F.size(guesses) <= 1) | (F.size(scores) == 0) | F.col(scores).isNull(), F.col(guesses)).otherwise(kept)
 
 
-def states(steps: DataFrame, match: Column | None = None, order=ORDER) -> DataFrame:
+def states(steps: DataFrame, match: Column | None = None, order=None) -> DataFrame:
     """steps with m (match), hit and skip."""
+    order = order or by_step()
     s = steps.withColumn("m", matched() if match is None else match)
     last_miss = F.max(F.when(~F.col("m"), F.col("step"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     s = s.withColumn("hit", F.col("m") & ((F.col("step") - F.coalesce(last_miss, F.lit(-1))) % 2 == 1))
@@ -38,7 +41,7 @@ def replay(steps: DataFrame, targets: list[int], confidence: bool = False) -> Da
     """Per run and target: times, tokens, hits and ratios over the first `target` steps. The next step's time and tokens are
     taken before the trajectory is cut."""
     s = steps.withColumn("guesses", confident()) if confidence else steps
-    s = s.withColumn("k", F.size("guesses")).withColumn("t1", F.lead("t").over(ORDER)).withColumn("w1", F.lead("w").over(ORDER)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
+    s = s.withColumn("k", F.size("guesses")).withColumn("t1", F.lead("t").over(by_step())).withColumn("w1", F.lead("w").over(by_step())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
     s = states(s)
     s = s.withColumn("target", F.explode(F.array(*map(F.lit, targets)))).withColumn("cut", F.least("target", "n")).where("step < cut")
     last = F.col("step") == F.col("cut") - 1
@@ -65,16 +68,16 @@ def carried(steps: DataFrame) -> DataFrame:
     """After a match, a step's time and tokens come from the previous step's speculation at the place of the match."""
     at = F.array_position("guesses", F.col("move"))
     s = steps.withColumn("spec_t", F.get(F.transform("guesses", lambda x, i: F.col("g") + i), (at - 1).cast("int"))).withColumn("m", at > 0)
-    was = F.lag("m").over(ORDER)
-    return s.select("run_id", "step", F.coalesce(was, F.lit(False)).alias("carried"), F.round(F.when(was, F.lag("spec_t").over(ORDER)).otherwise(F.col("t")), 4).alias("agent_t"))
+    was = F.lag("m").over(by_step())
+    return s.select("run_id", "step", F.coalesce(was, F.lit(False)).alias("carried"), F.round(F.when(was, F.lag("spec_t").over(by_step())).otherwise(F.col("t")), 4).alias("agent_t"))
 
 
 def live_counters(steps: DataFrame) -> DataFrame:
     """Running totals of the live loop: a hit costs max(actor, guess + speculation); the answer it put off is paid at the next step."""
     s = states(steps)
-    spent = F.when(F.col("hit"), F.greatest("t", F.col("g") + F.coalesce(F.lead("t").over(ORDER), F.lit(0.0)))).when(F.col("skip"), 0.0).otherwise(F.col("t"))
+    spent = F.when(F.col("hit"), F.greatest("t", F.col("g") + F.coalesce(F.lead("t").over(by_step()), F.lit(0.0)))).when(F.col("skip"), 0.0).otherwise(F.col("t"))
     s = s.withColumn("spent", spent)
-    run = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    run = by_step().rowsBetween(Window.unboundedPreceding, 0)
     return s.select("run_id", "step", F.round(F.sum("t").over(run), 4).alias("regular_time"), F.round(F.sum("spent").over(run), 4).alias("speculative_time"))
 
 

@@ -60,7 +60,7 @@ def win_01(spark, d):
 
 @query("WIN_02_lead", f"WITH {STEPS} SELECT run_id, step, lead(t) OVER (PARTITION BY run_id ORDER BY step) AS next_t, lead(w) OVER (PARTITION BY run_id ORDER BY step) AS next_w FROM steps")
 def win_02(spark, d):
-    return steps(spark, d).select("run_id", "step", F.lead("t").over(replay.ORDER).alias("next_t"), F.lead("w").over(replay.ORDER).alias("next_w"))
+    return steps(spark, d).select("run_id", "step", F.lead("t").over(replay.by_step()).alias("next_t"), F.lead("w").over(replay.by_step()).alias("next_w"))
 
 
 @query("WIN_03_PRJ_03_shifted_carry", f"""WITH {STEPS}, a AS (SELECT *, list_position(guesses, move) AS p FROM steps),
@@ -74,7 +74,7 @@ def win_03(spark, d):
 SELECT run_id, step, CASE WHEN list_position(before, move) > 0 AND list_position(before, move) <= 2 THEN list_position(before, move) - 1 END AS at FROM a""")
 def jon_13(spark, d):
     """The first earlier prediction equal to this move, if one of the first two has a speculation."""
-    p = F.array_position(F.lag("guesses").over(replay.ORDER), F.col("move"))
+    p = F.array_position(F.lag("guesses").over(replay.by_step()), F.col("move"))
     return steps(spark, d).select("run_id", "step", "move", p.alias("p")).select("run_id", "step", F.when((F.col("p") > 0) & (F.col("p") <= 2), F.col("p") - 1).alias("at"))
 
 
