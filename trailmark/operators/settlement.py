@@ -148,15 +148,21 @@ def poker(cards: DataFrame, keys: list[str], rank: str, suit: str) -> DataFrame:
     rest = lambda skip, k: F.slice(F.reverse(F.array_sort(F.array_except("ranks", skip))), 1, k)
     sf, st = straight(F.coalesce("fr", F.array().cast("array<int>"))), straight(F.col("ranks"))
     pair = F.array_max(F.transform(F.filter("by", lambda x: (x["n"] >= 2) & (x["r"] != r(0))), lambda x: x["r"]))
-    return g.select(*keys, F.when(sf.isNotNull(), F.struct(F.lit(8).alias("category"), F.array(sf).alias("kickers")))
-                    .when(n(0) == 4, F.struct(F.lit(7), F.concat(F.array(r(0)), rest(F.array(r(0)), 1))))
-                    .when((n(0) == 3) & (n(1) >= 2), F.struct(F.lit(6), F.array(r(0), pair)))
-                    .when(F.col("fr").isNotNull(), F.struct(F.lit(5), F.slice("fr", 1, 5)))
-                    .when(st.isNotNull(), F.struct(F.lit(4), F.array(st)))
-                    .when(n(0) == 3, F.struct(F.lit(3), F.concat(F.array(r(0)), rest(F.array(r(0)), 2))))
-                    .when((n(0) == 2) & (n(1) == 2), F.struct(F.lit(2), F.concat(F.array(r(0), r(1)), rest(F.array(r(0), r(1)), 1))))
-                    .when(n(0) == 2, F.struct(F.lit(1), F.concat(F.array(r(0)), rest(F.array(r(0)), 3))))
-                    .otherwise(F.struct(F.lit(0), rest(F.array().cast("array<int>"), 5))).alias("x")).select(*keys, "x.*")
+    none = F.array().cast("array<int>")
+    made = lambda k, cards: F.struct(F.lit(k).alias("category"), cards.alias("kickers"))
+    one, two = F.array(r(0)), F.array(r(0), r(1))
+    best = (
+        F.when(sf.isNotNull(), made(8, F.array(sf)))
+        .when(n(0) == 4, made(7, F.concat(one, rest(one, 1))))
+        .when((n(0) == 3) & (n(1) >= 2), made(6, F.array(r(0), pair)))
+        .when(F.col("fr").isNotNull(), made(5, F.slice("fr", 1, 5)))
+        .when(st.isNotNull(), made(4, F.array(st)))
+        .when(n(0) == 3, made(3, F.concat(one, rest(one, 2))))
+        .when((n(0) == 2) & (n(1) == 2), made(2, F.concat(two, rest(two, 1))))
+        .when(n(0) == 2, made(1, F.concat(one, rest(one, 3))))
+        .otherwise(made(0, rest(none, 5)))
+    )
+    return g.select(*keys, best.alias("x")).select(*keys, "x.*")
 
 
 def neighbours(words: DataFrame, word: str) -> DataFrame:

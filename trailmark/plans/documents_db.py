@@ -1 +1,194 @@
-"""Queries."""
+"""Document-table queries: orders with nested items and payments, users with payment methods, and item variants."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import canonical_json
+from ..operators import docdb as op
+from .registry import query
+from .views import table
+
+STATUS = "CASE o_orderstatus WHEN 'F' THEN 'pending' WHEN 'O' THEN 'delivered' ELSE 'processed' END"
+_O = f"""li AS (SELECT l_orderkey, list({{'item_id': l_partkey, 'product_id': l_partkey % 50, 'price': l_extendedprice}} ORDER BY l_linenumber, l_partkey, l_extendedprice) AS items, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey AS order_id, o_custkey AS user_id, {STATUS} AS status, o_orderpriority AS address, items, total, CASE WHEN o_orderkey % 3 = 0 THEN 'gift_card_' ELSE 'credit_card_' END || o_custkey AS paid FROM orders JOIN li ON l_orderkey = o_orderkey),
+u AS (SELECT c_custkey AS user_id, c_acctbal * 10 AS balance, c_mktsegment AS address FROM customer), v AS (SELECT p_partkey AS item_id, p_partkey % 50 AS product_id, p_size % 4 <> 0 AS available, p_retailprice AS price FROM part),
+q AS (SELECT CASE WHEN order_id % 10 = 9 THEN order_id + 1000000000 ELSE order_id END AS rid, * FROM o)"""
+
+
+def orders(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("item_id"), F.col("l_extendedprice").alias("price")))).alias("a"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    items = F.transform("a", lambda x: F.struct(x["item_id"].alias("item_id"), (x["item_id"] % 50).alias("product_id"), x["price"].alias("price")))
+    method = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "gift_card_").otherwise("credit_card_"), F.col("o_custkey").cast("string"))
+    return table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"), F.expr(STATUS).alias("status"), F.col("o_orderpriority").alias("address"), items.alias("items"),
+        F.array(F.struct(F.lit("payment").alias("type"), F.col("total").alias("amount"), method.alias("method"))).alias("payments"))
+
+
+def users(spark, d):
+    m = lambda source, balance: F.struct(F.lit(source).alias("source"), balance.alias("balance"))
+    k = F.col("c_custkey").cast("string")
+    methods = F.create_map(F.concat(F.lit("gift_card_"), k), m("gift_card", F.col("c_acctbal") * 10), F.concat(F.lit("credit_card_"), k), m("credit_card", F.lit(0.0)))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("address"), methods.alias("methods"))
+
+
+def variants(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % 50).alias("product_id"), (F.col("p_size") % 4 != 0).alias("available"), F.col("p_retailprice").alias("price"))
+
+
+def requests(spark, d, **cols):
+    """One request an order; a tenth names an order that doesn't exist."""
+    o = orders(spark, d)
+    rid = F.when(F.col("order_id") % 10 == 9, F.col("order_id") + 1_000_000_000).otherwise(F.col("order_id"))
+    return o, o.select(rid.alias("order_id"), *[c.alias(n) for n, c in cols.items()])
+
+
+@query("DB_01_cancel_order", f"""WITH {_O}, e AS (SELECT q.*, CASE WHEN rid <> order_id THEN 'Error: order not found' WHEN status <> 'pending' THEN 'Error: non-pending order cannot be cancelled' WHEN order_id % 4 = 3 THEN 'Error: invalid reason' END AS error FROM q)
+SELECT rid AS order_id, error, CASE WHEN rid <> order_id THEN NULL WHEN error IS NULL THEN 'cancelled' ELSE status END AS status, CASE WHEN rid <> order_id THEN -1 WHEN error IS NULL THEN 2 ELSE 1 END AS n_payments, CASE WHEN error IS NULL AND order_id % 3 = 0 THEN total ELSE 0 END AS credit FROM e""")
+def db_01(spark, d):
+    reason = F.when(F.col("order_id") % 4 == 3, "bored").when(F.col("order_id") % 4 == 2, "ordered by mistake").otherwise("no longer needed")
+    o, r = requests(spark, d, reason=reason)
+    return op.cancel_orders(r, o).select("order_id", "error", "status", F.coalesce(F.size("payments"), F.lit(-1)).alias("n_payments"), "credit")
+
+
+@query("DB_01_credited_users", f"""WITH {_O}, c AS (SELECT user_id, sum(total) AS c FROM q WHERE rid = order_id AND status = 'pending' AND order_id % 4 <> 3 AND order_id % 3 = 0 GROUP BY 1) SELECT u.user_id, round(balance + coalesce(c, 0), 2) AS balance FROM u LEFT JOIN c USING (user_id)""")
+def db_01u(spark, d):
+    reason = F.when(F.col("order_id") % 4 == 3, "bored").otherwise("no longer needed")
+    o, r = requests(spark, d, reason=reason)
+    u = op.credited(users(spark, d), op.cancel_orders(r, o))
+    return u.select("user_id", F.round(F.element_at("methods", F.concat(F.lit("gift_card_"), F.col("user_id").cast("string")))["balance"], 2).alias("balance"))
+
+
+def _swap(pending):
+    status, msg, new, bal = ("pending", "non-pending order cannot be modified", "pending (item modified)", "the new item") if pending else ("delivered", "non-delivered order cannot be exchanged", "exchange requested", "the price difference")
+    return f"""WITH {_O}, n AS (SELECT count(*) AS n FROM part), x AS (SELECT q.*, items[1].item_id AS old, items[1].price AS oldp, (items[1].item_id + CASE WHEN order_id % 7 = 0 THEN 1 ELSE 50 END) % n AS neu FROM q, n),
+y AS (SELECT x.*, v.available AND v.product_id = x.old % 50 AS good, round(v.price - oldp, 2) AS diff, u.balance FROM x LEFT JOIN v ON v.item_id = x.neu LEFT JOIN u USING (user_id)),
+e AS (SELECT *, CASE WHEN rid <> order_id THEN 'Error: order not found' WHEN status <> '{status}' THEN 'Error: {msg}' WHEN order_id % 11 = 5 THEN 'Error: the number of items to be exchanged should match' WHEN NOT coalesce(good, false) THEN 'Error: new item ' || neu || ' not found or available'
+ WHEN order_id % 13 = 4 THEN 'Error: payment method not found' WHEN order_id % 3 = 0 AND balance < diff THEN 'Error: insufficient gift card balance to pay for {bal}' END AS error FROM y)
+SELECT rid AS order_id, error, CASE WHEN rid <> order_id THEN NULL WHEN error IS NULL THEN '{new}' ELSE status END AS status, CASE WHEN error IS NULL THEN neu END AS new_item, CASE WHEN error IS NULL THEN diff END AS difference FROM e"""
+
+
+def swap(spark, d, pending):
+    n = table(spark, d, "part").count()
+    item = F.get("items", F.lit(0))["item_id"]
+    neu = F.pmod(item + F.when(F.col("order_id") % 7 == 0, 1).otherwise(50), F.lit(n))
+    method = F.when(F.col("order_id") % 13 == 4, "paypal").otherwise(F.get("payments", F.lit(0))["method"])
+    o, r = requests(spark, d, item_ids=F.array(item), new_item_ids=F.when(F.col("order_id") % 11 == 5, F.array(neu, neu)).otherwise(F.array(neu)), method=method)
+    got = op.swap_items(r, o, users(spark, d), variants(spark, d), pending)
+    return got.select("order_id", "error", "status", F.get("new_items", F.lit(0)).alias("new_item"), "difference")
+
+
+@query("DB_02_exchange_items", _swap(False))
+def db_02(spark, d):
+    return swap(spark, d, False)
+
+
+@query("DB_04_modify_items", _swap(True))
+def db_04(spark, d):
+    return swap(spark, d, True)
+
+
+@query("DB_03_FLT_20_return_items", f"""WITH {_O}, e AS (SELECT *, CASE WHEN rid <> order_id THEN 'Error: order not found' WHEN status <> 'delivered' THEN 'Error: non-delivered order cannot be returned' WHEN order_id % 5 = 0 THEN 'Error: payment method not found'
+ WHEN order_id % 5 = 1 AND order_id % 3 = 0 THEN 'Error: payment method should be either the original payment method or a gift card' WHEN order_id % 4 = 0 AND len(list_filter(items, lambda i: i.item_id = items[1].item_id)) < 2 THEN 'Error: some item not found' END AS error FROM q)
+SELECT rid AS order_id, error, CASE WHEN rid <> order_id THEN NULL WHEN error IS NULL THEN 'return requested' ELSE status END AS status FROM e""")
+def db_03(spark, d):
+    item, k = F.get("items", F.lit(0))["item_id"], F.col("order_id")
+    method = F.when(k % 5 == 0, "paypal").when(k % 5 == 1, F.concat(F.lit("credit_card_"), F.col("user_id").cast("string"))).otherwise(F.get("payments", F.lit(0))["method"])
+    o, r = requests(spark, d, item_ids=F.when(k % 4 == 0, F.array(item, item)).otherwise(F.array(item)), method=method)
+    return op.return_items(r, o, users(spark, d)).select("order_id", "error", "status")
+
+
+@query("DB_05_change_payment", f"""WITH {_O}, e AS (SELECT q.*, balance, CASE WHEN order_id % 2 = 0 THEN 'gift_card_' ELSE 'credit_card_' END || user_id AS m FROM q JOIN u USING (user_id)), f AS (SELECT *, CASE WHEN rid <> order_id THEN 'Error: order not found' WHEN status <> 'pending' THEN 'Error: non-pending order cannot be modified'
+ WHEN m = paid THEN 'Error: the new payment method should be different from the current one' WHEN m LIKE 'gift%' AND balance < total THEN 'Error: insufficient gift card balance to pay for the order' END AS error FROM e)
+SELECT rid AS order_id, error, CASE WHEN error IS NOT NULL THEN 0 WHEN m LIKE 'gift%' THEN -total WHEN paid LIKE 'gift%' THEN total ELSE 0 END AS credit FROM f""")
+def db_05(spark, d):
+    method = F.concat(F.when(F.col("order_id") % 2 == 0, "gift_card_").otherwise("credit_card_"), F.col("user_id").cast("string"))
+    o, r = requests(spark, d, method=method)
+    return op.change_payment(r, o, users(spark, d)).select("order_id", "error", "credit")
+
+
+@query("DB_06_order_address", f"""WITH {_O} SELECT rid AS order_id, CASE WHEN rid <> order_id THEN 'Error: order not found' WHEN status <> 'pending' THEN 'Error: non-pending order cannot be modified' END AS error, CASE WHEN rid <> order_id THEN NULL WHEN status = 'pending' THEN 'new' ELSE address END AS address FROM q""")
+def db_06(spark, d):
+    o, r = requests(spark, d, new_address=F.lit("new"))
+    return op.change_address(r, o, "order_id", "pending", "order")
+
+
+@query("DB_07_user_address", "SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END AS user_id, CASE WHEN c_custkey % 9 = 0 THEN 'Error: user not found' END AS error, CASE WHEN c_custkey % 9 <> 0 THEN 'new' END AS address FROM customer")
+def db_07(spark, d):
+    u = users(spark, d)
+    r = u.select((F.col("user_id") + F.when(F.col("user_id") % 9 == 0, 1_000_000).otherwise(0)).alias("user_id"), F.lit("new").alias("new_address"))
+    return op.change_address(r, u, "user_id", None, "user")
+
+
+@query("DB_08_SRT_03_product_types", "SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY 1")
+def db_08(spark, d):
+    return table(spark, d, "part").groupBy("p_name").agg(F.max("p_partkey").alias("p_partkey")).orderBy("p_name")
+
+
+@query("DB_09_FLT_13_find_user", "SELECT coalesce(CAST(min(c_custkey) AS VARCHAR), 'Error: user not found') AS answer FROM customer WHERE lower(c_name) = lower('CUSTOMER#000000042')")
+def db_09(spark, d):
+    return op.first_match(table(spark, d, "customer"), F.lower("c_name") == "customer#000000042", ["c_custkey"], "c_name").select(F.when(F.col("answer").startswith("Error"), F.col("answer")).otherwise(F.regexp_extract("answer", r"#0*(\d+)", 1)).alias("answer"))
+
+
+@query("DB_10_FLT_14_details", "SELECT n_nationkey + CASE WHEN n_nationkey % 5 = 0 THEN 100 ELSE 0 END AS n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'Error: product not found' ELSE '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' END AS answer FROM nation")
+def db_10(spark, d):
+    n = table(spark, d, "nation")
+    r = n.select((F.col("n_nationkey") + F.when(F.col("n_nationkey") % 5 == 0, 100).otherwise(0)).alias("n_nationkey"))
+    return op.looked_up(r, n, "n_nationkey", "product")
+
+
+@query("JON_07_lookup_joins", "SELECT o_orderkey, c_name, p_brand, s_name, l_linenumber, l_extendedprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45")
+def jon_07(spark, d):
+    t = lambda n: table(spark, d, n)
+    j = t("lineitem").where("l_quantity > 45").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return j.join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("o_orderkey", "c_name", "p_brand", "s_name", "l_linenumber", "l_extendedprice")
+
+
+_F = "f AS (SELECT o_orderkey AS flight, o_custkey % 7 AS origin, o_orderkey % 7 AS destination, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderstatus = 'P' THEN 'delayed' ELSE 'available' END AS status, lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') || ':00:00' AS departs, lpad(CAST((o_custkey + 3) % 24 AS VARCHAR), 2, '0') || ':00:00' || CASE WHEN (o_custkey + 3) % 24 < 3 THEN '+1' ELSE '' END AS arrives FROM orders)"
+
+
+def flights(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_custkey")
+    hour = lambda c: F.concat(F.lpad((c % 24).cast("string"), 2, "0"), F.lit(":00:00"))
+    return o.select(F.col("o_orderkey").alias("flight"), (k % 7).alias("origin"), (F.col("o_orderkey") % 7).alias("destination"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "P", "delayed").otherwise("available").alias("status"),
+                    hour(k).alias("departs"), F.concat(hour(k + 3), F.when((k + 3) % 24 < 3, "+1").otherwise("")).alias("arrives"))
+
+
+@query("JON_09_DB_15_direct_flights", f"WITH {_F} SELECT flight, strftime(date, '%Y-%m-%d') AS date, departs FROM f WHERE origin = 1 AND destination = 4 AND status = 'available'")
+def jon_09(spark, d):
+    f = flights(spark, d)
+    s = f.select("date").distinct().withColumn("origin", F.lit(1).cast("long")).withColumn("destination", F.lit(4).cast("long"))
+    return op.direct_flights(f, s).select("flight", F.date_format("date", "yyyy-MM-dd").alias("date"), "departs")
+
+
+@query("JON_08_DB_15_onestop_flights", f"""WITH {_F}, a AS (SELECT destination AS hub, flight, arrives, date, CASE WHEN arrives LIKE '%+1' THEN date + 1 ELSE date END AS d2 FROM f WHERE origin = 1 AND destination <> 4 AND status = 'available')
+SELECT a.hub, a.flight AS "first", b.flight AS "second" FROM a JOIN f b ON b.origin = a.hub AND b.destination = 4 AND b.status = 'available' AND CAST(b.date AS DATE) = CAST(a.d2 AS DATE) WHERE NOT a.arrives > b.departs""")
+def jon_08(spark, d):
+    f = flights(spark, d)
+    s = f.select("date").distinct().select(F.lit(1).alias("search_id"), "date", F.lit(1).cast("long").alias("origin"), F.lit(4).cast("long").alias("goal"))
+    return op.onestop_flights(f, s).select("hub", "first", "second")
+
+
+@query("AGG_38_DB_22_fingerprint", "SELECT true AS same, count(*) AS n FROM nation")
+def agg_38(spark, d):
+    """The state hash of a table equals that of the same rows in another order and column order."""
+    n = table(spark, d, "nation")
+    a, b = op.fingerprint(n), op.fingerprint(n.select("n_regionkey", "n_name", "n_nationkey").repartition(3, "n_name"))
+    return a.join(b.select("digest").withColumnRenamed("digest", "other")).select((F.col("digest") == F.col("other")).alias("same"), "n")
+
+
+@query("AGG_39_outputs_found", "SELECT conv_id, bool_or(contains(replace(lower(text), ',', ''), 'tion')) AND bool_or(contains(replace(lower(text), ',', ''), 'in')) AS found FROM conversations GROUP BY 1")
+def agg_39(spark, d):
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("texts"))
+    return g.select("conv_id", op.outputs_found(F.array(F.lit("TION"), F.lit("in")), F.col("texts")).alias("found"))
+
+
+@query("DB_21_dispatch_rounds", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS round FROM events")
+def db_21(spark, d):
+    return op.in_order(table(spark, d, "events").withColumn("seq", F.struct("ts", "event_id")), "user_id", "seq").select("user_id", "event_id", "round")
+
+
+@query("JON_04_canonical_arguments", "SELECT event_id, '{\"k\":\"' || CAST(json_extract_string(props, '$.k') AS BIGINT) || '\"}' AS args FROM events")
+def jon_04(spark, d):
+    return table(spark, d, "events").select("event_id", canonical_json(F.col("props")).alias("args"))
