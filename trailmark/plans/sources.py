@@ -1 +1,157 @@
-"""Queries."""
+"""Source and sink queries: what is written from a table is read again, in the shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..sources import files, sinks
+from .registry import query
+from .views import table
+
+
+def scratch(spark) -> str:
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query("SRC_01_SRC_02_SRC_04_SRC_06_SRC_07_PRJ_01_step_files", "SELECT user_id % 3 AS run, CAST(row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS INT) AS step, event_type AS current_move FROM events WHERE event_id < 300")
+def src_01(spark, d):
+    """Step files written as maps from step to record, found by glob, with the run from the file name."""
+    from pyspark.sql import Window
+    e = table(spark, d, "events").where("event_id < 300").select((F.col("user_id") % 3).alias("run"), "event_id", "event_type")
+    e = e.withColumn("step", (F.row_number().over(Window.partitionBy("run").orderBy("event_id")) - 1).cast("string"))
+    one = e.groupBy("run").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("step", F.struct(F.col("event_type").alias("current_move")))))).alias("value"))
+    path = scratch(spark)
+    one.select("value", F.concat(F.lit("steps_"), F.col("run").cast("string")).alias("name")).write.partitionBy("name").text(path)
+    got = files.steps(spark, f"{path}/name=steps_*/part-*")
+    return got.select(F.regexp_extract("file", r"steps_(\d+)", 1).cast("long").alias("run"), "step", "current_move")
+
+
+@query("SRC_03_SRC_05_text_files", "SELECT n_name AS text FROM nation WHERE n_nationkey < 3")
+def src_03(spark, d):
+    path = scratch(spark)
+    table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).write.partitionBy("k").text(path)
+    return files.text_files(spark, f"{path}/*/part-*").select(F.trim(F.replace("text", F.lit("\n"), F.lit(""))).alias("text"))
+
+
+@query("SRC_08_partition_path", "SELECT n_name, n_regionkey AS agent FROM nation")
+def src_08(spark, d):
+    path = scratch(spark)
+    table(spark, d, "nation").select("n_name", F.col("n_regionkey").alias("agent")).write.partitionBy("agent").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("SRC_09_SRC_10_SNK_02_SNK_03_csv", "SELECT p_partkey, p_name, p_retailprice FROM part")
+def src_09(spark, d):
+    path = scratch(spark)
+    sinks.save_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), path)
+    return files.csv(spark, path, "p_partkey long, p_name string, p_retailprice double")
+
+
+@query("SRC_13_document_table", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation")
+def src_13(spark, d):
+    path = scratch(spark)
+    table(spark, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.struct(F.col("n_name").alias("name")))))).alias("value")).write.text(path)
+    return files.document_table(spark, path, "name:string", "id")
+
+
+@query("SRC_14_SRC_15_SRC_16_SRC_17_SNK_01_json", "SELECT item_id, text FROM benchmark")
+def src_14(spark, d):
+    path = scratch(spark)
+    sinks.save_json(table(spark, d, "benchmark"), path)
+    return files.json_lines(spark, path, "item_id long, text string")
+
+
+@query("SRC_18_optional", "SELECT true AS missing")
+def src_18(spark, d):
+    return spark.range(1).select(F.lit(files.optional(spark, scratch(spark), "a int") is None).alias("missing"))
+
+
+@query("SRC_19_newest_file", "SELECT 2 AS files, 1 AS newest")
+def src_19(spark, d):
+    path = scratch(spark)
+    for k in range(2):
+        table(spark, d, "region").coalesce(1).write.mode("append").json(path)
+    f = files.found(spark, path, "*.json")
+    return f.agg(F.count(F.lit(1)).cast("int").alias("files")).join(files.newest(f).agg(F.count(F.lit(1)).cast("int").alias("newest")))
+
+
+@query("SRC_20_proc_stat", "SELECT 'cpu' || n_nationkey AS label, n_nationkey * 3 AS total FROM nation")
+def src_20(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.lit("cpu"), F.col("n_nationkey").cast("string"), F.lit("  "), F.col("n_nationkey").cast("string"), F.lit(" "), (F.col("n_nationkey") * 2).cast("string")).alias("value"))
+    return files.proc_stat(n).select("label", F.aggregate("counters", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SRC_21_state_residency", "SELECT p_type, sum(p_size) AS p_size FROM part GROUP BY 1")
+def src_21(spark, d):
+    return files.state_residency(table(spark, d, "part"), "p_type", "p_size", [])
+
+
+@query("SRC_22_page_paragraphs", "SELECT page_id, len(regexp_extract_all(html, '<p>[^<]+')) AS n FROM pages")
+def src_22(spark, d):
+    """Paragraphs of stored pages, by native expressions."""
+    return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<p>([^<]+)"), 1)).alias("n"))
+
+
+@query("SRC_23_JON_14_SET_05_dictionary", """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part), f AS (SELECT w FROM w UNION SELECT w || 's' FROM w WHERE NOT w ENDS WITH 's' UNION SELECT 're' || w FROM w UNION SELECT left(w, len(w) - 1) || 'ies' FROM w WHERE w LIKE '%y') SELECT w AS form FROM f""".replace("NOT w ENDS WITH 's'", "w NOT LIKE '%s'"))
+def src_23(spark, d):
+    """Forms of words by affix rules, read from text."""
+    rules = spark.createDataFrame([("SFX S 0 s [^s]",), ("PFX R 0 re .",), ("SFX S y ies y",), ("SFX S Y 1",)], "value string")
+    words = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("w")).distinct().withColumn("flags", F.lit("SR"))
+    return files.dictionary_words(words, files.affix_rules(rules), "w", "flags")
+
+
+@query("SRC_24_score_table", "SELECT p_brand AS issue, p_type AS option, p_size AS score FROM part WHERE p_partkey < 200")
+def src_24(spark, d):
+    t = table(spark, d, "part").where("p_partkey < 200").select(F.concat(F.col("p_brand"), F.lit(": "), F.col("p_type"), F.lit("="), F.col("p_size").cast("string")).alias("t"))
+    return files.score_table(t, "t")
+
+
+@query("SNK_04_SNK_05_SNK_07_SNK_08_append", "SELECT n_name FROM nation UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 1")
+def snk_04(spark, d):
+    path = scratch(spark)
+    n = table(spark, d, "nation").select("n_name", "n_regionkey")
+    sinks.append(n, path)
+    sinks.append(n.where("n_regionkey = 1"), path)
+    return files.json_lines(spark, path, "n_name string")
+
+
+@query("SNK_06_history", "SELECT n_regionkey AS run, count(*) AS windows, 1 AS requests FROM nation GROUP BY 1")
+def snk_06(spark, d):
+    path = scratch(spark)
+    sinks.save_history(table(spark, d, "nation").withColumnRenamed("n_regionkey", "run"), table(spark, d, "region").withColumnRenamed("r_regionkey", "run"), path, "run")
+    w, r = (spark.read.parquet(f"{path}/{n}").groupBy("run").agg(F.count(F.lit(1)).alias(n)) for n in ("windows", "requests"))
+    return w.join(r, "run").withColumn("requests", F.col("requests").cast("int"))
+
+
+@query("SNK_09_JON_17_manifest", "SELECT r_name AS section, 'a' AS mode, 'x/' || r_regionkey AS path FROM region")
+def snk_09(spark, d):
+    m = table(spark, d, "region").select(F.create_map("r_name", F.create_map(F.lit("a"), F.concat(F.lit("x/"), F.col("r_regionkey").cast("string")))).alias("m"))
+    return sinks.manifest_rows(m, "m")
+
+
+@query("SNK_10_plot_table", "SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def snk_10(spark, d):
+    return sinks.plot_table(table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean")), ["event_type"], ["mean"])
+
+
+@query("SNK_11_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def snk_11(spark, d):
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sinks.remaining(table(spark, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
+
+
+@query("FLT_21_dirty_folders", "SELECT l_orderkey, len(list_distinct(list(l_returnflag))) < 3 AS dirty FROM lineitem GROUP BY 1")
+def flt_21(spark, d):
+    """A folder is dirty if one of the files it needs is missing."""
+    need = F.array(*map(F.lit, ("A", "N", "R")))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("f")).select("l_orderkey", (F.size(F.array_except(need, "f")) > 0).alias("dirty"))
