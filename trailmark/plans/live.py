@@ -1 +1,140 @@
-"""Queries."""
+"""Streaming queries, run to the end of what there is, and functions that need Python."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import udfs
+from ..streaming import loop
+from .registry import query
+from .views import table
+
+
+def stream(spark, d, tab="events"):
+    schema = spark.read.parquet(f"{d}/{tab}.parquet").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{tab}.parquet").parquet(d)
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("STM_01_streamed_tumbling", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stm_01(spark, d):
+    got = loop.run_once(loop.tumbling(stream(spark, d), "ts", "1 day", "1 hour", ["event_type"], "value"), f"t{uuid.uuid4().hex}", "complete")
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("STM_beyond_sliding_window", "SELECT strftime(s, '%Y-%m-%d %H') AS start, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts + INTERVAL 12 HOUR) - INTERVAL 12 HOUR]) AS s FROM events) GROUP BY 1")
+def stm_slide(spark, d):
+    got = loop.run_once(loop.sliding(stream(spark, d), "ts", "1 day", "12 hours", "1 hour", []), f"t{uuid.uuid4().hex}", "complete")
+    return got.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
+
+
+@query("STM_beyond_session_window", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, s - 1 AS nth, count(*) AS n FROM s GROUP BY 1, 2")
+def stm_session(spark, d):
+    """Sessions of a user with gaps under six hours; the same frame also runs on a stream."""
+    from pyspark.sql import Window
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = loop.sessions(e, "ts", "6 hours", "1 hour", ["user_id"])
+    return got.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("start")) - 1).alias("nth"), "n")
+
+
+def request_log(spark, d):
+    """Roles are users mod 10; clicks call, views answer the role's latest call, all else ticks."""
+    from pyspark.sql import Window
+    e = table(spark, d, "events")
+    role = (F.col("user_id") % 10).cast("string")
+    kind = F.when(F.col("event_type") == "click", "call").when(F.col("event_type") == "view", "response").otherwise("tick")
+    w = Window.partitionBy("role").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    x = e.select(role.alias("role"), kind.alias("kind"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("seq"))
+    return x.withColumn("request_id", F.last(F.when(F.col("kind") == "call", F.col("seq").cast("string")), True).over(w))
+
+
+@query("STM_03_STM_04_pending_requests")
+def stm_03(spark, d):
+    return loop.proposals_batch(request_log(spark, d), 600.0)
+
+
+@query("STM_14_memoized_calls", "SELECT event_id, length(event_type) AS answer FROM events")
+def stm_14(spark, d):
+    call = lambda keys: keys.withColumn("answer", F.length("event_type"))
+    return udfs.memoized(table(spark, d, "events").select("event_id", "event_type"), ["event_type"], call).select("event_id", "answer")
+
+
+@query("FN_25_DB_11_calculate", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Error: invalid characters in expression' ELSE CAST((p_size + 2) * 3 AS VARCHAR) || '.0' END AS out FROM part")
+def fn_25(spark, d):
+    e = F.when(F.col("p_partkey") % 5 == 0, "x + 1").otherwise(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(" + 2) * 3")))
+    return table(spark, d, "part").select("p_partkey", udfs.batched(udfs.calculate, "string")(e).alias("out"))
+
+
+@query("FN_19_clean_escapes", "SELECT p_partkey, p_name || ' é' AS out FROM part")
+def fn_19(spark, d):
+    return table(spark, d, "part").select("p_partkey", udfs.batched(udfs.clean_escapes, "string")(F.concat("p_name", F.lit(" \\xc3\\xa9"))).alias("out"))
+
+
+@query("FN_26_lenient_json_lines", "SELECT p_partkey, '{\"a\": ' || p_size || '}' AS out FROM part")
+def fn_26(spark, d):
+    t = F.concat(F.lit("well:\n{\"a\":\n "), F.col("p_size").cast("string"), F.lit("}\nbye"))
+    return table(spark, d, "part").select("p_partkey", udfs.batched(udfs.lenient_json, "string")(t).alias("out"))
+
+
+@query("FN_35_affix_rule_parse", "SELECT 'SFX' AS kind, 'S' AS flag, 'y' AS strip, 'ies' AS \"add\", '[^aeiou]y' AS condition")
+def fn_35(spark, d):
+    from ..sources.files import affix_rules
+    return affix_rules(spark.createDataFrame([("SFX S y ies [^aeiou]y",), ("SFX S Y 1",)], "value string"))
+
+
+@query("UDF_01_parallel_map", "SELECT event_id, k * 2 AS out FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def udf_01(spark, d):
+    import json
+    return udfs.parallel_map(table(spark, d, "events").select("event_id", "props"), lambda r: json.loads(r["props"])["k"] * 2, "out", "long", ["event_id"])
+
+
+@query("UDF_02_FLT_18_parallel_filter", "SELECT event_id FROM events WHERE event_type LIKE '%i%'")
+def udf_02(spark, d):
+    return udfs.parallel_filter(table(spark, d, "events").select("event_id", "event_type"), lambda x: "i" in x, "event_type").select("event_id")
+
+
+@query("UDF_03_UDF_04_recorded_response", "SELECT o_orderkey, coalesce(c_mktsegment, 'none') AS response FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey")
+def udf_03(spark, d):
+    responses = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("response"))
+    return udfs.recorded(table(spark, d, "orders").select("o_orderkey", "o_custkey"), responses, ["o_custkey"], "none").select("o_orderkey", "response")
+
+
+@query("UDF_06_SRT_13_router", "SELECT p_partkey AS id, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'middle' WHEN p_size <= 45 THEN 'large' END AS model FROM part")
+def udf_06(spark, d):
+    models = spark.createDataFrame([("large", 45, 0), ("small", 10, 1), ("middle", 30, 2), ("other", 30, 3)], "model string, capability int, seq int")
+    return udfs.routed(models, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("need")))
+
+
+@query("UDF_07_tool_registry", "SELECT n_nationkey, 'ok' AS answer FROM nation")
+def udf_07(spark, d):
+    from ..operators.docdb import Tools
+    t = Tools()
+    t.add("think", lambda df: df.select("n_nationkey", F.lit("ok").alias("answer")), description="does nothing")
+    return t.invoke("think", table(spark, d, "nation"))
+
+
+@query("UDF_08_UDF_09_registry_and_wrappers", "SELECT n_nationkey, lower(n_name) AS n_name FROM nation WHERE n_regionkey = 1")
+def udf_08(spark, d):
+    r = udfs.Registry()
+    r.register("nations", lambda: table(spark, d, "nation"), {"train": [lambda df: df.where("n_regionkey = 1"), lambda df: df.select("n_nationkey", F.lower("n_name").alias("n_name"))]})
+    return r.make("nations-train")
+
+
+@query("UDF_11_evaluation", "SELECT is_error, is_correct, count(*) AS n FROM (SELECT value > 80 AS is_error, value <= 80 AND event_type = 'click' AS is_correct FROM events) GROUP BY 1, 2")
+def udf_11(spark, d):
+    e = table(spark, d, "events").select("event_type", F.lit("click").alias("label"), F.when(F.col("value") > 80, "late").alias("error"))
+    return udfs.evaluated(e, "event_type", "label", "error").groupBy("is_error", "is_correct").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("UDF_12_record_kinds", "SELECT event_id, CASE event_type WHEN 'click' THEN 'classify' WHEN 'view' THEN 'generate' ELSE 'binary_classify' END AS kind FROM events")
+def udf_12(spark, d):
+    keys = F.when(F.col("event_type") == "click", F.array(F.lit("instruction"), F.lit("options"))).when(F.col("event_type") == "view", F.array(F.lit("instruction"), F.lit("text"))).otherwise(F.array(F.lit("instruction")))
+    return table(spark, d, "events").select("event_id", udfs.kind_of_record(keys).alias("kind"))
+
+
+@query("FLT_19_errors_dropped", "SELECT event_id FROM events WHERE event_type <> 'error'")
+def flt_19(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", "failed").alias("error"))
+    return udfs.without_errors(e, "error", "event_id").select("event_id")
