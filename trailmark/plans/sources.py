@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import files, sinks
+from ..sources.scratch import scratch
 from .registry import query
 from .views import table
 
 
-def scratch(spark) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("SRC_01_SRC_02_SRC_04_SRC_06_SRC_07_PRJ_01_step_files", "SELECT user_id % 3 AS run, CAST(row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS INT) AS step, event_type AS current_move FROM events WHERE event_id < 300")
 def src_01(spark, d):
     """Step files written as maps from step to record, found by glob, with the run from the file name."""
