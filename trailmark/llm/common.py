@@ -17,16 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset in local mode, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
+        named = _LOCAL[app]
+    return named.rstrip("/")
 
 
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
