@@ -92,14 +92,17 @@ def phrase_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, i
 
 
 def proximity_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", window: int = WINDOW, slop: int = 5) -> DataFrame:
-    """(key, item, pos): postings of an item's rare term around which all words of the item's neighbourhood on one side of
-    a window stand within window + slop words, in any order."""
+    """(key, item, pos): postings of the rarest term of a window of an item around which all the window's words stand within
+    window + slop words to either side, in any order."""
     items = written(spark, items_of(benchmark, item_col, text), "items")
-    keys = anchors(spark, items, term_counts(spark, docs, items, text), window)
-    found = postings(docs, keys.select("term").distinct(), id_col, text, window - 1 + slop).withColumn("around", F.concat("dbefore", "dafter"))
-    inside = lambda c: F.size(F.array_except(c, F.col("around"))) == 0
-    whole = lambda c: F.size(c) + 1 >= F.col("need")
-    return found.join(keys, "term").where((whole(F.col("before")) & inside(F.col("before"))) | (whole(F.col("after")) & inside(F.col("after")))).select("key", "item", "pos").distinct()
+    counts = term_counts(spark, docs, items, text)
+    each = items.select("item", "ik", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))).alias("start"))
+    each = each.select("item", "ik", "start", F.array_distinct(F.slice("w", F.col("start") + 1, window)).alias("words"))
+    rare = each.select("ik", "start", F.explode("words").alias("term")).join(counts, "term").groupBy("ik", "start").agg(F.min(F.struct("n", "term")).alias("x")).select("ik", "start", "x.term")
+    keys = written(spark, each.join(rare, ["ik", "start"]), "proximity-anchors")
+    found = postings(docs, keys.select("term").distinct(), id_col, text, window - 1 + slop)
+    around = F.concat(F.array("term"), "dbefore", "dafter")
+    return found.join(keys, "term").where(F.size(F.array_except("words", around)) == 0).select("key", "item", "pos").distinct()
 
 
 def hits(matches: DataFrame) -> DataFrame:
