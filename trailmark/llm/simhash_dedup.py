@@ -7,9 +7,8 @@ shared bytes are tallied, pairs under the guaranteed minimum of 8 - bits are lef
 Lists of single positions would hold a 256th of all fingerprints each, and their pairs grow with the square of the
 input; the joint lists of four bytes carry the same guarantee and stay short.
 
-Equal fingerprints are joined before the index, so exact copies cost one row. Links of a list whose members are very many
-(`DENSE`) aren't enumerated as pairs: see `links`. Components are found by alternating large-star and small-star steps,
-each written to the shared folder.
+Equal fingerprints are joined before the index, so exact copies cost one row. Components are found by alternating large-star
+and small-star steps, each written to the shared folder.
 
 Defined cases: a null text or one without words has fingerprint zero and links like any other; a null doc_id is never
 the smallest; equal rows get equal results; no rows give no rows; further columns are not looked at.
@@ -103,14 +102,15 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
 
 
 def grouped(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """(id, key, fp, component_id) of each row; key is the row_key of id and text."""
+    """(id, key, fp, root, component_id) of each row; key is the row_key of id and text, root tells components apart even if
+    rows of different components share an id."""
     rows = bare(docs, id_col, text).toDF("id", "t")
     rows = written(spark, rows.select("id", row_key(F.col("id"), F.col("t")).alias("key"), fingerprints(spark, F.col("t"), shingle).alias("fp")), "prints")
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(spark, links(prints.select("fp"), bits))
     rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+    return rows.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id; of equal rows any one, of one id's texts the one with the least key."""
     got = grouped(spark, docs)
-    stay = got.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select("x.key").distinct()
+    stay = got.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select("x.key").distinct()
     keyed = docs.withColumn("__key", row_key(F.col("`doc_id`"), F.col("`text`")))
     return keyed.join(stay, keyed["__key"] == stay["key"], "left_semi").dropDuplicates(["__key"]).drop("__key").select(*[F.col(f"`{c}`") for c in docs.columns])
 
