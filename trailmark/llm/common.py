@@ -55,3 +55,16 @@ def row_key(*cols: Column) -> Column:
 def bare(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input can't clash with working columns."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
+
+
+def hash_cut(df: DataFrame, h: Column, n: int) -> int | None:
+    """The n-th smallest value of the 64-bit hash h, None without rows: rows up to it are a sample of n, with rows of equal
+    hashes. Only hashes that can be among the smallest leave the executors, about 4 * n of them for any number of rows."""
+    total = df.count()
+    low, span = -(1 << 63), 1 << 64
+    most = low + min(span - 1, span * 4 * n // max(total, 1))
+    for top in dict.fromkeys((most, low + span - 1)):
+        rows = df.select(h.alias("h")).where(F.col("h") <= top).orderBy("h").limit(n).collect()
+        if len(rows) == min(n, total):
+            break
+    return rows[-1]["h"] if rows else None

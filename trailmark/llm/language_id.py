@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, bounded_batches, table
+from .common import bare, bounded_batches, hash_cut, table
 
 SAMPLE = 3000
 PIECE = 192
@@ -169,8 +169,13 @@ def held_out(key: Column) -> Column:
 def sample(docs: DataFrame, id_col: str, text: str, lang: str) -> list[tuple[str, str]]:
     rows = bare(docs, id_col, text, lang).toDF("k", "t", "lang").where(~held_out(F.col("k")) & F.col("lang").isNotNull() & F.col("t").isNotNull())
     place = lambda i: (F.pmod(F.xxhash64("t", F.lit(i)), F.greatest(F.length("t") - PIECE + 1, F.lit(1))) + 1).cast("int")
-    rows = rows.select(F.xxhash64("k", "t", F.lit(11)).alias("h"), "lang", F.array(*[F.substring("t", place(i), F.lit(PIECE)) for i in range(PIECES)]).alias("p"))
-    return [(t, r["lang"]) for r in rows.orderBy("h", "lang").limit(SAMPLE).collect() for t in r["p"]]  # bounded, see the module's text
+    h = F.xxhash64("k", "t", "lang", F.lit(11))
+    cut = hash_cut(rows, h, SAMPLE)
+    if cut is None:
+        return []
+    rows = rows.where(h <= cut).select(h.alias("h"), "lang", F.array(*[F.substring("t", place(i), F.lit(PIECE)) for i in range(PIECES)]).alias("p"))
+    got = sorted(rows.dropDuplicates(["h"]).collect(), key=lambda r: r["h"])  # bounded, see the module's text
+    return [(t, r["lang"]) for r in got for t in r["p"]]
 
 
 def identified(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, bounded_batches, table
+from .common import bare, bounded_batches, hash_cut, table
 
 SAMPLE = 3000
 DIM = 2048
@@ -153,7 +153,9 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: s
                     got.append((votes(m), features(raw, m).tobytes()))
             yield pd.DataFrame(got, columns=["code", "x"])
 
-    few = rows.where("t is not null").select(F.xxhash64("id", "t", F.lit(5)).alias("h"), "t").orderBy("h").limit(SAMPLE).select("t")
+    some = rows.where("t is not null")
+    h = F.xxhash64("id", "t", F.lit(5))
+    few = some.select(h.alias("h"), "t").where(F.col("h") <= hash_cut(some, h, SAMPLE)).dropDuplicates(["h"]).select("t")
     taken = few.mapInPandas(vectors, "code long, x binary").collect()  # SAMPLE rows of DIM numbers at most
     w = fit(np.stack([np.frombuffer(r["x"], np.float32) for r in taken]).astype(np.float64), np.array([labels.of[r["code"]] for r in taken]))
     sent = spark.sparkContext.broadcast((labels.of, w))
