@@ -294,3 +294,12 @@ def test_steps_and_union_typed_actions(spark, tmp_path):
 def test_remaining(spark):
     todo, done = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (2,)], "k int")
     assert [r["k"] for r in sinks.remaining(todo, done, ["k"]).collect()] == [1]
+
+
+def test_config():
+    from trailmark.sources import config
+    c = config.parse('{"mode": "dual", "run_duration_s": 20, "results_dir": "x", "min_granularity_range_ns": [1, 5]}')
+    assert c.iterations == 20 and c.further == {"results_dir": "x"} and c.min_granularity_range_ns == (1, 5)
+    for bad in ('{"mode": "none"}', '{"mode": "dual", "run_duration_s": 7, "window_duration_s": 2}', '{"mode": "dual", "min_granularity_range_ns": [5, 1]}'):
+        with pytest.raises(ValueError):
+            config.parse(bad)

@@ -210,3 +210,20 @@ def wordle_feedback(guess: Column, secret: Column) -> Column:
     used = lambda x, i: F.size(F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda j: (j < i) & (F.get(g, j) == x) & ~green(j)))
     there = lambda x: F.size(F.filter(rest, lambda y: y == x))
     return F.array_join(F.transform(g, lambda x, i: F.when(green(i), "G").when(used(x, i) < there(x), "Y").otherwise("X")), "")
+
+
+#: What an observation without a whole board gives.
+NO_BOARD, NO_END = "No board found in observation", "Could not find end of board"
+
+
+def last_board(c: Column) -> Column:
+    """The last board of an observation with the valid moves after it, and the opening lines if the text begins a game."""
+    lines = F.split(F.trim(c), "\n")
+    at = lambda test, after: F.array_position(F.transform(lines, lambda x, i: F.coalesce(test(x) & (i > after), F.lit(False))), True) - 1
+    has = lambda s: lambda x: F.contains(x, F.lit(s))
+    start = F.coalesce(F.array_max(F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit("Current board:")), i))), F.lit(-1))
+    end = at(has("a b c d e f g h"), start)
+    moves = F.get(F.filter(lines, lambda x, i: (i > end) & F.contains(x, F.lit("Valid moves:"))), F.lit(0))
+    opening = F.when(F.startswith(F.get(lines, F.lit(0)), F.lit("[GAME] You are playing")), F.slice(lines, 1, 2)).otherwise(F.array().cast("array<string>"))
+    kept = F.concat(opening, F.slice(lines, start + 1, (end - start + 1).cast("int")), F.array_compact(F.array(moves)))
+    return F.when(start < 0, NO_BOARD).when(end < 0, NO_END).otherwise(F.array_join(kept, "\n"))

@@ -192,3 +192,85 @@ def db_21(spark, d):
 @query("JON_04_canonical_arguments", "SELECT event_id, '{\"k\":\"' || CAST(json_extract_string(props, '$.k') AS BIGINT) || '\"}' AS args FROM events")
 def jon_04(spark, d):
     return table(spark, d, "events").select("event_id", canonical_json(F.col("props")).alias("args"))
+
+
+_LEG = f"""{_F}, ff AS (SELECT *, 4 + flight % 3 AS seats, 100 + flight % 50 AS price FROM f), rq AS (SELECT flight AS request_id, CASE WHEN flight % 11 = 0 THEN -1 ELSE o_custkey END AS user_id, CASE WHEN flight % 7 = 0 THEN flight + 1000000000 ELSE flight END AS leg, date, status, seats, price, flight % 6 + 1 AS n, o_custkey FROM ff JOIN orders ON o_orderkey = flight)"""
+
+
+def airline(spark, d):
+    f = flights(spark, d).select(F.col("flight"), F.date_format("date", "yyyy-MM-dd").alias("date"), "status", F.create_map(F.lit("eco"), (4 + F.col("flight") % 3).cast("int")).alias("seats"), F.create_map(F.lit("eco"), (100 + F.col("flight") % 50).cast("double")).alias("prices"))
+    return f, users(spark, d)
+
+
+@query("DB_13_book_reservation", f"""WITH {_LEG}, e AS (SELECT *, CASE WHEN user_id = -1 THEN 'Error: user not found' WHEN leg <> request_id THEN 'Error: flight ' || leg || ' not found' WHEN status <> 'available' THEN 'Error: flight ' || leg || ' not available on date ' || strftime(date, '%Y-%m-%d')
+ WHEN seats < n THEN 'Error: not enough seats on flight ' || leg WHEN request_id % 5 = 0 THEN 'Error: payment amount does not add up, total price is ' || CAST(n * (price + 30) + 50 AS DOUBLE) || ', but paid 1.0' END AS error FROM rq)
+SELECT request_id, error, CASE WHEN error IS NULL THEN CAST(n * (price + 30) + 50 AS DOUBLE) END AS total FROM e""")
+def db_13(spark, d):
+    f, u = airline(spark, d)
+    k, n = F.col("flight"), (F.col("flight") % 6 + 1).cast("int")
+    card = F.concat(F.lit("credit_card_"), F.col("o_custkey").cast("string"))
+    due = (n * (100 + k % 50 + 30) + 50).cast("double")
+    r = f.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), k == F.col("o_orderkey")).select(
+        k.alias("request_id"), F.when(k % 11 == 0, -1).otherwise(F.col("o_custkey")).alias("user_id"), F.lit("eco").alias("cabin"), F.array(F.struct(F.when(k % 7 == 0, k + 1_000_000_000).otherwise(k).alias("flight"), "date")).alias("legs"),
+        n.alias("n_passengers"), F.lit(True).alias("insured"), F.lit(1).alias("nonfree_bags"), F.array(F.struct(card.alias("method"), F.when(k % 5 == 0, 1.0).otherwise(due).alias("amount"))).alias("pay"))
+    return op.book(r, u, f).select("request_id", "error", "total")
+
+
+def reservations(spark, d):
+    """One reservation an order: its items are legs, its payments stay as they are."""
+    o = orders(spark, d)
+    return o.select(F.col("order_id").alias("reservation_id"), "user_id", F.lit("eco").alias("cabin"), F.array(F.struct(F.col("order_id").alias("flight"), F.lit("1998-01-01").alias("date"), F.lit(90.0).alias("price"))).alias("legs"),
+                    F.size("items").alias("n_passengers"), F.transform("items", lambda i: i["item_id"].cast("string")).alias("passengers"), F.transform("payments", lambda p: F.struct(p["method"].alias("method"), p["amount"].alias("amount"))).alias("payments"), (F.col("order_id") % 3).cast("int").alias("nonfree_bags"))
+
+
+RID = "CASE WHEN order_id % 10 = 9 THEN order_id + 1000000000 ELSE order_id END"
+
+
+def asked(spark, d):
+    r = reservations(spark, d)
+    k = F.col("reservation_id")
+    return r, F.when(k % 10 == 9, k + 1_000_000_000).otherwise(k).alias("reservation_id")
+
+
+@query("DB_14_cancel_reservation", f"WITH {_O} SELECT rid AS reservation_id, CASE WHEN rid <> order_id THEN 'Error: reservation not found' END AS error, CASE WHEN rid = order_id THEN 'cancelled' END AS status, CASE WHEN rid = order_id THEN 0.0::DOUBLE END AS balance FROM q")
+def db_14(spark, d):
+    r, rid = asked(spark, d)
+    total = F.aggregate("payments", F.lit(0.0), lambda a, p: a + p["amount"])
+    return op.cancel_reservations(r.select(rid), r).select("reservation_id", "error", "status", total.alias("balance"))
+
+
+@query("DB_18_change_bags", f"""WITH {_O}, x AS (SELECT q.*, u.balance, order_id % 3 AS had, order_id % 5 AS want FROM q JOIN u USING (user_id)), e AS (SELECT *, CASE WHEN rid <> order_id THEN 'Error: reservation not found' WHEN order_id % 13 = 4 THEN 'Error: payment method not found' WHEN order_id % 3 = 0 AND balance < 50 * greatest(0, want - had) THEN 'Error: gift card balance is not enough' END AS error FROM x)
+SELECT rid AS reservation_id, error, CASE WHEN rid <> order_id THEN NULL WHEN error IS NULL THEN want ELSE had END AS nonfree_bags, CASE WHEN rid <> order_id THEN -1 WHEN error IS NULL AND want > had THEN 2 ELSE 1 END AS n_payments FROM e""")
+def db_18(spark, d):
+    r, rid = asked(spark, d)
+    k = F.col("reservation_id")
+    method = F.when(k % 13 == 4, "paypal").otherwise(F.get("payments", F.lit(0))["method"])
+    got = op.change_bags(r.select(rid, F.lit(5).alias("total_bags"), (k % 5).cast("int").alias("nonfree_bags"), method.alias("method")), r, users(spark, d))
+    return got.select("reservation_id", "error", "nonfree_bags", F.coalesce(F.size("payments"), F.lit(-1)).alias("n_payments"))
+
+
+@query("DB_19_change_legs", f"""WITH {_O}, {_LEG.split(', rq AS')[0]}, x AS (SELECT q.*, len(items) AS n, u.balance, ff.flight, ff.date AS fdate, ff.status AS fstatus, ff.seats, ff.price AS fprice, order_id % 2 = 0 OR strftime(ff.date, '%Y-%m-%d') = '1998-01-01' AS same FROM q JOIN u USING (user_id) JOIN ff ON ff.flight = order_id),
+e AS (SELECT *, round(CASE WHEN same THEN 0 ELSE n * (fprice - 90.0) END, 2) AS due FROM x), g AS (SELECT *, CASE WHEN rid <> order_id THEN 'Error: reservation not found' WHEN NOT same AND fstatus <> 'available' THEN 'Error: flight ' || flight || ' not available on date ' || strftime(fdate, '%Y-%m-%d') WHEN NOT same AND seats < n THEN 'Error: not enough seats on flight ' || flight
+ WHEN order_id % 3 = 0 AND balance < due THEN 'Error: gift card balance is not enough' END AS error FROM e) SELECT rid AS reservation_id, error, CASE WHEN error IS NULL THEN due::DOUBLE END AS due FROM g""")
+def db_19(spark, d):
+    r, rid = asked(spark, d)
+    f, u = airline(spark, d)
+    k = F.col("reservation_id")
+    dated = r.join(f.select("flight", F.col("date").alias("__date")), k == F.col("flight"))
+    leg = F.struct(k.alias("flight"), F.when(k % 2 == 0, "1998-01-01").otherwise(F.col("__date")).alias("date"))
+    q = dated.select(rid, F.lit("eco").alias("cabin"), F.array(leg).alias("legs"), F.get("payments", F.lit(0))["method"].alias("method"))
+    return op.change_legs(q, r, u, f).select("reservation_id", "error", "due")
+
+
+@query("DB_20_change_passengers", f"WITH {_O} SELECT rid AS reservation_id, CASE WHEN rid <> order_id THEN 'Error: reservation not found' WHEN len(items) <> 4 THEN 'Error: number of passengers does not match' END AS error, CASE WHEN rid = order_id THEN len(items) END AS n FROM q")
+def db_20(spark, d):
+    r, rid = asked(spark, d)
+    four = F.array(*[F.lit(x) for x in "abcd"])
+    return op.change_passengers(r.select(rid, four.alias("passengers")), r).select("reservation_id", "error", F.when(F.col("passengers").isNotNull(), F.size("passengers").cast("long")).alias("n"))
+
+
+@query("DB_17_send_certificate", "SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END AS user_id, CASE WHEN c_custkey % 9 = 0 THEN 'Error: user not found' END AS error, CASE WHEN c_custkey % 9 <> 0 THEN 'certificate_1' END AS id FROM customer")
+def db_17(spark, d):
+    u = users(spark, d)
+    r = u.select((F.col("user_id") + F.when(F.col("user_id") % 9 == 0, 1_000_000).otherwise(0)).alias("user_id"), F.lit(100).alias("amount"))
+    return op.send_certificates(r, u, ["certificate_1", "certificate_2", "certificate_3"]).select("user_id", "error", "id")

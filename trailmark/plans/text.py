@@ -83,6 +83,8 @@ TABLE = [
     ("PRJ_17_array_sum", EV, lambda: join(F.zip_with(F.array(K(), K() + 1), F.array(K(), K() * 2), lambda a, b: a + b)), f"{_K} * 2 || '|' || {_K} * 3 + 1"),
     ("PRJ_18_append_truth", EV, lambda: join(F.array_append(F.array(F.lit("a")), F.col("event_type"))), "'a|' || event_type"),
     ("PRJ_13_slice_from_match", EV, lambda: join(F.slice(F.array(F.lit("click"), F.lit("view"), F.lit("error")), F.array_position(F.array(F.lit("click"), F.lit("view"), F.lit("error")), F.when(F.col("event_type").isin("view", "error"), F.col("event_type")).otherwise("click")).cast("int"), 3)), "CASE event_type WHEN 'view' THEN 'view|error' WHEN 'error' THEN 'error' ELSE 'click|view|error' END"),
+    ("FN_11_last_board", EV, lambda: F.md5(fn.last_board(F.concat(F.lit("[GAME] You are playing\nGo.\nCurrent board:\nold\n a b c d e f g h\n"), F.when(K() % 3 == 0, "Current board:\n").when(K() % 3 == 1, "Current board:\nnew\n a b c d e f g h\nx\nValid moves: [e2e4]").otherwise("")))),
+     f"CASE {_K} % 3 WHEN 0 THEN md5('Could not find end of board') WHEN 1 THEN md5('[GAME] You are playing' || chr(10) || 'Go.' || chr(10) || 'Current board:' || chr(10) || 'new' || chr(10) || ' a b c d e f g h' || chr(10) || 'Valid moves: [e2e4]') ELSE md5('[GAME] You are playing' || chr(10) || 'Go.' || chr(10) || 'Current board:' || chr(10) || 'old' || chr(10) || ' a b c d e f g h') END"),
     ("SET_06_concat_lists", DOCS, lambda: F.size(F.concat(F.split(T(), "\n"), F.split(T(), " "))), "len(string_split(text, chr(10))) + len(string_split(text, ' '))"),
     ("SET_07_set_equality", PART, lambda: (F.size(F.array_except(F.array("p_brand", "p_type"), F.array("p_type", "p_brand"))) == 0) & (F.size(F.array_except(F.array("p_type", "p_brand"), F.array("p_brand", "p_type"))) == 0), "true"),
 ]
