@@ -28,9 +28,9 @@ class RunConfig:
 
     def problems(self) -> list[str]:
         low, high = self.min_granularity_range_ns
-        checks = {f"mode must be one of {MODES}": self.mode in MODES, f"run_kind must be one of {KINDS}": self.run_kind in KINDS, "min_granularity_range_ns must be an increasing positive pair": 0 < low < high}
-        checks |= {f"{n} must be positive": getattr(self, n) > 0 for n in POSITIVE}
-        checks["run_duration_s must be divisible by window_duration_s"] = self.window_duration_s <= 0 or self.run_duration_s % self.window_duration_s == 0
+        checks = {f"mode isn't among {MODES}": self.mode in MODES, f"run_kind isn't among {KINDS}": self.run_kind in KINDS, "min_granularity_range_ns needs two positive numbers in rising order": 0 < low < high}
+        checks |= {f"{n} isn't above zero": getattr(self, n) > 0 for n in POSITIVE}
+        checks["whole windows must fill run_duration_s"] = self.window_duration_s <= 0 or self.run_duration_s % self.window_duration_s == 0
         return [text for text, ok in checks.items() if not ok]
 
     @property
