@@ -135,9 +135,10 @@ SQL = {"op9_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 s AS (SELECT item_id, w, least(len(w), {WINDOW}) AS k, unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) AS st FROM i WHERE len(w) > 0),
-win AS (SELECT DISTINCT item_id, k, list_slice(w, st, st + k - 1) AS ww, w[st] AS head FROM s),
-p AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
-m AS (SELECT p.rid, p.pos, win.k, win.item_id FROM p JOIN win ON p.word = win.head JOIN d ON d.rid = p.rid WHERE list_slice(d.w, p.pos, p.pos + win.k - 1) = win.ww),
+win AS (SELECT DISTINCT item_id, k, list_slice(w, st, st + k - 1) AS ww, w[st] AS head, w[st + 1] AS nxt FROM s),
+p AS (SELECT rid, unnest(w) AS word, unnest(list_slice(w, 2, len(w))) AS nxt, generate_subscripts(w, 1) AS pos FROM d),
+c AS (SELECT p.rid, p.pos, win.k, win.item_id, win.ww FROM p JOIN win ON p.word = win.head AND p.nxt = win.nxt AND win.k > 1),
+m AS (SELECT c.rid, c.pos, c.k, c.item_id FROM c JOIN d ON d.rid = c.rid WHERE list_slice(d.w, c.pos, c.pos + c.k - 1) = c.ww UNION ALL SELECT p.rid, p.pos, 1, win.item_id FROM p JOIN win ON p.word = win.head AND win.k = 1),
 h AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + k)) AS x FROM m) GROUP BY rid),
 it AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM m WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items,
