@@ -203,3 +203,16 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     d = docs(spark, [(1, "gamma x alpha y beta", "s"), (2, "alpha only", "s")])
     assert decontamination.proximity_matches(spark, d, bench).select("key").distinct().count() == 1
+
+
+def test_without_broadcasts_the_results_are_the_same(spark, monkeypatch):
+    d = docs(spark, [(i, f"x {i} the rare{i % 5} words of one item here now then end", "s") for i in range(40)])
+    bench = spark.createDataFrame([(j, f"the rare{j} words of one item here now then end") for j in range(5)], "item_id long, text string")
+    run = lambda: sorted(map(str, decontamination.phrase_matches(spark, d, bench).collect()))
+    entries = spark.createDataFrame([("a.b", "add", datetime.date(2024, 1, 1))], "pattern string, action string, date date")
+    caps = spark.createDataFrame([(i, f"http://{'x.' * (i % 2)}a.b/", datetime.date(2024, 1, 1 + i)) for i in range(9)], "id int, url string, at date")
+    urls = lambda: sorted(map(str, url_filter.evaluated(spark, caps, entries, "id", "url", "at").collect()))
+    before = run(), urls()
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(url_filter, "BROADCAST_INTERVALS", -1)
+    assert (run(), urls()) == before and len(before[0]) >= 40

@@ -7,7 +7,7 @@ the same term are compared outwards word by word, which gives the longest common
 window or more is an exact phrase match of each window in it. One row stands for all windows around one posting, so a
 passage gives a few rows, not one a window.
 
-Tables of benchmark terms are broadcast only if their counted rows are at most `BROADCAST_TERMS`; otherwise they are
+Tables of benchmark terms are broadcast only if their bytes, as counted, are at most `BROADCAST_BYTES`; otherwise they are
 joined by a shuffle, with the same result.
 
 Defined cases: null or wordless texts have no words and nothing is hit; an item of fewer than `window` words is one
@@ -24,7 +24,7 @@ from pyspark.sql import Window
 from .common import bare, row_key, table, written
 
 WINDOW = 10
-BROADCAST_TERMS = 200_000
+BROADCAST_BYTES = 8_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What is no part of a word, before A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -35,8 +35,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), GAP, -1), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+def _small(terms: DataFrame) -> DataFrame:
+    held = terms.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+    return F.broadcast(terms) if held <= BROADCAST_BYTES else terms
 
 
 def items_of(benchmark: DataFrame, item_col: str, text: str) -> DataFrame:
