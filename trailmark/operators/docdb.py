@@ -264,7 +264,7 @@ def outputs_found(outputs: Column, texts: Column) -> Column:
 
 def in_order(calls: DataFrame, key: str, seq: str) -> DataFrame:
     """calls with `round`: the nth call of each document goes to round n, so that a round holds one call a document."""
-    return calls.withColumn("round", F.row_number().over(Window.partitionBy(key).orderBy(seq)))
+    return calls.withColumn("round", F.row_number().over(Window.partitionBy(key).orderBy(seq)).cast("long"))
 
 
 class Tools:

@@ -41,7 +41,7 @@ def replay(steps: DataFrame, targets: list[int], confidence: bool = False) -> Da
     """Per run and target: times, tokens, hits and ratios over the first `target` steps. The next step's time and tokens are
     taken before the trajectory is cut."""
     s = steps.withColumn("guesses", confident()) if confidence else steps
-    s = s.withColumn("k", F.size("guesses")).withColumn("t1", F.lead("t").over(by_step())).withColumn("w1", F.lead("w").over(by_step())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
+    s = s.withColumn("k", F.size("guesses").cast("long")).withColumn("t1", F.lead("t").over(by_step())).withColumn("w1", F.lead("w").over(by_step())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
     s = states(s)
     s = s.withColumn("target", F.explode(F.array(*map(F.lit, targets)))).withColumn("cut", F.least("target", "n")).where("step < cut")
     last = F.col("step") == F.col("cut") - 1

@@ -62,8 +62,8 @@ def relative_time(ts: str, started: str, first_apply: str) -> Column:
 def cumulative_with_origin(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """Running sums, with a row of zeros before the first."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("n"), *[F.sum(v).over(w).alias(v) for v in values])
-    return rows.unionByName(df.select(*keys).distinct().select(*keys, F.lit(0).alias("n"), *[F.lit(0).cast(rows.schema[v].dataType).alias(v) for v in values]))
+    rows = df.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long").alias("n"), *[F.sum(v).over(w).alias(v) for v in values])
+    return rows.unionByName(df.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("n"), *[F.lit(0).cast(rows.schema[v].dataType).alias(v) for v in values]))
 
 
 def step_points(applies: DataFrame, keys: list[str], ts: str, value: str, start: float, end: float, initial: float) -> DataFrame:
@@ -84,7 +84,7 @@ def with_shutdown(requests: DataFrame, response: str, error: str) -> DataFrame:
 def replay_schedule(requests: DataFrame, keys: list[str], start: str) -> DataFrame:
     """Applied proposals of the actor with a value, by their offset from the start, in order."""
     got = requests.where((F.col("role") == "actor") & F.col("applied") & F.col("apply_ts").isNotNull() & F.col("value").isNotNull())
-    return got.withColumn("offset", F.col("apply_ts") - F.col(start)).where("offset >= 0").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("offset", "seq"))).select(*keys, "nth", "offset", "value")
+    return got.withColumn("offset", F.col("apply_ts") - F.col(start)).where("offset >= 0").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("offset", "seq")).cast("long")).select(*keys, "nth", "offset", "value")
 
 
 def since_baseline(windows: DataFrame, keys: list[str], order: str, actor_applied: str) -> DataFrame:

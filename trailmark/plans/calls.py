@@ -20,7 +20,7 @@ def messages(spark, d):
     e = table(spark, d, "events")
     role = F.when(F.col("event_type") == "signup", "user").when(F.col("event_type").isin("click", "view"), "tool").otherwise("assistant")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("task"), F.row_number().over(w).alias("seq"), role.alias("role"), F.col("event_type").alias("name"), F.concat(F.lit("k="), (F.get_json_object("props", "$.k").cast("long") % 3).cast("string")).alias("args"), "value")
+    return e.select(F.col("user_id").alias("task"), F.row_number().over(w).cast("long").alias("seq"), role.alias("role"), F.col("event_type").alias("name"), F.concat(F.lit("k="), (F.get_json_object("props", "$.k").cast("long") % 3).cast("string")).alias("args"), "value")
 
 
 def both(spark, d):

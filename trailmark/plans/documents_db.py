@@ -220,7 +220,7 @@ def reservations(spark, d):
     """One reservation an order: its items are legs, its payments stay as they are."""
     o = orders(spark, d)
     return o.select(F.col("order_id").alias("reservation_id"), "user_id", F.lit("eco").alias("cabin"), F.array(F.struct(F.col("order_id").alias("flight"), F.lit("1998-01-01").alias("date"), F.lit(90.0).alias("price"))).alias("legs"),
-                    F.size("items").alias("n_passengers"), F.transform("items", lambda i: i["item_id"].cast("string")).alias("passengers"), F.transform("payments", lambda p: F.struct(p["method"].alias("method"), p["amount"].alias("amount"))).alias("payments"), (F.col("order_id") % 3).cast("int").alias("nonfree_bags"))
+                    F.size("items").alias("n_passengers"), F.transform("items", lambda i: i["item_id"].cast("string")).alias("passengers"), F.transform("payments", lambda p: F.struct(p["method"].alias("method"), p["amount"].alias("amount"))).alias("payments"), (F.col("order_id") % 3).alias("nonfree_bags"))
 
 
 RID = "CASE WHEN order_id % 10 = 9 THEN order_id + 1000000000 ELSE order_id END"
@@ -245,7 +245,7 @@ def db_18(spark, d):
     r, rid = asked(spark, d)
     k = F.col("reservation_id")
     method = F.when(k % 13 == 4, "paypal").otherwise(F.get("payments", F.lit(0))["method"])
-    got = op.change_bags(r.select(rid, F.lit(5).alias("total_bags"), (k % 5).cast("int").alias("nonfree_bags"), method.alias("method")), r, users(spark, d))
+    got = op.change_bags(r.select(rid, F.lit(5).alias("total_bags"), (k % 5).alias("nonfree_bags"), method.alias("method")), r, users(spark, d))
     return got.select("reservation_id", "error", "nonfree_bags", F.coalesce(F.size("payments"), F.lit(-1)).alias("n_payments"))
 
 

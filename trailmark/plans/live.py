@@ -30,13 +30,13 @@ def stm_slide(spark, d):
     return got.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
 
 
-@query("STM_beyond_session_window", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, s - 1 AS nth, count(*) AS n FROM s GROUP BY 1, 2")
+@query("STM_beyond_session_window", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, CAST(s - 1 AS BIGINT) AS nth, count(*) AS n FROM s GROUP BY 1, 2")
 def stm_session(spark, d):
     """Sessions of a user with gaps under six hours; the same frame also runs on a stream."""
     from pyspark.sql import Window
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     got = loop.sessions(e, "ts", "6 hours", "1 hour", ["user_id"])
-    return got.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("start")) - 1).alias("nth"), "n")
+    return got.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("start")) - 1).cast("long").alias("nth"), "n")
 
 
 def request_log(spark, d):
@@ -57,7 +57,7 @@ def stm_03(spark, d):
 
 @query("STM_14_memoized_calls", "SELECT event_id, length(event_type) AS answer FROM events")
 def stm_14(spark, d):
-    call = lambda keys: keys.withColumn("answer", F.length("event_type"))
+    call = lambda keys: keys.withColumn("answer", F.length("event_type").cast("long"))
     return udfs.memoized(table(spark, d, "events").select("event_id", "event_type"), ["event_type"], call).select("event_id", "answer")
 
 

@@ -71,7 +71,7 @@ def win_03(spark, d):
 
 
 @query("JON_13_previous_step_hit", f"""WITH {STEPS}, a AS (SELECT *, lag(guesses) OVER w AS before FROM steps WINDOW w AS (PARTITION BY run_id ORDER BY step))
-SELECT run_id, step, CASE WHEN list_position(before, move) > 0 AND list_position(before, move) <= 2 THEN list_position(before, move) - 1 END AS at FROM a""")
+SELECT run_id, step, CASE WHEN list_position(before, move) > 0 AND list_position(before, move) <= 2 THEN CAST(list_position(before, move) - 1 AS BIGINT) END AS at FROM a""")
 def jon_13(spark, d):
     """The first earlier prediction equal to this move, if one of the first two has a speculation."""
     p = F.array_position(F.lag("guesses").over(replay.by_step()), F.col("move"))

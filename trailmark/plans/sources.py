@@ -72,13 +72,13 @@ def src_19(spark, d):
     return f.agg(F.count(F.lit(1)).cast("int").alias("files")).join(files.newest(f).agg(F.count(F.lit(1)).cast("int").alias("newest")))
 
 
-@query("SRC_20_proc_stat", "SELECT 'cpu' || n_nationkey AS label, n_nationkey * 3 AS total FROM nation")
+@query("SRC_20_proc_stat", "SELECT 'cpu' || n_nationkey AS label, CAST(n_nationkey * 3 AS BIGINT) AS total FROM nation")
 def src_20(spark, d):
     n = table(spark, d, "nation").select(F.concat(F.lit("cpu"), F.col("n_nationkey").cast("string"), F.lit("  "), F.col("n_nationkey").cast("string"), F.lit(" "), (F.col("n_nationkey") * 2).cast("string")).alias("value"))
     return files.proc_stat(n).select("label", F.aggregate("counters", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("SRC_21_state_residency", "SELECT p_type, sum(p_size) AS p_size FROM part GROUP BY 1")
+@query("SRC_21_state_residency", "SELECT p_type, CAST(sum(p_size) AS BIGINT) AS p_size FROM part GROUP BY 1")
 def src_21(spark, d):
     return files.state_residency(table(spark, d, "part"), "p_type", "p_size", [])
 
@@ -86,7 +86,7 @@ def src_21(spark, d):
 @query("SRC_22_page_paragraphs", "SELECT page_id, len(regexp_extract_all(html, '<p>[^<]+')) AS n FROM pages")
 def src_22(spark, d):
     """Paragraphs of stored pages, by native expressions."""
-    return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<p>([^<]+)"), 1)).alias("n"))
+    return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<p>([^<]+)"), 1)).cast("long").alias("n"))
 
 
 @query("SRC_23_JON_14_SET_05_dictionary", """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part), f AS (SELECT w FROM w UNION SELECT w || 's' FROM w WHERE NOT w ENDS WITH 's' UNION SELECT 're' || w FROM w UNION SELECT left(w, len(w) - 1) || 'ies' FROM w WHERE w LIKE '%y') SELECT w AS form FROM f""".replace("NOT w ENDS WITH 's'", "w NOT LIKE '%s'"))

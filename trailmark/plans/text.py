@@ -48,7 +48,7 @@ TABLE = [
     ("FN_10_uci_moves", EV, lambda: join(fn.uci_moves(MOVES())), f"chr(CAST(97 + {_K} % 8 AS INT)) || '2' || chr(CAST(97 + {_K} % 8 AS INT)) || '4|e7e8q'"),
     ("FN_12_confidences", EV, lambda: join(fn.confidences(CONF())), f"CASE {_K} % 3 WHEN 0 THEN {_K} || '.0|12.5' WHEN 1 THEN {_K} || '.0|7.0' ELSE '' END"),
     ("FN_15_SRT_09_sentences", DOCS, lambda: join(F.slice(fn.sentences(T()), 1, 5)), f"array_to_string(list_slice({_SENT}, 1, 5), '|')"),
-    ("FN_16_keyword_hits", DOCS, lambda: F.size(fn.keyword_hits(T(), F.lit("TION"))), f"len(list_filter({_SENT}, lambda s: contains(lower(s), 'tion')))"),
+    ("FN_16_keyword_hits", DOCS, lambda: F.size(fn.keyword_hits(T(), F.lit("TION"))).cast("long"), f"len(list_filter({_SENT}, lambda s: contains(lower(s), 'tion')))"),
     ("FN_17_page_text", DOCS, lambda: F.md5(fn.page_text(F.split(T(), "\n"))), "md5(array_to_string(list_filter(string_split(text, chr(10)), lambda p: len(string_split(p, ' ')) > 2), chr(10)))"),
     ("FN_18_disambiguation", DOCS, lambda: fn.is_disambiguation(F.split(T(), "\n")), "contains(text, 'may refer to:')"),
     ("FN_20_strip_role", CONV, lambda: F.md5(fn.strip_role(F.concat(F.lit("["), F.col("role"), F.lit("] "), F.col("role"), F.lit(":"), T()), F.col("role"))), "md5(' ' || text)"),
@@ -85,7 +85,7 @@ TABLE = [
     ("PRJ_13_slice_from_match", EV, lambda: join(F.slice(F.array(F.lit("click"), F.lit("view"), F.lit("error")), F.array_position(F.array(F.lit("click"), F.lit("view"), F.lit("error")), F.when(F.col("event_type").isin("view", "error"), F.col("event_type")).otherwise("click")).cast("int"), 3)), "CASE event_type WHEN 'view' THEN 'view|error' WHEN 'error' THEN 'error' ELSE 'click|view|error' END"),
     ("FN_11_last_board", EV, lambda: F.md5(fn.last_board(F.concat(F.lit("[GAME] You are playing\nGo.\nCurrent board:\nold\n a b c d e f g h\n"), F.when(K() % 3 == 0, "Current board:\n").when(K() % 3 == 1, "Current board:\nnew\n a b c d e f g h\nx\nValid moves: [e2e4]").otherwise("")))),
      f"CASE {_K} % 3 WHEN 0 THEN md5('Could not find end of board') WHEN 1 THEN md5('[GAME] You are playing' || chr(10) || 'Go.' || chr(10) || 'Current board:' || chr(10) || 'new' || chr(10) || ' a b c d e f g h' || chr(10) || 'Valid moves: [e2e4]') ELSE md5('[GAME] You are playing' || chr(10) || 'Go.' || chr(10) || 'Current board:' || chr(10) || 'old' || chr(10) || ' a b c d e f g h') END"),
-    ("SET_06_concat_lists", DOCS, lambda: F.size(F.concat(F.split(T(), "\n"), F.split(T(), " "))), "len(string_split(text, chr(10))) + len(string_split(text, ' '))"),
+    ("SET_06_concat_lists", DOCS, lambda: F.size(F.concat(F.split(T(), "\n"), F.split(T(), " "))).cast("long"), "len(string_split(text, chr(10))) + len(string_split(text, ' '))"),
     ("SET_07_set_equality", PART, lambda: (F.size(F.array_except(F.array("p_brand", "p_type"), F.array("p_type", "p_brand"))) == 0) & (F.size(F.array_except(F.array("p_type", "p_brand"), F.array("p_brand", "p_type"))) == 0), "true"),
 ]
 

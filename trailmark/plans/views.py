@@ -20,7 +20,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     past = F.array_compact(F.array(*[F.lag("event_type", i).over(w) for i in (1, 2, 3)]))
     score = lambda m: F.pmod(F.col("k") * m, F.lit(101)).cast("double")
     return e.select(
-        F.col("user_id").alias("run_id"), (F.row_number().over(w) - 1).alias("step"), F.col("event_type").alias("move"), F.col("value").alias("t"), F.col("k").alias("w"),
+        F.col("user_id").alias("run_id"), (F.row_number().over(w) - 1).cast("long").alias("step"), F.col("event_type").alias("move"), F.col("value").alias("t"), F.col("k").alias("w"),
         past.alias("guesses"), (F.col("value") * 0.25).alias("g"), F.pmod("k", F.lit(7)).alias("gw"), F.array(score(7), score(11), score(13)).alias("scores"))
 
 

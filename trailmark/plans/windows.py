@@ -16,7 +16,7 @@ _W = """e AS (SELECT user_id AS run_id, row_number() OVER w - 1 AS it, epoch(ts)
 def runs(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return table(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.row_number().over(w) - 1).alias("it"), ts.alias("ts"), "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id")
+    return table(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.row_number().over(w) - 1).cast("long").alias("it"), ts.alias("ts"), "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id")
 
 
 @query("JON_12_as_of", f"WITH {_W}, a AS (SELECT run_id, ts, k FROM e WHERE event_type = 'purchase') SELECT e.run_id, e.it, coalesce(a.k, -1) AS as_of_k FROM e ASOF LEFT JOIN a ON e.run_id = a.run_id AND e.ts >= a.ts WHERE e.event_type <> 'purchase'")
@@ -171,4 +171,4 @@ def prj_15(spark, d):
 def stm_16(spark, d):
     """The twelve slowest probes: a top-k report."""
     p = runs(spark, d).groupBy("run_id").agg(F.round(F.avg("value"), 6).alias("p95")).orderBy(F.desc("p95"), "run_id").limit(12)
-    return p.select("run_id", "p95", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("p95"), "run_id")).alias("nth"))
+    return p.select("run_id", "p95", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("p95"), "run_id")).cast("long").alias("nth"))
