@@ -94,6 +94,32 @@ def test_one_of_each_group_stays(spark):
     assert simhash_dedup.stage(spark, docs.limit(0), "").count() == 0
 
 
+def brute_shingles(t, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_stage_links_all_texts_of_similarity_eight_tenths(spark):
+    """Short near copies lie over 3 bits apart; chains join over their middle."""
+    rng = random.Random(4)
+    make = lambda k: [f"w{rng.randint(0, 9999)}" for _ in range(k)]
+    texts = []
+    for k in (30, 60, 90, 120, 200) * 6:
+        w = make(k)
+        texts += [" ".join(w), " ".join(w[:-1] + ["end"]), " ".join(w + make(k // 12)), " ".join(make(k // 5) + w), " ".join(w[: k // 2] + ["mid"] + w[k // 2 + 1 :])]
+    sets = [brute_shingles(t) for t in texts]
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [brute_print(t) for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 3 for i, j in links) > 20
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    stage = dict(pytest.importorskip("corpus_pipeline").STAGES)["simhash_near_dedup"]
+    got = stage(spark, spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], DOC), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+
+
 # bpe
 
 
