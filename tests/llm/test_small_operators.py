@@ -1,6 +1,7 @@
 """Sharding, line dedup, URL filter, quality rules and decontamination: brute force and edge cases."""
 
 import datetime
+import os
 import random
 import re
 import zlib
@@ -97,6 +98,24 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert sorted(bad.collect()) == sorted(want.collect())
 
 
+def test_long_lines_need_fewer_sites(spark):
+    """In the pipeline's stage: 6 sites for 20 characters, 12 for fewer."""
+    rows = [(n * 100 + i, f"a footer that stands on {n} sites\nshort {n}\nfiller text of document {n} {i} that is longer than all", f"s{i}") for n in (5, 6, 11, 12) for i in range(n)]
+    got = {r["doc_id"]: r["text"].split("\n")[:-1] for r in line_dedup.stage(spark, docs(spark, rows), "").collect()}
+    assert {i // 100: v for i, v in got.items()} == {5: ["a footer that stands on 5 sites", "short 5"], 6: ["short 6"], 11: ["short 11"], 12: []}
+
+
+@pytest.mark.parametrize("name", sorted(line_dedup.QUERIES))
+def test_line_dedup_equals_sql(spark, name):
+    duckdb, d = pytest.importorskip("duckdb"), "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    got = line_dedup.QUERIES[name](spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({line_dedup.SQL[name]})").fetchall())
+
+
 def test_line_dedup_no_rows(spark):
     assert line_dedup.without_boilerplate(spark, docs(spark, [])).count() == 0
 

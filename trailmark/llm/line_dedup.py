@@ -2,7 +2,8 @@
 
 Each line's sites are held in a HyperLogLog sketch; sketches of equal lines (by a hash) are merged by the aggregation, map
 side first, so a line that stands in a third of all documents costs one small sketch a task. Lines whose estimate lies
-within `band` of the threshold get an exact distinct count. Lines on `min_sites` sites or more are boilerplate and are cut
+within `band` of the threshold get an exact distinct count. Lines on `min_sites` sites or more are boilerplate, with
+`long_sites` also those of LONG_CHARS characters on that many (shorter ones repeat by chance), and are cut
 from every document, except where they make up more than `max_share` of a document's characters: such a document is
 itself a copy that went round, not a page with boilerplate on it, and is left whole for the near-duplicate stage.
 
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import bare, row_key, table, written
 
 MIN_SITES = 12
+#: Lines of LONG_CHARS characters or more are boilerplate from LONG_SITES sites on, in the stage and in op1_line_dedup_wide.
+LONG_SITES = 6
+LONG_CHARS = 20
 BAND = 0.25
 MAX_SHARE = 0.5
 LG_K = 12
@@ -27,14 +31,15 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def boilerplate(spark: SparkSession, docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K) -> DataFrame:
-    """The hashes `h` of lines on min_sites sites or more."""
-    lines = bare(docs, text, site).toDF("t", "site").select("site", F.explode(lines_of(F.col("t"))).alias("line")).select("site", F.trim("line").alias("line")).where("line <> ''").select(F.xxhash64("line").alias("h"), "site")
-    spread = lines.where("site is not null").groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("about"))
-    likely = written(spark, spread.where(F.col("about") >= min_sites * (1 - band)), "line-spread")
-    sure = likely.where(F.col("about") > min_sites * (1 + band)).select("h")
-    near = likely.where(F.col("about") <= min_sites * (1 + band)).select("h")
-    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites).select("h")
+def boilerplate(spark: SparkSession, docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K, long_sites: int | None = None) -> DataFrame:
+    """The hashes `h` of lines on min_sites sites or more, or on long_sites if they have LONG_CHARS characters."""
+    least = F.lit(min_sites) if long_sites is None else F.when(F.length("line") >= LONG_CHARS, F.lit(long_sites)).otherwise(F.lit(min_sites))
+    lines = bare(docs, text, site).toDF("t", "site").select("site", F.explode(lines_of(F.col("t"))).alias("line")).select("site", F.trim("line").alias("line")).where("line <> ''").select(F.xxhash64("line").alias("h"), "site", least.alias("least"))
+    spread = lines.where("site is not null").groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("about"), F.max("least").alias("least"))
+    likely = written(spark, spread.where(F.col("about") >= F.col("least") * (1 - band)), "line-spread")
+    sure = likely.where(F.col("about") > F.col("least") * (1 + band)).select("h")
+    near = likely.where(F.col("about") <= F.col("least") * (1 + band)).select("h")
+    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("n"), F.max("least").alias("least")).where(F.col("n") >= F.col("least")).select("h")
     return written(spark, sure.unionByName(exact), "line-boilerplate")
 
 
@@ -61,14 +66,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_boilerplate", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
 
 
+def op1_line_dedup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that the pipeline's stage cuts."""
+    got = without_boilerplate(spark, bare(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), long_sites=LONG_SITES)
+    return got.select("doc_id", "n_lines", "n_boilerplate", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without boilerplate lines; n_chars follows where there is such a column."""
-    got = without_boilerplate(spark, docs)
+    got = without_boilerplate(spark, docs, long_sites=LONG_SITES)
     n = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return got.select(*[n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op1_line_dedup_wide": op1_line_dedup_wide}
 SQL = {"op1_line_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents),
 l AS (SELECT rid, source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM d),
@@ -81,3 +92,5 @@ f AS (SELECT d.doc_id, s.n_lines, s.n_boilerplate, n_boilerplate > 0 AND cut_cha
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_boilerplate AS BIGINT) AS n_boilerplate, CAST(CASE WHEN cuts THEN n_boilerplate ELSE 0 END AS BIGINT) AS n_removed,
        CAST(length(CASE WHEN cuts THEN rest ELSE text END) AS BIGINT) AS n_chars_kept, md5(CASE WHEN cuts THEN rest ELSE text END) AS text_md5 FROM f
 """}
+SQL["op1_line_dedup_wide"] = SQL["op1_line_dedup"].replace(
+    f"HAVING count(DISTINCT source) >= {MIN_SITES}", f"HAVING count(DISTINCT source) >= CASE WHEN length(trim(raw)) >= {LONG_CHARS} THEN {LONG_SITES} ELSE {MIN_SITES} END")
