@@ -105,6 +105,13 @@ def test_long_lines_need_fewer_sites(spark):
     assert {i // 100: v for i, v in got.items()} == {5: ["a footer that stands on 5 sites", "short 5"], 6: ["short 6"], 11: ["short 11"], 12: []}
 
 
+def test_mostly_boilerplate_is_cut_if_own_lines_remain(spark):
+    foot = "the footer of all these sites, far longer than what else stands there"
+    rows = [(i, f"own {i}\n{foot}", f"s{i}") for i in range(12)] + [(50, foot, "s1"), (51, f"\n{foot}\n", "s1")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.stage(spark, docs(spark, rows), "").collect()}
+    assert got == {i: f"own {i}" for i in range(12)} | {50: foot, 51: f"\n{foot}\n"}
+
+
 @pytest.mark.parametrize("name", sorted(line_dedup.QUERIES))
 def test_line_dedup_equals_sql(spark, name):
     duckdb, d = pytest.importorskip("duckdb"), "/root/testdata/sf0.01"

@@ -6,6 +6,7 @@ within `band` of the threshold get an exact distinct count. Lines on `min_sites`
 `long_sites` also those of LONG_CHARS characters on that many (shorter ones repeat by chance), and are cut
 from every document, except where they make up more than `max_share` of a document's characters: such a document is
 itself a copy that went round, not a page with boilerplate on it, and is left whole for the near-duplicate stage.
+Without max_share, as in the pipeline's stage, only documents that are boilerplate throughout are left whole.
 
 Defined cases: lines are split at \\n and compared without outer spaces; blank lines are never boilerplate; a null site
 counts for no line; a null text stays null and has no lines; equal rows get equal results; no rows give no rows.
@@ -43,7 +44,7 @@ def boilerplate(spark: SparkSession, docs: DataFrame, text: str = "text", site:
     return written(spark, sure.unionByName(exact), "line-boilerplate")
 
 
-def without_boilerplate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", max_share: float = MAX_SHARE, **how) -> DataFrame:
+def without_boilerplate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", max_share: float | None = MAX_SHARE, **how) -> DataFrame:
     """docs with `text` cleaned, and the columns n_lines, n_boilerplate, n_removed (all long)."""
     bad = boilerplate(spark, docs, text, site, **how)
     keyed = docs.withColumn("__key", row_key(F.col(f"`{id_col}`"), F.col(f"`{text}`")))
@@ -54,7 +55,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, id_col: str = "doc
     got = got.withColumn("__cut", F.when(F.col("__bad").isNotNull(), F.filter("__lines", lambda x: ~blank(x) & F.array_contains("__bad", F.xxhash64(F.trim(x))))).otherwise(F.array().cast("array<string>")))
     size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     full = F.filter("__lines", lambda x: ~blank(x))
-    got = got.withColumn("__cuts", (F.size("__cut") > 0) & (size(F.col("__cut")) <= max_share * size(full)))
+    some = F.size("__cut") < F.size(full) if max_share is None else size(F.col("__cut")) <= max_share * size(full)
+    got = got.withColumn("__cuts", (F.size("__cut") > 0) & some)
     kept = F.array_join(F.filter("__lines", lambda x: blank(x) | ~F.array_contains("__bad", F.xxhash64(F.trim(x)))), "\n")
     return got.select(
         *[F.when(F.col("__cuts"), kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
@@ -67,14 +69,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that the pipeline's stage cuts."""
-    got = without_boilerplate(spark, bare(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), long_sites=LONG_SITES)
+    """The lines that the pipeline's stage cuts, from each document with lines of its own."""
+    got = without_boilerplate(spark, bare(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), max_share=None, long_sites=LONG_SITES)
     return got.select("doc_id", "n_lines", "n_boilerplate", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without boilerplate lines; n_chars follows where there is such a column."""
-    got = without_boilerplate(spark, docs, long_sites=LONG_SITES)
+    got = without_boilerplate(spark, docs, max_share=None, long_sites=LONG_SITES)
     n = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return got.select(*[n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
@@ -93,4 +95,5 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_boilerplate AS BIGINT)
        CAST(length(CASE WHEN cuts THEN rest ELSE text END) AS BIGINT) AS n_chars_kept, md5(CASE WHEN cuts THEN rest ELSE text END) AS text_md5 FROM f
 """}
 SQL["op1_line_dedup_wide"] = SQL["op1_line_dedup"].replace(
-    f"HAVING count(DISTINCT source) >= {MIN_SITES}", f"HAVING count(DISTINCT source) >= CASE WHEN length(trim(raw)) >= {LONG_CHARS} THEN {LONG_SITES} ELSE {MIN_SITES} END")
+    f"HAVING count(DISTINCT source) >= {MIN_SITES}", f"HAVING count(DISTINCT source) >= CASE WHEN length(trim(raw)) >= {LONG_CHARS} THEN {LONG_SITES} ELSE {MIN_SITES} END"
+).replace(f"cut_chars <= {MAX_SHARE} * all_chars", "n_boilerplate < n_lines")
