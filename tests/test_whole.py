@@ -15,3 +15,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables her
 def test_every_twentieth_vector_is_searched(spark):
     got = Q["SRT_10_top_similar_every_20"](spark, D).select("q").distinct().collect()
     assert sorted(r["q"] for r in got) == sorted(r["vec_id"] for r in table(spark, D, "embeddings").where("vec_id % 20 = 0").collect())
+
+
+@pytest.mark.parametrize("name, of", [("SRC_01_step_files_all", "events"), ("SRC_03_text_files_all", "nation"), ("SRC_24_score_table_all", "part"), ("FN_money_rounding_all", "part")])
+def test_sources_read_every_row(spark, name, of):
+    assert Q[name](spark, D).count() == table(spark, D, of).count()
+
+
+def test_each_user_has_own_steps(spark):
+    got = {(r["run"], r["step"]) for r in Q["SRC_01_step_files_all"](spark, D).collect()}
+    n = {r["user_id"]: r["count"] for r in table(spark, D, "events").groupBy("user_id").count().collect()}
+    assert got == {(u, i) for u, k in n.items() for i in range(k)}

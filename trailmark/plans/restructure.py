@@ -121,6 +121,11 @@ def fn_money(spark, d):
     return table(spark, d, "part").where("p_partkey % 10 = 0").select("p_partkey", batched(python_round, "double")(F.col("p_retailprice") * 0.5).alias("out"))
 
 
+@query("FN_money_rounding_all", "SELECT p_partkey, round(p_retailprice * 0.5, 2) AS out FROM part")
+def fn_money_all(spark, d):
+    return table(spark, d, "part").select("p_partkey", batched(python_round, "double")(F.col("p_retailprice") * 0.5).alias("out"))
+
+
 @query("DB_12_DB_16_DB_17_constants", "SELECT 'think' AS tool, '' AS answer UNION ALL SELECT 'transfer_to_human_agents', 'Transfer successful'")
 def db_12(spark, d):
     """Tools whose answer doesn't depend on data; the second one ends the episode."""

@@ -23,6 +23,19 @@ def src_01(spark, d):
     return got.select(F.regexp_extract("file", r"steps_(\d+)", 1).cast("long").alias("run"), "step", "current_move")
 
 
+@query("SRC_01_step_files_all", "SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS step, event_type AS current_move FROM events")
+def src_01_all(spark, d):
+    """All events, one file a user, so that no file holds a share of the whole table."""
+    from pyspark.sql import Window
+    e = table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", "event_type")
+    e = e.withColumn("step", (F.row_number().over(Window.partitionBy("run").orderBy("event_id")) - 1).cast("string"))
+    one = e.groupBy("run").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("step", F.struct(F.col("event_type").alias("current_move")))))).alias("value"))
+    path = scratch(spark)
+    one.select("value", F.concat(F.lit("steps_"), F.col("run").cast("string")).alias("name")).write.partitionBy("name").text(path)
+    got = files.steps(spark, f"{path}/name=steps_*/part-*")
+    return got.select(F.regexp_extract("file", r"steps_(\d+)", 1).cast("long").alias("run"), "step", "current_move")
+
+
 @query("SRC_03_SRC_05_text_files", "SELECT n_name AS text FROM nation WHERE n_nationkey < 3")
 def src_03(spark, d):
     path = scratch(spark)
@@ -30,6 +43,13 @@ def src_03(spark, d):
     return files.text_files(spark, f"{path}/*/part-*").select(F.trim(F.replace("text", F.lit("\n"), F.lit(""))).alias("text"))
 
 
+@query("SRC_03_text_files_all", "SELECT n_name AS text FROM nation")
+def src_03_all(spark, d):
+    path = scratch(spark)
+    table(spark, d, "nation").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).write.partitionBy("k").text(path)
+    return files.text_files(spark, f"{path}/*/part-*").select(F.trim(F.replace("text", F.lit("\n"), F.lit(""))).alias("text"))
+
+
 @query("SRC_08_partition_path", "SELECT n_name, n_regionkey AS agent FROM nation")
 def src_08(spark, d):
     path = scratch(spark)
@@ -103,6 +123,12 @@ def src_24(spark, d):
     return files.score_table(t, "t")
 
 
+@query("SRC_24_score_table_all", "SELECT p_brand AS issue, p_type AS option, p_size AS score FROM part")
+def src_24_all(spark, d):
+    t = table(spark, d, "part").select(F.concat(F.col("p_brand"), F.lit(": "), F.col("p_type"), F.lit("="), F.col("p_size").cast("string")).alias("t"))
+    return files.score_table(t, "t")
+
+
 @query("SNK_04_SNK_05_SNK_07_SNK_08_append", "SELECT n_name FROM nation UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 1")
 def snk_04(spark, d):
     path = scratch(spark)
