@@ -26,3 +26,18 @@ def test_each_user_has_own_steps(spark):
     got = {(r["run"], r["step"]) for r in Q["SRC_01_step_files_all"](spark, D).collect()}
     n = {r["user_id"]: r["count"] for r in table(spark, D, "events").groupBy("user_id").count().collect()}
     assert got == {(u, i) for u, k in n.items() for i in range(k)}
+
+
+def test_ladders_start_from_every_word(spark):
+    from trailmark.plans.settlement import words
+    w = sorted(r["w"] for r in words(spark, D).collect())
+    near = {a: [b for b in w if sum(x != y for x, y in zip(a, b)) == 1] for a in w}
+    want = {(a, a): 0 for a in w}
+    for a in w:
+        for b in near[a]:
+            want[a, b] = 1
+    for a in w:
+        for c in {c for b in near[a] for c in near[b]}:
+            want.setdefault((a, c), 2)
+    got = Q["GME_25_word_ladder_all"](spark, D).collect()
+    assert len(got) == len(want) and {(r["source"], r["node"]): r["hops"] for r in got} == want

@@ -182,6 +182,13 @@ def gme_25(spark, d):
     return op.reached(op.neighbours(w, "w"), w.where("w like '0%'").select(F.col("w").alias("source")), 2)
 
 
+@query("GME_25_word_ladder_all")
+def gme_25_all(spark, d):
+    """From every word."""
+    w = words(spark, d)
+    return op.reached(op.neighbours(w, "w"), w.select(F.col("w").alias("source")), 2)
+
+
 @query("WIN_11_rank_rewards", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS r FROM lineitem), m AS (SELECT *, max(r) OVER (PARTITION BY l_orderkey) AS n FROM r)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN n > 1 THEN -1 + 2.0::DOUBLE * (r - 1) / (n - 1) ELSE 0 END, 6) AS reward FROM m""")
 def win_11(spark, d):
