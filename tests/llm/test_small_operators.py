@@ -242,3 +242,10 @@ def test_without_broadcasts_the_results_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(url_filter, "BROADCAST_INTERVALS", -1)
     assert (run(), urls()) == before and len(before[0]) >= 40
+
+
+def test_repeats_of_a_very_long_text_are_all_found(spark):
+    """Over a million words: 150,000 windows that stand there twice, apart, are 900,000 words."""
+    text = " ".join(f"a{i % 150000} b{i % 150000} c{i % 150000} u{i}" for i in range(300000))
+    got = quality_rules.measured(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["n_words"] == 1200000 and got["n_repeat_words"] == 900000

@@ -4,8 +4,8 @@ Every rule is evaluated once per document. The ledger keeps the measurements and
 named, versioned masks over these bits, so a new policy or an ablation reads the ledger, not the texts. Ablations count
 documents per distinct mask and work on those counts by bitwise operations.
 
-Words covered by repeated 3-word windows are found within a row: each window's hash, with its low bits replaced by the
-window's position, is sorted, and neighbours with equal high bits and equal words are repeats. So the work is n log n in
+Words covered by repeated 3-word windows are found within a row: each window is sorted by its full hash, its words and
+its position, so equal windows are always neighbours, and neighbours with equal words are repeats. So the work is n log n in
 a document's length, and no document's windows leave its row.
 
 Defined cases: a null or wordless text has zero in every count and fails the base; equal rows get equal results; no rows
@@ -42,13 +42,11 @@ POLICY = "v3-all"
 
 def _neighbours() -> tuple:
     """The position that an entry of the column s holds, and whether two entries hold equal windows."""
-    at = lambda j: F.get("s", j).bitwiseAND(F.col("low")).cast("int")
+    at = lambda j: F.get("s", j)["i"]
 
     def equal(i: Column, j: Column) -> Column:
-        same = F.get("s", i).bitwiseXOR(F.get("s", j)) <= F.col("low")
-        sign = F.get("s", i).bitwiseXOR(F.get("s", j)) >= 0
-        word = lambda k: F.get("w", at(i) + k) == F.get("w", at(j) + k)
-        return same & sign & word(0) & word(1) & word(2)
+        word = lambda k: F.get("s", i)[k] == F.get("s", j)[k]
+        return word("a") & word("b") & word("c")
 
     return at, equal
 
@@ -59,10 +57,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     rows = bare(docs, id_col, text).toDF("id", "t").select("id", F.coalesce("t", F.lit("")).alias("t"))
     rows = rows.select("id", "t", F.array_remove(F.split("t", SPACE + "+", -1), "").alias("w"), F.filter(F.split("t", "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("lines"))
     at, equal = _neighbours()
-    rows = rows.withColumn("low", F.when(F.size("w") < (1 << 20), (1 << 20) - 1).otherwise((1 << 31) - 1).cast("long"))
-    hashed = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).bitwiseAND(F.bitwise_not("low")).bitwiseOR(i.cast("long"))
+    windows = lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"), F.get("w", i + 2).alias("c"), i.alias("i"))
     starts = F.when(F.size("w") >= 3, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("s", F.sort_array(F.transform(starts, hashed)))
+    rows = rows.withColumn("s", F.sort_array(F.transform(starts, windows)))
     both = F.when(F.size("s") >= 2, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>"))
     again = F.filter(both, lambda j: ((j > 0) & equal(j, j - 1)) | ((j < F.size("s") - 1) & equal(j, j + 1)))
     rows = rows.withColumn("r", F.sort_array(F.transform(again, at)))
