@@ -79,6 +79,16 @@ def test_links_equal_all_pairs(spark, bits):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_the_tally_drops_candidates(spark):
+    """Pairs that share 4 bytes have 1 list in common, those within 3 bits 5 or more: the count decides before any bit is compared."""
+    rng = random.Random(3)
+    near = [rng.getrandbits(64) for _ in range(20)]
+    prints = [p ^ (((1 << 32) - 1 & rng.getrandbits(32) | 0x01010101) << 32) for p in near] + [p ^ 7 for p in near] + near  # four bytes differ; one byte
+    frame = spark.createDataFrame([(p if p < 1 << 63 else p - (1 << 64),) for p in prints], "fp long")
+    n = [r["n"] for r in simhash_dedup.tallied(frame).collect()]
+    assert n.count(1) == 20 and n.count(35) == 20 and len(n) == 40 and simhash_dedup.links(frame).count() == 20
+
+
 def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash_dedup.components(spark, edges).collect()}
@@ -120,6 +130,36 @@ def test_stage_links_all_texts_of_similarity_eight_tenths(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
 
 
+def test_blocks_of_large_families_lose_no_link(spark, monkeypatch):
+    """A family whose members lie around 0.8 of each other, in one block and in several."""
+    from trailmark.llm import shingle_links
+    rng, base = random.Random(6), [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for i in rng.sample(range(150), rng.randint(1, 5)):
+            w[i] = f"x{rng.randint(0, 9999)}"
+        texts.append(" ".join(w))
+    texts += [None, "", " ", "one two", "One  two", "x " * 200_000]
+    sets, root = [brute_shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], DOC).withColumns({c: F.lit("mine") for c in ("k", "node", "x", "__row", "sig")})
+    for size in (shingle_links.BLOCK_BYTES, 60_000):
+        monkeypatch.setattr(shingle_links, "BLOCK_BYTES", size)
+        got = shingle_links.stage(spark, docs, "")
+        assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted({find(i) for i in range(len(texts))})
+    assert shingle_links.stage(spark, docs.limit(0), "").count() == 0
+
+
 # bpe
 
 
@@ -168,15 +208,35 @@ def test_automaton_on_random_merges(seed):
         assert [parts[i] for i in auto.encode(word)] == merged_by_rank(word, merges), word
 
 
-def test_caches_stay_bounded():
+def test_caches_stay_bounded_in_bytes():
     made = []
-    c = bpe_automaton.TwoGenerations(lambda k: made.append(k) or k, 10)
-    assert [c[i % 7] for i in range(100)] == [i % 7 for i in range(100)] and len(c) + len(c.old) <= 12
+    c = bpe_automaton.TwoGenerations(lambda k: made.append(k) or k.encode(), 10_000)
+    assert [c[f"w{i % 7}"] for i in range(100)] == [b"w%d" % (i % 7) for i in range(100)] and len(made) == 7
+    for i in range(3000):
+        c[f"word{i}"], c["x" * 1000 + str(i)]
+    assert len(c) + len(c.old) < 60 and max(map(len, [*c, *c.old])) < 20
+
+
+def test_long_words_and_a_small_table(tok, monkeypatch):
+    """The table is built anew again and again within words, with the same ids; long words leave nothing behind."""
+    from tokenizers import Tokenizer
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh0+/Aé") for _ in range(n)) for n in (70, 5000, 60000)] + [" ".join("".join(rng.choice("etaoinshr") for _ in range(9)) for _ in range(300))]
+    monkeypatch.setattr(bpe_automaton, "STATES", 50)
+    lib = Tokenizer.from_file(bpe_automaton.path_of())
+    for t in texts:
+        assert tok.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    assert len(tok.automaton.states) <= 51 and not any(len(w) > bpe_automaton.LONG for w in [*tok.words, *tok.words.old, *tok.parts, *tok.parts.old])
+    monkeypatch.undo()
+    tok.automaton.clear()
+    assert tok.encode(texts[1]) == lib.encode(texts[1], add_special_tokens=False).ids
 
 
 def test_encoded_rows(spark, tok):
-    got = {r["id"]: r for r in bpe_automaton.encoded(spark, spark.createDataFrame([(1, None, "f"), (2, "the the", "f"), (2, "the the", "f")], DOC), with_ids=True).collect()}
-    assert got[1]["n_tokens"] == 0 and list(got[1]["ids"]) == [] and list(got[2]["ids"]) == tok.encode("the the")
+    rows = spark.createDataFrame([(1, None, "f"), (2, "the the", "f"), (2, "the the", "f"), (3, "word " * 400_000, "f")], DOC).withColumns({c: F.lit("mine") for c in ("id", "t", "n_tokens", "ids")})
+    got = {r["id"]: r for r in bpe_automaton.encoded(spark, rows, with_ids=True).collect()}
+    assert got[1]["n_tokens"] == 0 and list(got[1]["ids"]) == [] and list(got[2]["ids"]) == tok.encode("the the") and got[3]["n_tokens"] == 400_000
+    assert bpe_automaton.encoded(spark, rows.limit(0)).count() == 0
 
 
 # language
@@ -202,7 +262,7 @@ def test_backpropagation(k, at):
 @tables
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = language_id.identified(spark, docs.select("doc_id", "text", "lang", F.lit(1).alias("score_of_mine"))).where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
+    got = language_id.identified(spark, docs.withColumns({"score": F.lit("mine"), "k": F.lit(1)}), language_id.learned(docs)).where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
     assert got[0] > 0.98 and 0 <= got[1] and got[2] <= 1
 
 
@@ -212,13 +272,63 @@ def test_language_edges(spark):
     en, de = ("the of and that with for this".split(), "der die und nicht mit auf für".split())
     rows = [(i, " ".join(rng.choice(en if i % 2 else de) for _ in range(20)), "en" if i % 2 else "de", "s") for i in range(80)]
     odd = [(500, None, "en", "s"), (501, "12 ... 3", "en", "s"), (502, "", None, "s"), (None, "the of and", None, "s"), (503, "日本", None, "s")]
-    got = {(r["doc_id"], r["text"]): r for r in language_id.identified(spark, spark.createDataFrame(rows + odd, one)).collect()}
+    of = lambda d: language_id.identified(spark, d, language_id.learned(d))
+    got = {(r["doc_id"], r["text"]): r for r in of(spark.createDataFrame(rows + odd, one)).collect()}
     assert all((got[i, t]["lang_pred"], got[i, t]["score"]) == ("und", 0.0) for i, t, _, _ in odd[:3]) and got[503, "日本"]["lang_pred"] in ("de", "en")
     assert got[None, "the of and"]["held_out"] is False and sum(r["lang_pred"] == r["lang"] for r in got.values()) >= 79
-    kept = language_id.stage(spark, spark.createDataFrame(rows + odd, one), "")
-    assert kept.columns == ["doc_id", "text", "lang", "source"] and kept.where("doc_id in (500, 501, 502)").count() == 0 and kept.where("doc_id < 80").count() == 80
-    assert language_id.identified(spark, spark.createDataFrame([], one)).count() == 0
-    assert language_id.identified(spark, spark.createDataFrame(odd[:1], one)).first()["lang_pred"] == "und"
+    clash = spark.createDataFrame(rows + odd, one).withColumns({c: F.lit("mine") for c in ("held_out", "lang_pred", "score", "k", "t", "got", "__row")})
+    kept = language_id.stage(spark, clash, "")
+    assert kept.columns == clash.columns and kept.where("doc_id in (500, 501, 502)").count() == 0 and kept.where("doc_id < 80").count() == 80
+    assert of(clash).where("lang_pred = 'mine'").count() == 0
+    assert of(spark.createDataFrame([], one)).count() == 0
+    assert of(spark.createDataFrame(odd[:1], one)).first()["lang_pred"] == "und"
+
+
+def test_inference_runs_once_in_the_stage(spark):
+    docs = spark.createDataFrame([(i, "the of and that", "en", "s") for i in range(9)], "doc_id long, text string, lang string, source string")
+    plan = language_id.stage(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def slow_probabilities(net, text):
+    """Byte by byte, with plain loops: the mean over letter bytes of the language probabilities."""
+    w, raw = net.w, bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    h, sums = w["U"].shape[1], np.zeros(len(net.langs))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for i in range(0, len(raw), language_id.STRETCH):
+        part = raw[i : i + language_id.STRETCH].ljust(language_id.STRETCH, b"\0")
+        states = []
+        for d, order in ((0, part), (1, part[::-1])):
+            s, seen = np.zeros(h), []
+            for c in order:
+                a, r = w["W"][d][c] + w["b"][d], s @ w["U"][d]
+                z, q = sigmoid(a[:h] + r[:h]), sigmoid(a[h : 2 * h] + r[h : 2 * h])
+                s = (1 - z) * np.tanh(a[2 * h :] + q * r[2 * h :]) + z * s
+                seen.append(s)
+            states.append(seen if d == 0 else seen[::-1])
+        for c, f, b in zip(part, *states):
+            if chr(c).isalpha() and c < 128 or c >= 128:
+                o = np.exp(np.concatenate([f, b]) @ w["O"] + w["c"])
+                sums += o / o.sum()
+    return sums / sums.sum()
+
+
+def test_pooled_probabilities_equal_a_plain_loop():
+    net = language_id.Network(["a", "b", "c"], 5, seed=3)
+    texts = ["Hello, World 12!", "é" * 100, "x", "ABC def " * 60, None, "123", "the " * 30000]
+    got = language_id.pooled(net, texts)
+    for t, (lang, score) in zip(texts[:4], got):
+        p = slow_probabilities(net, t)
+        assert lang == net.langs[p.argmax()] and abs(score - p.max()) < 1e-4
+    assert got[4:6] == [("und", 0.0)] * 2 and abs(got[6][1] - slow_probabilities(net, "the " * 16).max()) < 1e-4
+
+
+def test_pieces_come_from_whole_texts(spark):
+    """The one labelled document is long; what is learned from reaches to its end, and its number is bounded."""
+    text = " ".join(f"w{i}" for i in range(400_000))
+    docs = spark.createDataFrame([(i, text, "en") for i in (1, 2, 3, 4)], "doc_id long, text string, lang string")
+    got = language_id.sample(docs, "doc_id", "text", "lang")
+    assert 8000 < len(got) <= language_id.PIECES and {k for _, k in got} == {"en"} and max(int(x[1:]) for t, _ in got for x in t.split() if x[1:].isdigit()) > 390_000
 
 
 # html
@@ -234,6 +344,50 @@ def test_pages(page, want):
     assert html_extract.extract(page, html_extract.Weights({})) == want
 
 
+ARTICLE = "<article><h1>Head</h1><p class='related-work'>Some words of the story.</p><p>More words.</p></article>"
+
+
+@pytest.mark.parametrize("name", ["page no-sidebar", "has-search content", "content-share-ready", "main-with-menu", "sidebar", "post-comments", "ad"])
+def test_names_around_the_article_dont_matter(name):
+    page = f"<body><nav><a href=x>Home</a></nav><div class='{name}'>{ARTICLE}</div><div class='sidebar'><p>Side words</p></div></body>"
+    assert html_extract.extract(page, html_extract.Weights({})) == "Head\nSome words of the story.\nMore words."
+
+
+@pytest.mark.parametrize("name,out", [("cookie-notice", True), ("ad-box", True), ("post-comments", True), ("siteFooter", True), ("sidebar-left", True), ("ad-300", True), ("no-sidebar", False), ("has-search", False), ("main-with-menu", False), ("content-share-ready", False), ("related-work", False), ("sidebar-page", False), ("adventure", False)])
+def test_names(name, out):
+    assert html_extract.named(name) is out
+
+
+COMMENTS = """<main><div class="entry"><p>Body of the story goes here.</p></div><section id="comments"><article class="comment"><p>I like this.</p>
+<section class="replies"><article><p>Me too, and much more than the whole story has.</p></article></section></article></section></main>"""
+FORM = """<form id="aspnet"><div class="wrap"><p>Long text of the page that stands within the form.</p><input></div></form><footer>x</footer>"""
+TEASER = """<aside><article class="teaser"><p>Teaser a b c d e f g h i j k l m n o p.</p></article></aside><main><p>Main text it is.</p></main>"""
+
+
+@pytest.mark.parametrize("page,want", [(COMMENTS, "Body of the story goes here."), (FORM, "Long text of the page that stands within the form."), (TEASER, "Main text it is.")])
+def test_nested_comments_forms_and_teasers(page, want):
+    assert html_extract.extract(page, html_extract.Weights({})) == want
+
+
+def test_only_the_scan_decides():
+    """Nothing is marked or named: link lists and a foot line around paragraphs."""
+    menu = "<div><ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(8)) + "</ul></div>"
+    body = [f"Paragraph {i} with a good number of plain words in it, so that it reads as text." for i in range(4)]
+    foot = "<div><span>Imprint</span><br><span>Terms</span><br><a href=x>All rights reserved</a></div>"
+    page = f"<body>{menu}<div>{''.join(f'<p>{x}</p>' for x in body)}</div>{menu}{foot}</body>"
+    assert html_extract.extract(page, html_extract.Weights({})) == "\n".join(body)
+    every = "\n".join(t for _, t, _, _ in html_extract.parse(page))
+    assert "Link 3" in every and "Imprint" in every
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+    n, began = 100_000, time.time()
+    for page in ("<p>x" + "<b>" * n + "</i>" * n + "text", "<li>" * n + "<td>" * n + "text"):
+        assert html_extract.extract(page, html_extract.Weights({}))
+    assert time.time() - began < 40
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_region_equals_all_regions(seed):
     rng = random.Random(seed)
@@ -259,6 +413,8 @@ def test_pages_edges(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (2, "v", "<p>a", "x")], "page_id long, url string, html string, text string")
     assert {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extracted(spark, rows, ["page_id", "url"]).collect()} == {1: ("", 0), 2: ("a", 1)}
     assert html_extract.extracted(spark, rows.limit(0), ["page_id"]).count() == 0
+    again = spark.createDataFrame([(1, "u", "<p>a b</p>" * 30000, "x")] * 2, "page_id long, url string, html string, n_chars string")
+    assert [(len(r["text"]), r["n_chars"]) for r in html_extract.extracted(spark, again, ["page_id", "url"]).collect()] == [(119_999, 119_999)] * 2
 
 
 # weak labels
@@ -289,3 +445,89 @@ def test_weak_edges(spark):
     got = {r["id"]: r for r in weak_quality.scored(spark, rows).collect()}
     assert not got[1]["kept"] and got[2]["score"] == 0 and got[3]["score"] > 0
     assert weak_quality.scored(spark, rows.limit(0)).count() == 0 and [r["score"] for r in weak_quality.scored(spark, rows.limit(2)).collect()] == [0.0, 0.0]
+
+
+def test_em_equals_a_plain_loop():
+    """Over documents one by one, by the formulas: accuracies from posteriors, posteriors by Bayes' rule."""
+    rng, k = random.Random(2), len(weak_quality.LABELLERS)
+    rows = [[rng.choices([0, 1, 2], [6, 1 if j == 3 else 0, 2 + j % 3])[0] for j in range(k)] for _ in range(120)]
+    counts = {}
+    for v in rows:
+        code = sum(d * 3 ** (k - 1 - j) for j, d in enumerate(v))
+        counts[code] = counts.get(code, 0) + 1
+    model = weak_quality.Labels(counts, rounds=6)
+    p = [(v.count(1) + 1) / (v.count(1) + 9 * v.count(2) + 1.2) for v in rows]
+    for _ in range(6):
+        share = min(max(sum(p) / len(p), 0.05), 0.95)
+        like = []
+        for good in (False, True):
+            q = [x if good else 1 - x for x in p]
+            table = []
+            for j in range(k):
+                n = [sum(w for w, v in zip(q, rows) if v[j] == d) + (1.0 if d == 0 else 2.0 if (d == 1) == good else 0.5) for d in range(3)]
+                table.append([x / sum(n) for x in n])
+            like.append(table)
+        p = []
+        for v in rows:
+            good, bad = share, 1 - share
+            for j, d in enumerate(v):
+                good, bad = good * like[1][j][d], bad * like[0][j][d]
+            p.append(good / (good + bad))
+    for v, x in zip(rows, p):
+        assert abs(model.of[sum(d * 3 ** (k - 1 - j) for j, d in enumerate(v))] - x) < 1e-6
+
+
+def test_scores_equal_a_plain_version(spark):
+    """Few documents, all of them sampled: features, fit and scores again, one by one."""
+    rng = random.Random(3)
+    words = "the of and that with for this is at on by a report city river".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 60))) + "." for _ in range(60)] + ["BUY NOW!!! $$$ ### BUY NOW!!! $$$ " * rng.randint(2, 9) for _ in range(15)] + [None, " ", "x"]
+    rows = spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)], DOC).withColumns({c: F.lit("mine") for c in ("id", "t", "score", "code", "h")})
+    got = {r["id"]: r for r in weak_quality.scored(spark, rows).collect()}
+    raws = [(t or "").encode() for t in texts]
+    ms = [weak_quality.measures(r) for r in raws]
+    counts = {}
+    for m in ms:
+        if m:
+            counts[weak_quality.votes(m)] = counts.get(weak_quality.votes(m), 0) + 1
+    labels = weak_quality.Labels(counts)
+    x = np.stack([weak_quality.features(r, m) for r, m in zip(raws, ms) if m]).astype(float)
+    y = np.array([labels.of[weak_quality.votes(m)] for m in ms if m])
+    w, mean, var = np.zeros(x.shape[1] + 1), 0.0, 0.0
+    for t in range(1, weak_quality.STEPS + 1):
+        g = np.zeros_like(w)
+        for row, target in zip(x, y):
+            p = 1 / (1 + np.exp(-np.clip(row @ w[:-1] + w[-1], -40, 40)))
+            d = (p - target) * (target / y.sum() + (1 - target) / (1 - y).sum())
+            g[:-1] += d * row
+            g[-1] += d
+        g[:-1] += 1e-5 * w[:-1]
+        mean, var = 0.9 * mean + 0.1 * g, 0.999 * var + 0.001 * g * g
+        w -= 0.3 * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-8)
+    for i, (r, m) in enumerate(zip(raws, ms)):
+        want = 1 / (1 + np.exp(-(weak_quality.features(r, m) @ w[:-1] + w[-1]))) if m else 0.0
+        assert abs(got[i]["score"] - want) < 1e-3 and got[i]["kept"] == (got[i]["score"] >= 0.5)
+
+
+def test_wordless_rows_are_never_sampled(spark):
+    """200,000 rows, one with words; repeated and very long rows."""
+    many = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit(" \n").alias("text"))
+    got = weak_quality.scored(spark, many.unionByName(spark.createDataFrame([(-1, "Some words here.")], "doc_id long, text string")))
+    assert got.where("score > 0").count() == 1 and got.count() == 200_001
+    long = spark.createDataFrame([(1, "A word of it. " * 100_000), (2, "again and again"), (2, "again and again")], "doc_id long, text string")
+    assert len({r["score"] for r in weak_quality.scored(spark, long).where("id = 2").collect()}) == 1
+
+
+@tables
+def test_accuracies_of_the_labellers(spark):
+    """The model's votes for bad agree with the labels: what it says of a labeller on bad documents is about what the labels say."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["labeller"]: r for r in weak_quality.labellers(spark, docs).collect()}
+    assert set(got) == {x[0] for x in weak_quality.LABELLERS} and all(0 <= r["coverage"] <= 1 and 0 <= r["accuracy"] <= 1 for r in got.values())
+    known = [(weak_quality.votes(m), r["quality"]) for r in docs.join(labels, "doc_id").collect() if (m := weak_quality.measures((r["text"] or "").encode()))]
+    v = weak_quality.digits(np.array([c for c, _ in known]))
+    bad = np.array([q == 0 for _, q in known])
+    for j, (name, *_) in enumerate(weak_quality.LABELLERS):
+        if (v[:, j] == 2).sum() >= 10:
+            assert abs(got[name]["bad_if_bad"] - (v[bad, j] == 2).mean()) < 0.3, name
+    assert weak_quality.labellers(spark, docs.limit(0)).count() == 0

@@ -1,19 +1,24 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The automaton reads tokens: its state is the last token read, and it accepts exactly the token sequences that byte-pair
-encoding gives. It begins with one state and an arc for each base symbol; each merge (a, b) -> c, in order of rank, is a
-gadget: b can no longer follow a, and c gets the arcs into a and the arcs out of b as they are at that moment. Written
-out, these arcs are (tokens x tokens); so a gadget stores only what it copies, as two short chains per token: what the
-token ends in, and what it begins with, each with the rank up to which that part stood open to later merges. An arc
-(u, v) is barred if some merge joins a part that u ends in with a part that v begins with while both stood open. A row
-of the transition table is filled in when it is first needed, and then looked up.
-
-A word is encoded from left to right: each of its prefixes has exactly one last token by which it is accepted, found
-among the tokens that end there by one look at the transition table each. So time is linear in a word's length. Decoding
-emits the labels of the arcs in the tokenizer file's own form.
+The token automaton accepts exactly the token sequences that byte-pair encoding gives: its state is the last token. It
+begins with one state and an arc for each base symbol; each merge (a, b) -> c, in order of rank, is a gadget: b can no
+longer follow a, and c gets the arcs into a and the arcs out of b as they are at that moment. Written out, these arcs are
+(tokens x tokens); so a gadget stores only what it copies, as two short chains per token: what the token ends in, and what
+it begins with, each with the rank up to which that part stood open to later merges. An arc (u, v) is barred if some merge
+joins a part that u ends in with a part that v begins with while both stood open.
+
+Words are read by symbols, so the token automaton is composed with the trie of its labels and made deterministic: a state
+is the set of (node of the trie, last token before it) of all tokens that may be under way. Each prefix of a word has
+exactly one last token by which it is accepted, so an arc (state, symbol) leads to one state and carries that token. States
+and arcs are built when they are first reached and then looked up: one look at the table for each symbol of a word, and the
+tokens are read off backwards by their lengths. Decoding emits the labels of the arcs in the tokenizer file's own form.
+
+Memory in a Python worker is bounded: STATES and ARCS of the table, after which it is built anew; CACHE_BYTES of each cache
+of encoded words, in which no word of over LONG characters stands.
 
 Defined cases: a null or empty text has no tokens; words have no bound of length; special tokens that stand in a text as
-such are matched before normalization; equal rows get equal results; further columns are not looked at.
+such are matched before normalization; equal rows get equal results; no rows give no rows; further columns, of whatever
+names, are not looked at.
 """
 
 from __future__ import annotations
@@ -29,12 +34,15 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bare, bounded_batches, table
+from .common import bare, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of the word cache and of the transition table in a Python worker; beyond it the older half goes.
-CACHE_WORDS = 300_000
-CACHE_ARCS = 1_000_000
+STATES = 400_000
+ARCS = 800_000
+CACHE_BYTES = 64_000_000
+LONG = 64
+#: Bytes of a cache's entry besides its texts.
+ENTRY = 200
 OPEN = 1 << 60
 #: White space to str.split() that isn't white space to the tokenizer.
 ODD = regex.compile("[\x1c-\x1f]")
@@ -49,18 +57,21 @@ def byte_symbols() -> list[str]:
 
 
 class TwoGenerations(dict):
-    """A cache of bounded size that makes missing entries; what was used lately survives when it is full."""
+    """A cache of text -> bytes that makes missing entries and holds about `most` bytes; what was used lately survives when it is full."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
+        self.make, self.most, self.old, self.held = make, most // 2, {}, 0
 
-    def __missing__(self, key):
+    def __missing__(self, key: str) -> bytes:
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        if len(key) > LONG:
+            return got
+        self.held += ENTRY + 2 * len(key) + len(got)
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = got
         return got
@@ -94,9 +105,34 @@ class Automaton:
             self.gadget(r, made[a], made[b], vocab[c])
             if vocab[c] in self.ends:
                 made[c] = vocab[c]
-        #: Each string that some token ends in: the token's id if it is one itself, else -1.
-        self.tails = {s[k:]: -1 for s in made for k in range(1, len(s))} | made
-        self.arc = TwoGenerations(lambda uv: not self.barred(uv >> 32, uv & 0xFFFFFFFF), CACHE_ARCS)
+        self.label(made)
+
+    def label(self, made: dict[str, int]) -> None:
+        """The trie of the tokens' labels: (node, symbol) -> node. A word's last symbol, with the suffix, is a symbol of its own."""
+        self.symbols: dict[str, int] = {}
+        self.trie: dict[int, int] = {}
+        self.token, self.size = [-1], {}  # of a node; of a token, in symbols
+        for s, i in made.items():
+            end = bool(self.suffix) and s.endswith(self.suffix) and s != self.suffix
+            text = s.removesuffix(self.suffix) if end else s
+            read = [*text[:-1], text[-1] + self.suffix] if end else [*text]
+            node = 0
+            for x in read:
+                arc = node << 12 | self.symbols.setdefault(x, len(self.symbols))
+                if arc not in self.trie:
+                    self.trie[arc] = len(self.token)
+                    self.token.append(-1)
+                node = self.trie[arc]
+            self.token[node], self.size[i] = i, len(read)
+        if len(self.symbols) >= 1 << 12:
+            raise ValueError("too many base symbols")
+        self.clear()
+
+    def clear(self) -> None:
+        """The table with its first state only: a token begins at the root, after none."""
+        self.states: list[tuple] = [((0, -1),)]
+        self.numbers = {self.states[0]: 0}
+        self.table: dict[int, int] = {}
 
     def gadget(self, r: int, a: int, b: int, c: int) -> None:
         if self.barred(a, b):
@@ -113,24 +149,53 @@ class Automaton:
                     return True
         return False
 
+    def build(self, state: int, symbol: int) -> int:
+        """The arc of a state by a symbol: the next state << 32 | the token that it carries."""
+        last, onward = -1, []
+        for node, before in self.states[state]:
+            to = self.trie.get(node << 12 | symbol)
+            if to is not None:
+                onward.append((to, before))
+                t = self.token[to]
+                if t >= 0 and last < 0 and (before < 0 or not self.barred(before, t)):
+                    last = t
+        if last < 0:
+            raise ValueError("a symbol without an id")
+        if len(self.states) >= STATES or len(self.table) >= ARCS:
+            self.clear()
+            arc = -1  # the state that this arc would start from is gone
+        else:
+            arc = state << 12 | symbol
+        got = (*onward, (0, last))
+        number = self.numbers.get(got)
+        if number is None:
+            number = self.numbers[got] = len(self.states)
+            self.states.append(got)
+        to = number << 32 | last
+        if arc >= 0:
+            self.table[arc] = to
+        return to
+
     def encode(self, word: str) -> list[int]:
         """Ids of a word in byte symbols."""
-        tails, arc, n = self.tails, self.arc, len(word)
-        last, came = [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            read = word if i < n else word + self.suffix
-            to = i if i < n else len(read)
-            for k in range(i - 1, -1, -1):
-                t = tails.get(read[k:to])
-                if t is None:
-                    raise ValueError("a symbol without an id")
-                if t >= 0 and (k == 0 or arc[last[k] << 32 | t]):
-                    last[i], came[i] = t, k
-                    break
-        out, i = [], n
+        if not word:
+            return []
+        read = list(map(self.symbols.get, [*word[:-1], word[-1] + self.suffix]))
+        if None in read:
+            raise ValueError("a symbol without an id")
+        table, state, came = self.table, 0, []
+        for x in read:
+            to = table.get(state << 12 | x)
+            if to is None:
+                to = self.build(state, x)
+                table = self.table
+            came.append(to & 0xFFFFFFFF)
+            state = to >> 32
+        out, i, size = [], len(came), self.size
         while i:
-            out.append(last[i])
-            i = came[i]
+            t = came[i - 1]
+            out.append(t)
+            i -= size[t]
         return out[::-1]
 
 
@@ -147,13 +212,20 @@ class Tokenizer:
         self.labels = {i: t for t, i in (m["vocab"] | self.special).items()}
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"].replace(r"^\s", "^ "))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.parts = TwoGenerations(self._part, CACHE_WORDS)
-        self.words = TwoGenerations(self._word, CACHE_WORDS)
+        self.parts = TwoGenerations(self._part, CACHE_BYTES)
+        self.words = TwoGenerations(self._word, CACHE_BYTES)
         self.bytes = byte_symbols()
 
     def _word(self, word: str) -> bytes:
         """Of a stretch of text that white space doesn't cut, or that has no white space but what ODD finds."""
-        plain = SPACES.sub(" ", unicodedata.normalize("NFC", word)).replace("Σ", "σ").lower()
+        if word.isascii():
+            plain = word.lower()
+            if plain.isalpha():  # one piece
+                return self._part(word) if plain == word else self.parts[plain]
+            if ODD.search(plain):
+                plain = SPACES.sub(" ", plain)
+        else:
+            plain = SPACES.sub(" ", unicodedata.normalize("NFC", word)).replace("Σ", "σ").lower()
         return b"".join([self.parts[p] for p in self.pieces.findall(plain)])
 
     def _part(self, word: str) -> bytes:
@@ -177,8 +249,7 @@ class Tokenizer:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        labels = self.labels
-        return " ".join([labels[i] for i in ids])
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -197,7 +268,6 @@ def encoded(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
 
     The tokenizer file is read by the driver only and sent to the workers, which compile it once each.
     """
-    bounded_batches(spark)
     with open(path or path_of(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     rows = bare(docs, id_col, text).toDF("id", "t")

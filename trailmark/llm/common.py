@@ -1,4 +1,8 @@
-"""Shared helpers of the corpus operators."""
+"""Shared helpers of the corpus operators.
+
+Texts go to Python in Arrow batches, which Spark bounds by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set);
+no session setting is changed here.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches handed to Python hold at most this many bytes, so a run of very long texts stays bounded.
-ARROW_BATCH_BYTES = 16 * 1024 * 1024
-ARROW_BATCH_ROWS = 2000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,13 +38,16 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, is computed once and survives the loss of executors."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.written_path = path
+    return got
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Small Arrow batches for texts whose length has no bound."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more."""
+    for df in tables:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def row_key(*cols: Column) -> Column:
@@ -68,3 +71,15 @@ def hash_cut(df: DataFrame, h: Column, n: int) -> int | None:
         if len(rows) == min(n, total):
             break
     return rows[-1]["h"] if rows else None
+
+
+def with_row(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and the whole input row as the struct __row, so that no name of the input can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct(F.lit(None).alias("_"))
+    return docs.select(whole.alias("__row"), *[F.col(f"`{n}`") for n in names])
+
+
+def unpacked(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of docs from __row, with new ones in place of those of the same name, or else after them."""
+    old = [new[c].alias(c) if c in new else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    return old + [v.alias(k) for k, v in new.items() if k not in docs.columns]

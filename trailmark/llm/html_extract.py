@@ -1,17 +1,20 @@
 """Main text of HTML pages by the maximum-scoring subsequence.
 
 A page is read as a sequence of tags and words. Words score positive and tags negative; the contiguous region with the
-highest sum, found by one linear scan, holds the content. What stands in an element that by its name, class, id or role
-is a menu, header, footer, sidebar, notice, advert, form, comment section or no text at all scores nothing and is left
-out of the region's text, so an advert in the middle of an article doesn't cut the region.
+highest sum, found by one linear scan, holds the content. What stands in an element that by its tag, or by a class, id or
+role as a whole, is a menu, header, footer, sidebar, notice, advert, form, comment section or no text at all scores nothing
+and is left out of the region's text, so an advert in the middle of an article doesn't cut the region. An element around
+the page's own article is never left out, whatever its name; nor is a form, or an element with a compound name, that holds
+half of the page's words or more.
 
 The weights are log-odds from labelled pages: a page labels itself if it marks its content by an article or main element.
 Tags and words are counted within and without that element, by kind of element, over all such pages (an aggregation with
 at most `KINDS` keys), together with prior counts that decide where no page is labelled.
 
 Defined cases: null or empty html and pages without content give an empty text; unclosed elements end with the element
-around them; an unfinished tag or comment at the end is no text; equal rows get equal results; no rows give no rows;
-further columns are not looked at.
+around them; an unfinished tag or comment at the end is no text; very long pages take time in proportion to their length;
+of regions with equal sums the first counts; equal rows get equal results; no rows give no rows; further columns, of
+whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, bounded_batches, table
+from .common import bare, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|textarea|xmp)\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
@@ -35,99 +38,169 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CONTENT = frozenset(("article", "main"))
+#: (opening tags, what they close, what holds it open)
+IMPLIED = (
+    (CLOSES_P, ("p",), ("button", "td", "th", "table", "li")), (frozenset(("li",)), ("li",), ("ul", "ol", "menu")), (frozenset(("td", "th")), ("td", "th"), ("table",)),
+    (frozenset(("tr",)), ("tr",), ("table",)), (frozenset(("body",)), ("head",), ()),
+)
 LEFT_OUT = frozenset("aside audio button canvas datalist dialog fieldset footer form head menu nav object option select title video".split())
-#: Parts of class names, ids and roles of what isn't content.
+#: Class names, ids and roles of what isn't content; parts of a compound name too, see named().
 NAMES = frozenset("""ad ads adbox advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentary complementary consent contentinfo
 cookie cookies discussion disqus feedback footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay
 pager pagination paywall popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor
 sponsored subscribe subscription teaser teasers toolbar widget widgets""".split())
 HEADS = frozenset("header head top".split())
 OWN = frozenset("article post entry content main story body".split())
+#: What a compound name may hold besides such names: "ad-box", "sidebar-left", "post-comments"; of OWN and PLACES only in front.
+FILLERS = frozenset("""area bar block bottom box btn card col column container cta fixed global group holder inner item items left line link links list mobile module
+outer panel pane primary rail region right row secondary section site slot small sticky strip text tile top unit wrap wrapper zone""".split())
+PLACES = frozenset("page blog".split())
+#: Articles inside of such elements aren't the page's own; nor are those that have such a name, or one of BESIDE, themselves.
+AROUND = frozenset("comment comments discussion disqus replies reply respond responses related recommended".split())
+BESIDE = AROUND | frozenset("teaser teasers promo sponsored ad ads advert adverts".split())
 WORDY = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main section dd figcaption".split())
 KINDS = 200
 _KNOWN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main section dd dt dl figure figcaption div body html li ul ol td th tr table tbody br hr img a b i em strong span center".split())
 
 
-def left_out(tag: str, attributes: str, within: bool) -> bool:
-    """Whether an element isn't content by its own tag and attributes; within: inside of an article or main element."""
-    if tag in LEFT_OUT or tag == "header" and not within:
-        return True
-    for name, value in ATTRIBUTE.findall(attributes) if attributes and tag not in ("body", "html", *CONTENT) else ():
-        name, value = name.lower(), value.strip("\"'")
+def kind_of(tag: str) -> str:
+    return tag if tag in _KNOWN else "other"
+
+
+def parts_of(name: str) -> list[str]:
+    return [p.lower() for p in PARTS.findall(name) if not p.isdigit()]
+
+
+def named(name: str, of: frozenset = NAMES) -> bool:
+    """Whether a class name, id or role says that an element isn't content. A compound one does if nothing in it says anything else:
+    "cookie-notice" and "post-comments" do, "no-sidebar", "has-search", "main-with-menu", "content-share-ready" and "related-work" don't."""
+    parts = parts_of(name)
+    at = [i for i, p in enumerate(parts) if p in of]
+    return bool(at) and all(p in of or p in FILLERS or (p in OWN or p in PLACES) and i < at[0] for i, p in enumerate(parts))
+
+
+class Element:
+    __slots__ = ("attributes", "end", "gone", "own", "parent", "start", "tag")
+
+    def __init__(self, tag: str, attributes: str, parent: Element | None, start: int):
+        self.tag, self.parent, self.start, self.end, self.own, self.gone = tag, parent, start, start, False, None
+        self.attributes = [(n.lower(), v.strip("\"'")) for n, v in ATTRIBUTE.findall(attributes)] if attributes else []
+
+    def names(self) -> list[str]:
+        return [one for n, v in self.attributes if n in ("class", "id", "role") for one in v.split()]
+
+    def size(self) -> int:
+        return self.end - self.start
+
+
+def left_out(e: Element, within: bool, half: float) -> bool:
+    """Whether an element isn't content by its own tag and attributes. Never an element around the page's own article. A form
+    and what has a compound name are only left out if they hold less than half of the page's words. within: inside of an article or main element."""
+    if e.own:
+        return False
+    if e.tag in LEFT_OUT or e.tag == "header" and not within:
+        return e.tag not in ("form", "fieldset") or e.size() < half
+    if e.tag in ("body", "html"):
+        return False
+    if e.tag in CONTENT:
+        return any(named(n, BESIDE) for n in e.names())
+    for name, value in e.attributes:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role"):
-            for one in value.split():
-                parts = {p.lower() for p in PARTS.findall(one)}
-                if parts & NAMES or not within and parts & HEADS and not parts & OWN:
-                    return True
-    return bool(attributes and tag in CONTENT and any({p.lower() for p in PARTS.findall(v)} & {"comment", "comments", "teaser", "related", "ad", "advert", "promo", "sponsored"} for n, v in ATTRIBUTE.findall(attributes) if n.lower() in ("class", "id")))
-
+    for name in e.names():
+        parts = parts_of(name)
+        head = not within and not OWN & set(parts) and named(name, NAMES | HEADS)
+        if (head or named(name)) and (len(parts) == 1 or e.size() < half):
+            return True
+    return False
 
-def kind_of(tag: str) -> str:
-    return tag if tag in _KNOWN else "other"
 
+def elements(page: str) -> tuple[list[tuple], int]:
+    """What stands in the page, in order: (text, None, innermost element) or ("", tag, element within which the tag stands, element that it opens or None),
+    and the number of words. Each closing tag costs the same, however many elements are open."""
+    got: list[tuple] = []
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}  # tag -> where it stands in the stack
+    n_words = at = 0
 
-def parse(page: str) -> list[tuple[str, str, int, bool]]:
-    """(kind, text, words, within) in page order. Kinds: "t:" + tag, "w:" + nearest block element (with "+a" in links), or "" for what is left out;
-    a tag's text is "\\n" if it ends a block. within: inside of an article or main element."""
-    out: list[tuple[str, str, int, bool]] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, whether it is left out, nearest block
-    n_out = n_content = n_links = 0
+    def last(tags: tuple[str, ...]) -> int:
+        return max([p[-1] for t in tags if (p := places.get(t))], default=-1)
 
     def pop(to: int) -> None:
-        nonlocal n_out, n_content, n_links
         while len(stack) > to:
-            tag, gone, _ = stack.pop()
-            n_out -= gone
-            n_content -= tag in CONTENT
-            n_links -= tag == "a"
+            e = stack.pop()
+            e.end = n_words
+            places[e.tag].pop()
 
     def words(raw: str) -> None:
-        if raw and not n_out:
+        nonlocal n_words
+        if raw:
             text = entities.unescape(raw)
-            block = kind_of(stack[-1][2]) if stack else "body"
-            out.append((f"w:{block}" + "+a" * bool(n_links), text, len(text.split()), n_content > 0))
-
-    def index(tags: tuple[str, ...], stop: frozenset = frozenset()) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in stop:
-                break
-        return -1
-
-    at = 0
+            n_words += len(text.split())
+            got.append((text, None, stack[-1] if stack else None))
+
     for m in TOKEN.finditer(page):
         words(page[at : m.start()])
         at = m.end()
         shut, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if not tag:
             continue
-        tag = tag.lower()
-        was_out = n_out > 0
+        tag, opened, around = tag.lower(), None, stack[-1] if stack else None
         if shut:
-            if (i := index((tag,))) >= 0:
+            if (i := last((tag,))) >= 0:
                 pop(i)
         else:
-            if tag in CLOSES_P and (i := index(("p",), frozenset(("button", "td", "th", "table", "li")))) >= 0:
-                pop(i)
-            elif tag == "li" and (i := index(("li",), frozenset(("ul", "ol", "menu")))) >= 0:
-                pop(i)
-            elif tag in ("td", "th", "tr") and (i := index(("td", "th") if tag != "tr" else ("tr",), frozenset(("table",)))) >= 0:
-                pop(i)
-            elif tag == "body" and (i := index(("head",))) >= 0:
-                pop(i)
+            for closes, tags, stops in IMPLIED:
+                if tag in closes:
+                    if (i := last(tags)) > last(stops):
+                        pop(i)
+                    break
             if tag not in VOID:
-                gone = left_out(tag, attributes or "", n_content > 0)
-                was_out = was_out or gone
-                stack.append((tag, gone, (stack[-1][2] if stack else "body") if tag in INLINE else tag))
-                n_out += gone
-                n_content += tag in CONTENT
-                n_links += tag == "a"
-        brk = "" if tag in INLINE else "\n"
-        out.append(("" if was_out or n_out else f"t:{kind_of(tag)}", brk, 0, n_content > 0))
+                opened = Element(tag, attributes or "", stack[-1] if stack else None, n_words)
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(opened)
+        got.append(("", tag, around, opened))
     words(page[at:])
+    pop(0)
+    return got, n_words
+
+
+def own_articles(opened: list[Element]) -> None:
+    """Marks the elements around the page's own article: the main or article element with most words that isn't a comment or teaser. An article
+    beside a main element counts if it holds over half of its words."""
+    found = []
+    beside: dict[int, bool] = {}
+    for e in opened:  # parents come before their children
+        beside[id(e)] = bool(e.parent and beside[id(e.parent)]) or any(named(n, AROUND) for n in e.names())
+        if e.tag in CONTENT and not beside[id(e)] and not any(named(n, BESIDE) for n in e.names()):
+            found.append(e)
+    main, article = (max([e for e in found if e.tag == t], key=Element.size, default=None) for t in ("main", "article"))
+    for e in (main, article if article and (not main or 2 * article.size() > main.size()) else None):
+        while e and not e.own:
+            e.own, e = True, e.parent
+
+
+def parse(page: str) -> list[tuple[str, str, int, bool]]:
+    """(kind, text, words, within) in page order. Kinds: "t:" + tag, "w:" + nearest block element (with "+a" in links), or "" for what is left out;
+    a tag's text is "\\n" if it ends a block. within: inside of an article or main element."""
+    read, n_words = elements(page)
+    opened = [x[3] for x in read if x[1] and x[3]]
+    own_articles(opened)
+    state = {None: (False, False, False, "body")}  # of an element: left out, within content, within a link, nearest block
+    for e in opened:
+        gone, within, link, block = state[e.parent]
+        gone = gone or left_out(e, within, n_words / 2)
+        state[e] = (gone, within or e.tag in CONTENT and not gone, link or e.tag == "a", block if e.tag in INLINE else e.tag)
+    out: list[tuple[str, str, int, bool]] = []
+    for text, tag, around, *new in read:
+        gone, within, link, block = state[around]
+        if tag is None:
+            if not gone:
+                out.append((f"w:{kind_of(block)}" + "+a" * link, text, len(text.split()), within))
+        else:
+            if new[0]:
+                gone, within = state[new[0]][:2]
+            out.append(("" if gone else f"t:{kind_of(tag)}", "" if tag in INLINE else "\n", 0, within))
     return out
 
 
@@ -193,8 +266,6 @@ def extract(page: str | None, weight: Weights) -> str:
 
 
 def learn(spark: SparkSession, pages: DataFrame, html_col: str = "html") -> Weights:
-    bounded_batches(spark)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: Counter = Counter()
         for b in batches:

@@ -3,32 +3,34 @@
 Two gated recurrent layers read a stretch of bytes, one forwards and one backwards; from both states at a byte, a linear
 layer gives the probabilities of the languages at that byte. A document's probability of a language is the mean over
 its bytes that belong to letters. The network is trained in numpy by backpropagation through time on stretches of
-`STRETCH` bytes from a bounded sample of labelled documents; it labels whole texts, cut into stretches without a gap.
+`STRETCH` bytes from a bounded sample of labelled documents; it labels whole texts, cut into stretches without a gap. Both
+layers begin each stretch anew, so the labels next to a cut rest on one side's context; the pooled result is what counts.
 
 Learning looks only at text and label of documents whose crc32(id as text) mod 4 isn't 2. The sample is the `SAMPLE`
-such documents with the least hash, each with `PIECES` pieces of `PIECE` characters at hashed places, so the driver gets
-SAMPLE * PIECES * PIECE characters at most, however large the corpus is. Pieces that are equal are learned once.
+such documents with the least hash; all of their text is cut into pieces of `PIECE` characters, and the `PIECES` pieces with
+the least hash are learned from (all of them, where there are fewer), so PIECES * PIECE characters at most reach the driver,
+however large the corpus or a text is. Pieces that are equal are learned once.
 
 Defined cases: a null text or one without letters is `und` with score 0; if nothing can be learned from, every text is
 `und`; a null id isn't held out and isn't learned from; ties go to the language that sorts first; equal rows get equal
-results; no rows give no rows; further columns are not looked at.
+results; a text of any length is read whole, BLOCK stretches at a time; no rows give no rows; input columns named held_out,
+lang_pred or score give way to the results; other columns are passed on.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, bounded_batches, hash_cut, table
+from .common import bare, dropped, hash_cut, table, unpacked, with_row, written
 
 SAMPLE = 3000
 PIECE = 192
-PIECES = 3
+PIECES = 9000
 STRETCH = 64
 HIDDEN = 8
 STEPS = 700
@@ -168,50 +170,62 @@ def held_out(key: Column) -> Column:
 
 def sample(docs: DataFrame, id_col: str, text: str, lang: str) -> list[tuple[str, str]]:
     rows = bare(docs, id_col, text, lang).toDF("k", "t", "lang").where(~held_out(F.col("k")) & F.col("lang").isNotNull() & F.col("t").isNotNull())
-    place = lambda i: (F.pmod(F.xxhash64("t", F.lit(i)), F.greatest(F.length("t") - PIECE + 1, F.lit(1))) + 1).cast("int")
     h = F.xxhash64("k", "t", "lang", F.lit(11))
     cut = hash_cut(rows, h, SAMPLE)
     if cut is None:
         return []
-    rows = rows.where(h <= cut).select(h.alias("h"), "lang", F.array(*[F.substring("t", place(i), F.lit(PIECE)) for i in range(PIECES)]).alias("p"))
-    got = sorted(rows.dropDuplicates(["h"]).collect(), key=lambda r: r["h"])  # bounded, see the module's text
-    return [(t, r["lang"]) for r in got for t in r["p"]]
-
-
-def identified(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    pieces = rows.where(h <= cut).select("lang", F.explode(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("p")).distinct()
+    pieces = written(docs.sparkSession, pieces, "pieces")
+    g = F.xxhash64("p", "lang", F.lit(13))
+    cut = hash_cut(pieces, g, PIECES)
+    got = pieces.where(g <= cut).collect() if cut is not None else []  # bounded, see the module's text
+    dropped(docs.sparkSession, pieces)
+    return [(r["p"], r["lang"]) for r in got]
+
+
+def pooled(net: Network | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of each text."""
+    got = [("und", 0.0)] * len(texts)
+    at = [i for i, t in enumerate(texts) if has_letters(t)] if net else []
+    if at:
+        rows = [stretches(texts[i].encode("utf-8", "replace")) for i in at]
+        starts = np.cumsum([0, *(len(r) for r in rows[:-1])])
+        sums = np.add.reduceat(net.label(np.concatenate(rows)).astype(np.float64), starts, axis=0)
+        p = sums / sums.sum(1, keepdims=True)
+        for i, k, x in zip(at, p.argmax(1).tolist(), np.clip(p.max(1), 0, 1).tolist()):
+            got[i] = net.langs[k], x
+    return got
+
+
+def learned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
+    return train(sample(docs, id_col, text, lang))
+
+
+def identified(spark: SparkSession, docs: DataFrame, net: Network | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the columns held_out, lang_pred and score."""
-    bounded_batches(spark)
-    net = train(sample(docs, id_col, text, lang))
     sent = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        net = sent.value
-        got = pd.DataFrame({"lang_pred": "und", "score": 0.0}, index=texts.index)
-        at = [i for i, t in enumerate(texts) if has_letters(t)] if net else []
-        if at:
-            rows = [stretches(texts.iloc[i].encode("utf-8", "replace")) for i in at]
-            starts = np.cumsum([0, *(len(r) for r in rows[:-1])])
-            sums = np.add.reduceat(net.label(np.concatenate(rows)).astype(np.float64), starts, axis=0)
-            p = sums / sums.sum(1, keepdims=True)
-            got.iloc[at, 0] = np.array(net.langs, dtype=object)[p.argmax(1)]
-            got.iloc[at, 1] = np.clip(p.max(1), 0, 1)
-        return got
+        return pd.DataFrame(pooled(sent.value, texts.tolist()), columns=["lang_pred", "score"])
 
-    return docs.select("*", F.coalesce(held_out(F.col(f"`{id_col}`")), F.lit(False)).alias("held_out"), predict(F.col(f"`{text}`")).alias("__got")).select("*", "__got.*").drop("__got")
+    rows = with_row(docs, id_col, text).toDF("__row", "k", "t")
+    got = rows.select("__row", F.coalesce(held_out(F.col("k")), F.lit(False)).alias("held"), predict.asNondeterministic()("t").alias("got"))  # so that no plan calls it twice
+    return got.select(*unpacked(docs, held_out=F.col("held"), lang_pred=F.col("got.lang_pred"), score=F.col("got.score")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identified(spark, bare(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+    docs = bare(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return identified(spark, docs, learned(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in a language: without `und` and without those that the network can't tell from a guess."""
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"), F.col("`lang`").alias("lang"))
-    got = identified(spark, plain)
-    n = docs.select(F.count_distinct("lang").alias("n"))  # one row
-    guess = got.crossJoin(F.broadcast(n))
-    return guess.where((F.col("lang_pred") != "und") & ((F.col("n") <= 1) | (F.col("score") >= LEAST_SHARE / F.col("n")))).select("row.*")
+    """The documents in a language: without `und` and without those that the network can't tell from a guess among its languages."""
+    net = learned(docs)
+    got = identified(spark, with_row(docs, "doc_id", "text"), net)
+    n = len(net.langs) if net else 0
+    kept = got.where((F.col("lang_pred") != "und") & (F.col("score") >= F.lit(LEAST_SHARE / n if n > 1 else 0.0)))
+    return kept.select(*unpacked(docs))
 
 
 QUERIES = {"op3_language_id": op3_language_id}

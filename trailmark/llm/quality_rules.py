@@ -1,15 +1,15 @@
 """Quality rules as a bitmask ledger, with DataFrame functions only.
 
-Every rule is evaluated once per document. The ledger keeps the measurements and one long of failure bits; policies are
-named, versioned masks over these bits, so a new policy or an ablation reads the ledger, not the texts. Ablations count
-documents per distinct mask and work on those counts by bitwise operations.
+Every rule is evaluated once per document. The ledger is a written table of the measurements and one long of failure bits;
+policies are named, versioned masks over these bits, so a new policy or an ablation reads the ledger, not the texts. Ablations
+count documents per distinct mask and work on those counts by bitwise operations.
 
 Words covered by repeated 3-word windows are found within a row: each window is sorted by its full hash, its words and
 its position, so equal windows are always neighbours, and neighbours with equal words are repeats. So the work is n log n in
-a document's length, and no document's windows leave its row.
+a document's length, and no document's windows leave its row. That is one path for every length.
 
-Defined cases: a null or wordless text has zero in every count and fails the base; equal rows get equal results; no rows
-give no rows; further columns are not looked at.
+Defined cases: a null or wordless text has zero in every count and fails the base; equal rows get equal results; texts of
+any length are read whole; no rows give no rows; further columns, of whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, table
+from .common import bare, table, written
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -94,14 +94,30 @@ def ablations(entries: DataFrame, policies: dict[str, int] = POLICIES, rules: li
     return plan.select("policy", "rule").join(got, ["policy", "rule"], "left").na.fill(0, ["n_failed", "n_only"])
 
 
+def stored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger as a table in the shared folder."""
+    return written(spark, ledger(docs, id_col, text), "quality-ledger")
+
+
+def judged(entries: DataFrame, version: str = POLICY) -> DataFrame:
+    """The ledger with the policy's version and its verdict; the base rules reject under every policy."""
+    return entries.select("*", F.lit(version).alias("policy"), (~passes(BASE)).alias("base_failed"), passes(POLICIES[version] | BASE).alias("kept"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ledger(table(spark, sf_dir, "documents"))
-    return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(BASE)).alias("base_failed"), passes(POLICIES[POLICY]).alias("kept"))
+    got = judged(stored(spark, table(spark, sf_dir, "documents")))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fails", "policy")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under each policy, documents that each of its rules fails, and those that only this rule rejects."""
+    return ablations(stored(spark, table(spark, sf_dir, "documents")))
 
 
 _FAILED = " OR ".join(f"({rule})" for _, rule in RULES)
-QUERIES = {"op8_quality_rules": op8_quality_rules}
-SQL = {"op8_quality_rules": rf"""
+QUERIES = {"op8_quality_rules": op8_quality_rules, "quality_ablations": quality_ablations}
+_FAILS = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(RULES))
+_MEASURED = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 g AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS st FROM d WHERE len(w) >= 3),
@@ -112,5 +128,15 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(l
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!!')) AS n_shouts
       FROM d LEFT JOIN c USING (rid))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT ({_FAILED}) AS kept FROM m
-"""}
+"""
+_PLAN = ", ".join(f"('{p}', '{name}', {m}, {1 << k})" for p, m in POLICIES.items() for k, (name, _) in enumerate(RULES) if m >> k & 1)
+SQL = {
+    "op8_quality_rules": f"""{_MEASURED}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT ({_FAILED}) AS kept,
+       CAST({_FAILS} AS BIGINT) AS fails, '{POLICY}' AS policy FROM m
+""",
+    "quality_ablations": f"""{_MEASURED}, f AS (SELECT CAST({_FAILS} AS BIGINT) AS fails FROM m)
+SELECT p.policy, p.rule, CAST(count(*) FILTER (WHERE fails & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (WHERE fails & mask = bit) AS BIGINT) AS n_only
+FROM (VALUES {_PLAN}) p(policy, rule, mask, bit) LEFT JOIN f ON true GROUP BY ALL
+""",
+}

@@ -2,27 +2,35 @@
 
 The ring has `cells` equal cells; a row's cell is a hash of its key, and each virtual node sits on the border of a cell, so
 all rows of a cell have the same home. Only the number of rows in each cell reaches the driver (`cells` numbers, however
-many rows there are). There the overflow of full shards is walked clockwise, which gives a plan of intervals of ranks
-within cells; rows find their shard and slot by rank. A row moves only if its home shard is full.
+many rows there are), counted from the key column alone. There the overflow of full shards is walked clockwise, which gives
+a plan of intervals of ranks within cells; rows find their shard and slot by rank. A row moves only if its home shard is full.
+
+A cell with over HOT_SHARE of all rows (one key, or null keys) is ranked in HOT_PARTS parts by a hash of size and checksum,
+each by a task of its own, and the parts' counts give the rank at which each begins: at most HOT_PARTS / HOT_SHARE numbers.
 
 Defined cases: a null key hashes as a value of its own; a null text has no bytes; equal rows (the same key, size and
-checksum) are counted together and get different slots; no rows give no rows; further columns are not looked at.
+checksum) are counted together, get different slots and are written out RANGE at a time; texts of any length are only
+measured; no rows give no rows; further columns, of whatever names, are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bare, table
+from .common import bare, table, written
 
 CELLS = 1 << 16
 VNODES = 100
 SHARDS = 40
+HOT_SHARE = 1 / 1024
+HOT_PARTS = 64
+RANGE = 10_000
 
 
 def ring(shards: int, vnodes: int, cells: int) -> list[tuple[int, int]]:
@@ -39,7 +47,7 @@ def capacities(rows: int, shards: int, load: float | None) -> list[int]:
         return [rows // shards + (s < rows % shards) for s in range(shards)]
     if load < 1:
         raise ValueError("a load factor under 1 can't hold all rows")
-    return [-(-int(load * rows * 1000) // (shards * 1000)) + 1] * shards
+    return [-int(-Fraction(str(load)) * rows // shards)] * shards
 
 
 def walk(counts: dict[int, int], shards: int, vnodes: int, cells: int, load: float | None) -> list[tuple[int, int, int, int, int]]:
@@ -86,17 +94,28 @@ def walk(counts: dict[int, int], shards: int, vnodes: int, cells: int, load: flo
 
 def assign(spark: SparkSession, df: DataFrame, key: str, text: str, shards: int = SHARDS, vnodes: int = VNODES, cells: int = CELLS, load: float | None = None) -> DataFrame:
     """(key, size, text_crc32, shard, slot) of each row of df."""
-    text_of = F.coalesce(F.col("t"), F.lit(""))
-    rows = bare(df, key, text).toDF("k", "t").select("k", (F.octet_length(text_of) + F.lit(16)).cast("long").alias("size"), F.crc32(F.encode(text_of, "UTF-8")).alias("crc"))
-    kinds = rows.groupBy("k", "size", "crc").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.pmod(F.xxhash64("k"), F.lit(cells)).cast("int"))
-    counts = {r["cell"]: r["n"] for r in kinds.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # at most `cells` rows
+    cell_of = F.pmod(F.xxhash64("k"), F.lit(cells)).cast("int").alias("cell")
+    counts = {r["cell"]: r["count"] for r in bare(df, key).toDF("k").groupBy(cell_of).count().collect()}  # at most `cells` rows
     pieces = pd.DataFrame(walk(counts, shards, vnodes, cells, load), columns=["cell", "lo", "hi", "shard", "at"])
     plan = F.broadcast(spark.createDataFrame(pieces, "cell int, lo long, hi long, shard int, at long"))  # at most cells + shards * vnodes + shards rows
-    upto = F.sum("n").over(Window.partitionBy("cell").orderBy("k", "size", "crc").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = kinds.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    hot = [c for c, n in counts.items() if n > HOT_SHARE * sum(counts.values())]
+    part = F.when(F.col("cell").isin(hot), F.pmod(F.xxhash64("size", "crc"), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
+    text_of = F.coalesce(F.col("t"), F.lit(""))
+    rows = bare(df, key, text).toDF("k", "t").select("k", (F.octet_length(text_of) + F.lit(16)).cast("long").alias("size"), F.crc32(F.encode(text_of, "UTF-8")).alias("crc"))
+    kinds = rows.groupBy("k", "size", "crc").agg(F.count(F.lit(1)).alias("n")).select("*", cell_of).withColumn("part", part)
+    begins = F.lit(0).cast("long")
+    if hot:
+        kinds = written(spark, kinds, "kinds")
+        sums = {(r["cell"], r["part"]): r["n"] for r in kinds.where(F.col("cell").isin(hot)).groupBy("cell", "part").agg(F.sum("n").alias("n")).collect()}  # HOT_PARTS / HOT_SHARE rows at most
+        first = [(c, p, sum(sums.get((c, q), 0) for q in range(p))) for c in hot for p in range(HOT_PARTS)]
+        kinds = kinds.join(F.broadcast(spark.createDataFrame(first, "cell int, part int, begins long")), ["cell", "part"], "left")
+        begins = F.coalesce("begins", begins)
+    upto = F.sum("n").over(Window.partitionBy("cell", "part").orderBy("k", "size", "crc").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = kinds.withColumn("upto", upto + begins).withColumn("from", F.col("upto") - F.col("n"))
     met = ranked.join(plan, "cell").where((F.col("from") < F.col("hi")) & (F.col("lo") < F.col("upto")))
-    first, last = F.greatest("from", "lo"), F.least("upto", "hi")
-    slots = F.sequence(first - F.col("lo") + F.col("at"), last - F.col("lo") + F.col("at") - 1)
+    met = met.withColumn("first", F.greatest("from", "lo") - F.col("lo") + F.col("at")).withColumn("last", F.least("upto", "hi") - F.col("lo") + F.col("at") - 1)
+    met = met.withColumn("step", F.explode(F.sequence("first", "last", F.lit(RANGE).cast("long"))))
+    slots = F.sequence("step", F.least(F.col("step") + (RANGE - 1), "last"))
     return met.select(F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", F.explode(slots).alias("slot"))
 
 

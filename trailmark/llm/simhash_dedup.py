@@ -1,17 +1,18 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
 A fingerprint of 64 bits is eight bytes. Two fingerprints that differ in at most `bits` bits agree in at least 8 - bits
-bytes at the same position, so in at least 7 - bits of the first seven. The inverted index has a list for each choice of
-7 - bits of the first seven positions and each value of those bytes; a pair is met in its first common list only, its
-shared bytes are tallied, pairs under the guaranteed minimum of 8 - bits are left, and the rest is verified bit by bit.
-Lists of single positions would hold a 256th of all fingerprints each, and their pairs grow with the square of the
-input; the joint lists of four bytes carry the same guarantee and stay short.
+bytes at the same position. The inverted index has a list for each choice of 7 - bits of the eight positions and each value
+of those bytes together: a list of one position would hold a 256th of all fingerprints, and its pairs grow with the square
+of the input. A pair that shares m bytes has as many common lists as there are choices of 7 - bits of m positions, so one
+within `bits` bits has 8 - bits of them at least. Every common list of a pair is tallied, pairs under that guaranteed
+minimum go (those that share 7 - bits bytes only), and what is left is verified bit by bit.
 
 Equal fingerprints are joined before the index, so exact copies cost one row. Components are found by alternating large-star
 and small-star steps, each written to the shared folder.
 
 Defined cases: a null text or one without words has fingerprint zero and links like any other; a null doc_id is never
-the smallest; equal rows get equal results; no rows give no rows; further columns are not looked at.
+the smallest; equal rows get equal results; texts of any length are read whole; no rows give no rows; further columns, of
+whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, bounded_batches, row_key, table, written
+from .common import bare, dropped, row_key, table, written
 
 SHINGLE = 3
 BITS = 3
@@ -53,8 +54,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(spark: SparkSession, text: Column, shingle: int = SHINGLE) -> Column:
-    bounded_batches(spark)
-
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
@@ -62,24 +61,28 @@ def fingerprints(spark: SparkSession, text: Column, shingle: int = SHINGLE) -> C
     return of(text)
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b), a < b: the pairs of different values of the column fp that differ in `bits` bits or fewer, each once."""
-    need = 7 - bits
+def postings(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(list, fp): each value of the column fp in each of its lists."""
     lists = []
-    for at in combinations(range(7), need):
-        mask = sum(1 << i for i in at)
-        value = F.lit(0).cast("long")
+    for k, at in enumerate(combinations(range(8), 7 - bits)):
+        value = F.lit(k << 48).cast("long")
         for j, i in enumerate(at):
             value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)), 8 * j))
-        lists.append(F.struct(F.lit(mask).alias("mask"), F.lit((2 << max(at)) - 1).alias("below"), value.alias("value")))
-    index = prints.select("fp", F.explode(F.array(*lists)).alias("x")).select("fp", "x.*")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    same = F.lit(0)
-    for i in range(8):
-        same = same.bitwiseOR(F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1 << i).otherwise(0))
-    near = (F.bit_count(x) <= bits) & (F.bit_count(same) >= 8 - bits) & (same.bitwiseAND(F.col("a.below")) == F.col("a.mask"))
-    met = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") < F.col("b.fp"))
-    return index.alias("a").join(index.alias("b"), met & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+        lists.append(value)
+    return prints.select("fp", F.explode(F.array(*lists)).alias("list"))
+
+
+def tallied(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b, n), a < b: the pairs of different values of the column fp with a common list, and how many they have in common."""
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = postings(prints.repartition(tasks, "fp"), bits)  # a few fingerprints make many postings: as many tasks as there may be
+    met = index.alias("a").join(index.alias("b"), (F.col("a.list") == F.col("b.list")) & (F.col("a.fp") < F.col("b.fp")))
+    return met.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b), a < b: the pairs of different values of the column fp that differ in `bits` bits or fewer, each once."""
+    return tallied(prints, bits).where(F.col("n") >= 8 - bits).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
 
 
 def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFrame:
@@ -93,7 +96,8 @@ def components(spark: SparkSession, edges: DataFrame, most: int = 60) -> DataFra
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
         small = small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).distinct()
-        now = written(spark, small, "links")
+        last, now = now, written(spark, small, "links")
+        dropped(spark, last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if state == before:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))

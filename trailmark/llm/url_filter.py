@@ -5,13 +5,15 @@ domain. Entries become validity intervals [since, until) by the next entry of th
 as of their fetch time: each distinct host is expanded to its parent domains once and gets the intervals of all its
 patterns, sorted; a capture then looks up the entries active at its fetch time, and the longest pattern wins.
 
-The table of hosts that have entries is broadcast only if all its intervals, as counted, are at most `BROADCAST_INTERVALS`;
-beyond that it is joined by a shuffle, in which a host with very many captures is split.
+The table of hosts that have entries is broadcast only if its bytes, as counted, are at most `BROADCAST_BYTES`; beyond that
+it is joined by a shuffle, in which a host with very many captures is split over tasks (adaptive skew join, the lists being
+the small side). A list holds what stands on a host and its parents, a few intervals; a parent with many hosts is copied to
+each of them once, not to each capture.
 
 Defined cases: a null or malformed url has no host and isn't blocked; a null fetch time matches no interval; entries with a
 null pattern or date are left out; of entries of one pattern and date `add` comes before `remove`, so the pattern isn't
-active from then on; equal rows get equal results; empty tables give no rows, or captures that aren't blocked; further
-columns are not looked at.
+active from then on; repeated entries count once; equal rows get equal results; urls of any length are read
+whole; empty tables give no rows, or captures that aren't blocked; further columns, of whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import bare, table, written
 
-BROADCAST_INTERVALS = 100_000
+BROADCAST_BYTES = 8_000_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -51,8 +53,8 @@ def evaluated(spark: SparkSession, captures: DataFrame, entries: DataFrame, id_c
     rows = bare(captures, id_col, url, fetched).toDF("id", "url", "fetched").select("id", "url", host_of(F.col("url")).alias("host"), "fetched")
     hosts = rows.where("host is not null").select("host").distinct()
     lists = host_lists(spark, hosts, entries)
-    held = lists.agg(F.sum(F.size("entries"))).first()[0] or 0
-    lists = F.broadcast(lists) if held <= BROADCAST_INTERVALS else lists
+    size = F.octet_length("host") + 64 + F.aggregate("entries", F.lit(0), lambda a, e: a + F.octet_length(e["pattern"]) + 48)
+    lists = F.broadcast(lists) if (lists.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else lists
     active = F.filter("entries", lambda e: (e["since"] <= F.col("fetched")) & (e["until"].isNull() | (F.col("fetched") < e["until"])))
     got = rows.join(lists, "host", "left").withColumn("active", active)
     best = F.array_max(F.transform("active", lambda e: F.struct(F.length(e["pattern"]).alias("n"), e["since"].alias("since"), e["pattern"].alias("pattern"))))

@@ -7,9 +7,9 @@ hashed byte 4-grams and hashed measurement buckets, by gradient descent on the `
 whose features (`DIM` numbers each) are made on the executors. The scorer reads whole documents; a document is kept if its
 score is `KEEP` or more.
 
-Defined cases: a null or wordless text has weak label and score 0 and isn't kept; without any document with words there
-is no model and every score is 0; ties have the same score; equal rows get equal results; no rows give no rows; further
-columns are not looked at.
+Defined cases: a null or wordless text has weak label and score 0, isn't kept and is never sampled; without any document with
+words there is no model and every score is 0; ties have the same score; equal rows get equal results; texts of any length
+are read whole; no rows give no rows; further columns, of whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, bounded_batches, hash_cut, table
+from .common import bare, hash_cut, table
 
 SAMPLE = 3000
 DIM = 2048
@@ -44,7 +44,7 @@ def measures(raw: bytes) -> tuple[float, ...] | None:
     letters = seen[65:91].sum() + seen[97:123].sum() + seen[195]
     solid = len(raw) - int(seen[[9, 10, 11, 12, 13, 32]].sum())
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    return (seen[_SYMBOLS].sum() / n, seen[65:91].sum() / max(letters, 1), seen[33] / n, (seen[46] + seen[63]) / n, sum(map(eq, words, words[1:])) / n, 1 - len(set(lines)) / len(lines), float(n), solid / n, seen[124] / n, sum(raw.count(x) for x in _RUNS) / n, len(set(words)) / min(n, 200))
+    return (seen[_SYMBOLS].sum() / n, seen[65:91].sum() / max(letters, 1), seen[33] / n, (seen[46] + seen[63]) / n, sum(map(eq, words, words[1:])) / n, 1 - len(set(lines)) / len(lines), float(n), solid / n, seen[124] / n, sum(raw.count(x) for x in _RUNS) / n, np.log(len(set(words))) / np.log(n) if n > 1 else 1.0)
 
 
 #: (measure, bad if under, bad if over, good from, good to); otherwise a labeller says nothing. Nearly every document looks good to
@@ -52,7 +52,7 @@ def measures(raw: bytes) -> tuple[float, ...] | None:
 LABELLERS = (
     ("symbols", None, 0.1, None, None), ("capitals", None, 0.4, None, None), ("shouts", None, 0.1, None, None), ("stops", 0.005, 0.5, 0.02, 0.3),
     ("repeats", None, 0.1, None, None), ("dup_lines", None, 0.5, None, None), ("word_length", 2, 20, None, None), ("pipes", None, 0.1, None, None),
-    ("runs", None, 0.05, None, None), ("variety", 0.25, None, None, None),
+    ("runs", None, 0.05, None, None), ("variety", 0.6, None, None, None),
 )
 
 
@@ -94,6 +94,16 @@ class Labels:
             p = new
         self.share, self.like = float(share), like
         self.of = dict(zip(codes.tolist(), p.tolist()))
+        self.n, self.p, self.v = n, p, v
+
+    def accuracies(self) -> list[tuple[str, float, float, float, float]]:
+        """(name, share of documents with a vote, share of the votes that are right, votes for bad on good and on bad documents) of each labeller."""
+        got = []
+        for j, (name, *_) in enumerate(LABELLERS):
+            v = self.v[:, j]
+            cast, right = (self.n * (v > 0)).sum(), (self.n * np.where(v == 1, self.p, np.where(v == 2, 1 - self.p, 0))).sum()
+            got.append((name, float(cast / self.n.sum()), float(right / cast) if cast else 0.0, float(self.like[1, j, 2]), float(self.like[0, j, 2])))
+        return got
 
 
 def features(raw: bytes, m: tuple[float, ...], dim: int = DIM) -> np.ndarray:
@@ -123,11 +133,8 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> np.ndarray:
     return w
 
 
-def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, weak_label, score, kept) of each row."""
-    bounded_batches(spark)
-    rows = bare(docs, id_col, text).toDF("id", "t")
-
+def labels_of(docs: DataFrame, text: str = "text") -> Labels | None:
+    """The label model of all documents; None without words."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: dict[int, int] = {}
         for b in batches:
@@ -138,10 +145,24 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: s
                     got[c] = got.get(c, 0) + 1
         yield pd.DataFrame({"code": list(got), "n": list(got.values())}, columns=["code", "n"]).astype("int64")
 
-    patterns = rows.select("t").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # 3 ** 10 rows at most
-    if not patterns:
+    patterns = bare(docs, text).toDF("t").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # 3 ** 10 rows at most
+    return Labels({r["code"]: r["n"] for r in patterns}) if patterns else None
+
+
+def labellers(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(labeller, coverage, accuracy, bad_if_good, bad_if_bad): of each labeller the share of documents on which it votes, how often its
+    votes are right by the model, and how often it votes bad on good and on bad documents. No rows without words."""
+    model = labels_of(docs, text)
+    rows = model.accuracies() if model else []
+    return spark.createDataFrame(rows, "labeller string, coverage double, accuracy double, bad_if_good double, bad_if_bad double")
+
+
+def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, weak_label, score, kept) of each row."""
+    rows = bare(docs, id_col, text).toDF("id", "t")
+    labels = labels_of(docs, text)
+    if not labels:
         return rows.select("id", F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    labels = Labels({r["code"]: r["n"] for r in patterns})
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -153,7 +174,7 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: s
                     got.append((votes(m), features(raw, m).tobytes()))
             yield pd.DataFrame(got, columns=["code", "x"])
 
-    some = rows.where("t is not null")
+    some = rows.where(F.rlike("t", F.lit(r"[^\x20\x09-\x0D]")))  # with words
     h = F.xxhash64("id", "t", F.lit(5))
     few = some.select(h.alias("h"), "t").where(F.col("h") <= hash_cut(some, h, SAMPLE)).dropDuplicates(["h"]).select("t")
     taken = few.mapInPandas(vectors, "code long, x binary").collect()  # SAMPLE rows of DIM numbers at most
@@ -171,12 +192,16 @@ def scored(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: s
                 got[i] = of.get(votes(m), 0.0), 1 / (1 + np.exp(-np.clip(features(raw, m) @ w[:-1] + w[-1], -40, 40)))
         return pd.DataFrame(got, columns=["weak_label", "score"])
 
-    return rows.select("id", score("t").alias("x")).select("id", "x.*", (F.col("x.score") >= KEEP).alias("kept"))
+    return rows.select("id", score.asNondeterministic()("t").alias("x")).select("id", "x.*", (F.col("x.score") >= KEEP).alias("kept"))
 
 
 def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op6_weak_quality": op6_weak_quality}
+def weak_labellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labellers(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_weak_quality": op6_weak_quality, "weak_labellers": weak_labellers}
 SQL: dict[str, str] = {}
