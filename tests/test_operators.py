@@ -54,12 +54,14 @@ def trajectories(n=40):
     return runs
 
 
-@pytest.mark.parametrize("target", [1, 3, 1000])
+@pytest.mark.parametrize("target", [-2, 0, 1, 3, 1000])
 def test_replay_equals_the_loop(spark, target):
     runs = trajectories()
     got = replay.replay(spark.createDataFrame([r for s in runs for r in s], STEP), [target]).collect()
     have = {r["run_id"]: (r["reg_t"], r["spec_t"], r["reg_w"], r["spec_w"], r["matches"], r["window_matches"], r["windows"]) for r in got}
-    assert have == {s[0]["run_id"]: replayed(s, target) for s in runs}
+    assert have == {s[0]["run_id"]: replayed(s, target) if target > 0 else (0.0, 0.0, 0, 0, 0, 0, 0) for s in runs}
+    if target <= 0:
+        assert all(set(r[2:]) == {0} for r in got)
 
 
 def test_replay_of_nothing(spark):
@@ -83,10 +85,14 @@ def test_single_group_has_no_width(spark):
 
 
 def test_pass_hat_beyond_factorials(spark):
-    t = spark.createDataFrame([(1, i < 20) for i in range(25)] + [(2, False)] * 25 + [(3, True)] * 25, "task int, ok boolean")
-    got = {r["k"]: r["pass_hat"] for r in scoring.pass_hat(t, "task", F.col("ok")).collect()}
+    """25 trials in the run; task 4 has only 5 of them, and still C(c, k) is taken of 25."""
+    t = spark.createDataFrame([(1, i, i < 20) for i in range(25)] + [(2, i, False) for i in range(25)] + [(3, i, True) for i in range(25)] + [(4, i, True) for i in range(5)], "task int, trial int, ok boolean")
+    rows = scoring.pass_hat(t, "task", "trial", F.col("ok")).collect()
+    got = {r["k"]: r["pass_hat"] for r in rows}
+    assert sorted(got) == list(range(1, 26)) and all(abs(r["avg_reward"] - 50 / 80) < 1e-12 for r in rows)
     for k in range(1, 26):
-        assert abs(got[k] - (math.comb(20, k) / math.comb(25, k) + 0 + 1) / 3) < 1e-9
+        assert abs(got[k] - (math.comb(20, k) / math.comb(25, k) + 0 + 1 + math.comb(5, k) / math.comb(25, k)) / 4) < 1e-9
+    assert scoring.pass_hat(t.limit(0), "task", "trial", F.col("ok")).count() == 0
 
 
 def f1(p, g):
@@ -106,11 +112,25 @@ def test_token_f1(spark):
     assert all(abs(got[i] - f1(*p)) < 1e-9 for i, p in enumerate(pairs))
 
 
+def test_token_f1_of_equal_keys_and_long_texts(spark):
+    """Rows are told apart even if they share a key; tokens are counted as multisets."""
+    rng = random.Random(4)
+    pairs = [(" ".join(rng.choice("pqrs") for _ in range(rng.randint(0, 9))), " ".join(rng.choice("pqrs") for _ in range(rng.randint(0, 9)))) for _ in range(80)] + [("x y " * 20000, "y z " * 20000)]
+    got = scoring.token_f1(spark.createDataFrame([(1, *p) for p in pairs], "k int, p string, g string"), "k", "p", "g").collect()
+    assert sorted(round(r["f1"], 9) for r in got) == sorted(round(f1(*p), 9) for p in pairs)
+
+
 def test_missing_action_counts_as_zero(spark):
     m = spark.createDataFrame([(1, "general", 1.0), (1, "Look", 0.5), (2, "general", 0.0)], "sample int, action string, accuracy double")
     assert {r["action"]: r["accuracy"] for r in scoring.over_samples(m, m).collect()} == {"general": 0.5, "Look": 0.25}
 
 
+def test_samples_without_a_pair_stay_in_the_mean(spark):
+    pairs = spark.createDataFrame([(1, 0, "A[x]", ["a[x]"]), (1, 1, "A[x]", ["a[x]"]), (2, 0, "A[x]", ["a[x]"]), (3, 0, "A[x]", ["a[x]"]), (3, 1, "B[y]", ["b[z]"])], "sample int, pos int, action string, cand array<string>")
+    got = scoring.over_samples(scoring.action_metrics(pairs, "sample", "pos", "action", "cand", 1), pairs).collect()
+    assert {r["action"]: round(r["accuracy"], 9) for r in got} == {"general": round(1 / 3, 9), "A": round(1 / 3, 9), "B": 0.0}
+
+
 def test_golden_metrics_shape(spark, tmp_path):
     for agent, guess, sample, body in (("a1", "g1", "1", '{"general": 1.0, "Search": 0.5}'), ("a1", "g1", "2", '{"general": 0.5}')):
         p = tmp_path / agent / guess / sample
@@ -163,9 +183,22 @@ def test_python_rounding(x, want):
     assert udfs.python_round(x) == want
 
 
-@pytest.mark.parametrize("e,want", [("1 + 2 * 3", "7.0"), ("(1", "Error: SyntaxError"), ("__import__", udfs.INVALID), ("1/0", "Error: ZeroDivisionError"), ("2**3", "Error: ValueError")])
+@pytest.mark.parametrize("e,want", [("1 + 2 * 3", "7.0"), ("(1", "Error: SyntaxError"), ("__import__", udfs.INVALID), ("1/0", "Error: ZeroDivisionError"), ("2**3", "Error: ValueError"), ("9" * 400, "Error: OverflowError"), ("9" * 5000, "Error: SyntaxError"), ("1" + "*9" * 400 + " / 3", None)])
 def test_calculate(e, want):
-    assert udfs.calculate(e) == want
+    assert udfs.calculate(e) == want if want else udfs.calculate(e).startswith("Error")
+
+
+@pytest.mark.parametrize("text,want", [
+    ("well:\n{\"a\":\n 1}\nbye", '{"a": 1}'), ("{\"a\": {\n}\n}\n}", '{"a": {}}'), ("x\n [{\n}\n, 2]}", None), ("{\n{\"b\": 2}  \nend }", '{"b": 2}'), ("{\"a\": 1} tail\n{\"c\": 3}", '{"c": 3}'), ("no", None), ("\"{}\" x", None)])
+def test_lenient_json(text, want):
+    assert udfs.lenient_json(text) == want
+
+
+def test_lenient_json_reads_each_start_once():
+    import time
+    began = time.time()
+    assert udfs.lenient_json("x\n" + "{\"a\":\n" * 3000) is None and udfs.lenient_json("x\n" + "{\n" * 30000 + "}\n" * 30000 + "{\"z\": 1}") == "{}"
+    assert time.time() - began < 20
 
 
 def test_all_failed_raises_the_first(spark):
@@ -274,13 +307,75 @@ def test_fingerprint_and_merge(spark):
 
 
 def test_streamed_proposals_equal_the_batch(spark, tmp_path):
+    """Two runs with the same roles don't touch each other; the stream comes in two files, the state between them."""
     log = [("a", "1", "call", 0.0, 0), ("a", "2", "call", 1.0, 1), ("a", "1", "response", 3.0, 2), ("a", None, "tick", 9.0, 3), ("a", None, "tick", 10.0, 4), ("b", "7", "call", 0.0, 5), ("b", "7", "response", 12.0, 6), ("b", None, "tick", 13.0, 7), ("c", "9", "call", 1.0, 8)]
-    df = spark.createDataFrame(log, "role string, request_id string, kind string, ts double, seq long")
-    df.write.parquet(str(tmp_path / "in"))
-    rows = lambda x: sorted((r["role"], r["request_id"], r["outcome"], r["apply_ts"] if r["outcome"] == "applied" else None) for r in x.collect())
-    want = [("a", "1", "applied", 10.0), ("a", "2", "refused", None), ("b", "7", "applied", 12.0)]
-    assert rows(loop.proposals_batch(df)) == want
-    assert rows(loop.run_once(loop.proposals(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "proposals_test")) == want
+    log = [(1, *x) for x in log] + [(2, "a", "5", "call", 2.0, 9), (2, "a", "5", "response", 4.0, 10), (2, "a", None, "tick", 30.0, 11)]
+    kind = "run long, role string, request_id string, kind string, ts double, seq long"
+    rows = lambda x: sorted((r["run"], r["role"], r["request_id"], r["outcome"], r["apply_ts"] if r["outcome"] == "applied" else None) for r in x.collect())
+    want = [(1, "a", "1", "applied", 10.0), (1, "a", "2", "refused", None), (1, "b", "7", "applied", 12.0), (2, "a", "5", "applied", 12.0)]
+    assert rows(loop.proposals_batch(spark.createDataFrame(log, kind))) == want
+    for part in (log[:2] + log[5:6], log[2:5] + log[6:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert rows(loop.run_once(loop.proposals(stream))) == want
+
+
+def test_routing_and_latest(spark):
+    models = spark.createDataFrame([("large", 45, 0), ("small", 10, 1), ("middle", 30, 2), ("other", 30, 3)], "model string, capability int, seq int")
+    asked = spark.createDataFrame([(1, 5), (2, 30), (3, 31), (4, 99), (5, 5)], "id int, need int")
+    assert {r["id"]: r["model"] for r in udfs.routed(models, asked).collect()} == {1: "small", 2: "middle", 3: "large", 4: None, 5: "small"}
+    t = spark.createDataFrame([(1, 5, {"a": 1}), (1, 7, {"b": 2}), (2, None, {"c": 3})], "k int, at int, m map<string,int>")
+    assert sorted((r["k"], r["at"], r["m"]) for r in files.latest_rows(t, ["k"], "at").collect()) == [(1, 7, {"b": 2}), (2, None, {"c": 3})]
+
+
+def test_nearest_equals_all_pairs(spark):
+    from trailmark.operators import similarity
+    rng = random.Random(1)
+    v = {i: [rng.choice([-1.0, 0.5, 2.0]) for _ in range(4)] for i in range(120)} | {500: [0.0] * 4, 501: None}
+    frame = spark.createDataFrame(list(v.items()), "id int, e array<double>")
+    got = {}
+    small = lambda df, key, vec: similarity.blocks(df, key, vec, 16)
+    assert small(frame, "id", "e").count() > 3
+    for r in similarity.nearest(frame.where("id % 20 = 0"), frame, "id", "e", 5, 16).collect():
+        got.setdefault(r["q"], []).append((-r["s"], r["id"]))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b)) / (dot0(a) * dot0(b)) ** 0.5
+    dot0 = lambda a: sum(x * x for x in a)
+    for q in range(0, 120, 20):
+        want = sorted((-round(dot(v[q], v[i]), 6), i) for i in v if i not in (q, 500, 501))[:5]
+        assert [(round(s, 6), i) for s, i in sorted(got[q])] == want
+    assert set(got) == set(range(0, 120, 20))
+
+
+def test_gate_looks_at_all_earlier_user_messages(spark):
+    from trailmark.operators import similarity
+    rows = [(1, 0, "guess", [1.0, 0.0]), (1, 1, "user", [1.0, 0.0]), (1, 2, "user", [0.0, 1.0]), (1, 3, "guess", [0.9, 0.1]), (1, 4, "guess", [-1.0, -1.0]), (2, 0, "assistant", [1.0, 0.0]), (2, 1, "guess", [1.0, 0.0])]
+    got = similarity.gate(spark.createDataFrame(rows, "c int, n int, role string, v array<double>"), "c", "n", "role", "v")
+    assert {(r["c"], r["n"]): r["accepted"] for r in got.collect()} == {(1, 0): False, (1, 3): True, (1, 4): False, (2, 1): False}
+
+
+def test_paragraphs_with_attributes_and_inline_tags(spark):
+    from trailmark.functions.text import html_blocks
+    page = "<div><p class='x'>One <b>two</b> three<p>A &amp; B<br>c</p>tail</div><P>end</P><pre>no</pre><ul id=u><li>x</li> <li>y z</li></ul>after"
+    got = spark.createDataFrame([(page,), ("",)], "h string").select(html_blocks(F.col("h"), "p").alias("p"), html_blocks(F.col("h"), "ul").alias("u")).collect()
+    assert [(r["p"], r["u"]) for r in got] == [(["One two three", "A & Bc", "end"], ["x y z"]), ([], [])]
+
+
+def test_ladders_by_breadth_first_search(spark):
+    from trailmark.operators import settlement
+    words = ["cat", "cot", "cog", "dog", "dot", "bat", "xyz"]
+    w = spark.createDataFrame([(x,) for x in words], "w string")
+    near = {a: sorted(b for b in words if sum(x != y for x, y in zip(a, b)) == 1) for a in words}
+    want = set()
+    for a in words:
+        paths, queue = {a: [a]}, [a]
+        for x in queue:
+            for y in near[x]:
+                if y not in paths and len(paths[x]) < 4:
+                    paths[y] = paths[x] + [y]
+                    queue.append(y)
+        want |= {(a, b, len(p) - 1, tuple(p)) for b, p in paths.items() if 2 <= len(p) - 1 <= 3}
+    got = settlement.ladders(settlement.neighbours(w, "w"), w.select(F.col("w").alias("source")), 2, 3).collect()
+    assert {(r["source"], r["target"], r["hops"], tuple(r["path"])) for r in got} == want and len(got) == len(want)
 
 
 def test_steps_and_union_typed_actions(spark, tmp_path):
@@ -303,3 +398,5 @@ def test_config():
     for bad in ('{"mode": "none"}', '{"mode": "dual", "run_duration_s": 7, "window_duration_s": 2}', '{"mode": "dual", "min_granularity_range_ns": [5, 1]}'):
         with pytest.raises(ValueError):
             config.parse(bad)
+    y = config.parse("# run\nmode: 'dual'  # both\nrun_duration_s: 20\nmin_granularity_range_ns: [1, 5]\nverbose: true\n")
+    assert y.iterations == 20 and y.min_granularity_range_ns == (1, 5) and y.further == {"verbose": True}

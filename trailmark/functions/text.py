@@ -75,6 +75,24 @@ def keyword_hits(c: Column, keyword: Column) -> Column:
     return F.filter(sentences(c), lambda s: F.contains(F.lower(s), F.lower(keyword)))
 
 
+#: Character references that are decoded, the ampersand last (fixed values).
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def html_blocks(html: Column, tag: str) -> Column:
+    """The texts of all elements of a kind, with or without attributes: up to their end, the next of their kind or the end of the
+    block around them, without the tags inside of them."""
+    parts = F.split(html, rf"(?i)<{tag}(?:\s[^>]*)?>", -1)
+    bare = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: F.regexp_replace(F.regexp_replace(x, rf"(?is)</(?:{tag}|div|article|section|main|body|td)>.*", ""), r"<[^>]*>?", ""))
+
+    def decoded(x: Column) -> Column:
+        for name, char in REFERENCES:
+            x = F.replace(x, F.lit(name), F.lit(char))
+        return F.regexp_replace(x, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+
+    return F.transform(bare, decoded)
+
+
 def page_text(paragraphs: Column) -> Column:
     """Paragraphs with more than two words, one a line."""
     return F.array_join(F.filter(paragraphs, lambda p: F.size(F.split(p, " ")) > 2), "\n")

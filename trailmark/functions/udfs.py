@@ -36,7 +36,7 @@ def calculate(text: str | None) -> str | None:
 
     try:
         return str(round(float(value(ast.parse(text.strip(), mode="eval"))), 2))
-    except (SyntaxError, ValueError, ZeroDivisionError, RecursionError) as e:
+    except (SyntaxError, ValueError, ArithmeticError, RecursionError, MemoryError) as e:
         return f"Error: {e.__class__.__name__}"
 
 
@@ -56,24 +56,29 @@ def clean_escapes(text: str | None) -> str | None:
 
 
 def lenient_json(text: str | None) -> str | None:
-    """The first JSON object in a text: the whole, a fence, or any stretch of lines; null without one."""
+    """The first JSON value in a text: the whole, a fence, or the first stretch of lines from one with { to one with } that
+    is JSON; null without one. A stretch ends where the value that begins its first line ends, so each first line is read once."""
     if text is None:
         return None
     import re
-    lines = text.split("\n")
-    tries = [text, *re.findall(r"```json\s*(.*?)```", text, re.S), *re.findall(r"```\w*\s*(.*?)```", text, re.S)]
-    starts, ends = ([i for i, x in enumerate(lines) if c in x] for c in "{}")
-    for t in tries:
+    for t in (text, *re.findall(r"```json\s*(.*?)```", text, re.S), *re.findall(r"```\w*\s*(.*?)```", text, re.S)):
         try:
             return json.dumps(json.loads(t), sort_keys=True)
-        except ValueError:
+        except (ValueError, RecursionError):
             pass
-    for a in starts:
-        for b in reversed([e for e in ends if e >= a]):
+    decode, at = json.JSONDecoder().raw_decode, 0
+    for line in text.split("\n"):
+        if "{" in line:
             try:
-                return json.dumps(json.loads("\n".join(lines[a : b + 1])), sort_keys=True)
-            except ValueError:
+                value, end = decode(text, at + len(line) - len(line.lstrip(" \t\r")))
+            except (ValueError, RecursionError):
                 pass
+            else:
+                stop = text.find("\n", end)
+                rest = text[end : len(text) if stop < 0 else stop]
+                if not rest.strip(" \t\r") and "}" in text[max(at, text.rfind("\n", 0, end) + 1) : end]:
+                    return json.dumps(value, sort_keys=True)
+        at += len(line) + 1
     return None
 
 
@@ -140,9 +145,12 @@ def recorded(requests: DataFrame, responses: DataFrame, keys: list[str], default
 
 
 def routed(models: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests(id, need) with the least able model(model, capability, seq) that is able enough; null without one."""
-    j = requests.join(F.broadcast(models), F.col("capability") >= F.col("need"), "left")  # a list of models
-    return j.groupBy("id").agg(F.min(F.struct("capability", "seq", "model")).alias("x")).select("id", F.col("x.model").alias("model"))
+    """requests(id, need) with the least able model(model, capability, seq) that is able enough; null without one. An as-of lookup:
+    both sides in one order of capability, each need answered once, whatever number of models or requests there is."""
+    able = models.groupBy("capability").agg(F.min(F.struct("seq", "model")).alias("m")).select("capability", "m.model")
+    needs = requests.select("need").distinct()
+    met = needs.join(able, F.col("capability") >= F.col("need")).groupBy("need").agg(F.min(F.struct("capability", "model")).alias("x")).select("need", "x.model")
+    return requests.join(met, "need", "left").select("id", "model")
 
 
 def evaluated(df: DataFrame, response: str, label: str, error: str) -> DataFrame:

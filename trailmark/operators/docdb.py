@@ -267,6 +267,18 @@ def in_order(calls: DataFrame, key: str, seq: str) -> DataFrame:
     return calls.withColumn("round", F.row_number().over(Window.partitionBy(key).orderBy(seq)).cast("long"))
 
 
+#: Tools whose answer doesn't depend on data (fixed values): name, answer, whether the episode ends.
+CONSTANT = (("think", "", False), ("transfer_to_human_agents", "Transfer successful", True))
+
+
+def constant_tools(calls: DataFrame, tool: str) -> DataFrame:
+    """calls with `answer` and `ends`."""
+    name, answer, ends = F.col(tool), F.lit("Error: unknown tool"), F.lit(False)
+    for n, a, e in CONSTANT:
+        answer, ends = F.when(name == n, a).otherwise(answer), F.when(name == n, e).otherwise(ends)
+    return calls.withColumns({"answer": answer, "ends": ends})
+
+
 class Tools:
     """A registry of tools by name: invoke gives a tool's result, or the error of an unknown name."""
 

@@ -38,8 +38,9 @@ def states(steps: DataFrame, match: Column | None = None, order=None) -> DataFra
 
 
 def replay(steps: DataFrame, targets: list[int], confidence: bool = False) -> DataFrame:
-    """Per run and target: times, tokens, hits and ratios over the first `target` steps. The next step's time and tokens are
-    taken before the trajectory is cut."""
+    """Per run and target: times, tokens, hits and ratios over the first `target` steps; all zero for a target under one. The
+    next step's time and tokens are taken before the trajectory is cut."""
+    runs = steps.select("run_id").distinct()
     s = steps.withColumn("guesses", confident()) if confidence else steps
     s = s.withColumn("k", F.size("guesses").cast("long")).withColumn("t1", F.lead("t").over(by_step())).withColumn("w1", F.lead("w").over(by_step())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
     s = states(s)
@@ -58,10 +59,15 @@ def replay(steps: DataFrame, targets: list[int], confidence: bool = False) -> Da
         one(~last & F.col("m")).alias("matches"), one(hit).alias("window_matches"), one(hit | miss).alias("windows"),
         F.max(F.when(F.col("step") == (F.greatest(F.col("cut") - 2, F.lit(0)) if confidence else F.lit(0)), F.col("k"))).alias("num_predictions"))
     pct = lambda a, b: F.when(F.col(a) != 0, F.round((F.col(a) - F.col(b)) / F.col(a) * 100, 4)).otherwise(0.0)
-    return got.select(
+    got = got.select(
         "run_id", "target", "steps", F.round("reg_t", 4).alias("reg_t"), F.round("spec_t", 4).alias("spec_t"), "reg_w", "spec_w", "matches", "window_matches", "windows", "num_predictions",
         pct("reg_t", "spec_t").alias("time_saved"), pct("reg_w", "spec_w").alias("tokens_wasted"), F.round(F.col("matches") / F.col("steps"), 6).alias("accuracy"),
         F.when(F.col("windows") > 0, F.round(F.col("window_matches") / F.col("windows"), 6)).otherwise(0.0).alias("window_accuracy"))
+    none = [t for t in targets if t <= 0]
+    if not none:
+        return got
+    zero = [F.lit(0).cast(got.schema[c].dataType).alias(c) for c in got.columns[2:]]
+    return got.unionByName(runs.select("run_id", F.explode(F.array(*map(F.lit, none))).alias("target")).select("run_id", "target", *zero))
 
 
 def carried(steps: DataFrame) -> DataFrame:

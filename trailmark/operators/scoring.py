@@ -27,32 +27,51 @@ def action_metrics(pairs: DataFrame, sample: str, pos: str, action: str, candida
 
 
 def over_samples(metrics: DataFrame, samples: DataFrame, missing_as_zero: bool = True) -> DataFrame:
-    """Mean of each action over all samples; a sample without the action counts as 0."""
+    """Mean of each action over all samples (sample); one without the action, or without any scored pair, counts as 0."""
     if not missing_as_zero:
         return metrics.groupBy("action").agg(F.avg("accuracy").alias("accuracy"))
     n = samples.agg(F.count_distinct("sample").alias("n"))  # one row
     return metrics.groupBy("action").agg(F.sum("accuracy").alias("s")).crossJoin(F.broadcast(n)).select("action", (F.col("s") / F.col("n")).alias("accuracy"))
 
 
-def pass_hat(trials: DataFrame, task: str, success: Column) -> DataFrame:
-    """(k, pass_hat): the mean over tasks of C(c, k) / C(n, k), as a product that doesn't overflow."""
-    t = trials.groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.sum(success.cast("int")).alias("c"))
-    t = t.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+def pass_hat(trials: DataFrame, task: str, trial: str, success: Column, reward: Column | None = None) -> DataFrame:
+    """(k, pass_hat, avg_reward): the mean over tasks of C(c, k) / C(n, k), n being the number of trials of the whole run, and
+    the mean reward. Tasks are counted by c first, so the products are made once for each c, not for each task."""
+    each = trials.select(F.col(task).alias("task"), F.col(trial).alias("trial"), success.cast("int").alias("ok"), (success.cast("double") if reward is None else reward.cast("double")).alias("reward"))
+    run = each.agg(F.count_distinct("trial").alias("n"), F.avg("reward").alias("avg_reward"))  # one row
+    by_c = each.groupBy("task").agg(F.sum("ok").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("tasks"))
+    t = by_c.crossJoin(F.broadcast(run)).where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     ratio = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), F.lit(1.0), lambda a, i: a * F.greatest(F.col("c") - i, F.lit(0)) / (F.col("n") - i))
-    return t.groupBy("k").agg(F.avg(ratio).alias("pass_hat"))
+    return t.groupBy("k").agg((F.sum(ratio * F.col("tasks")) / F.sum("tasks")).alias("pass_hat"), F.first("avg_reward").alias("avg_reward"))
+
+
+def common_tokens(p: Column, g: Column) -> Column:
+    """How many elements two arrays have in common, as multisets: both are sorted together and read once."""
+    both = F.array_sort(F.concat(F.transform(p, lambda x: F.struct(x.alias("x"), F.lit(0).alias("of"))), F.transform(g, lambda x: F.struct(x.alias("x"), F.lit(1).alias("of")))))
+    state = lambda x, a, b, c: F.struct(x.alias("x"), a.alias("a"), b.alias("b"), c.alias("c"))
+
+    def step(s: Column, e: Column) -> Column:
+        same = s["x"] == e["x"]
+        a0, b0 = F.when(same, s["a"]).otherwise(0), F.when(same, s["b"]).otherwise(0)
+        a, b = a0 + (1 - e["of"]), b0 + e["of"]
+        return state(e["x"], a, b, s["c"] + F.least(a, b) - F.least(a0, b0))
+
+    zero = F.lit(0)
+    return F.aggregate(both, state(F.lit(""), zero, zero, zero), step, lambda s: s["c"])
 
 
 def token_f1(pairs: DataFrame, key: str, pred: str, truth: str) -> DataFrame:
-    """(key, f1, precision, recall) by common tokens after normalization, as multisets; yes, no and noanswer only equal themselves."""
-    p = pairs.select(F.col(key).alias("key"), normalize_answer(F.col(pred)).alias("p"), normalize_answer(F.col(truth)).alias("g"))
-    counts = lambda c, n: p.select("key", F.explode(F.split(c, " ")).alias("token")).where("token <> ''").groupBy("key", "token").agg(F.count(F.lit(1)).alias(n))
-    common = counts("p", "a").join(counts("g", "b"), ["key", "token"]).groupBy("key").agg(F.sum(F.least("a", "b")).alias("c"))
-    size = lambda c: F.size(F.filter(F.split(c, " "), lambda x: x != ""))
+    """(key, f1, precision, recall) by common tokens after normalization, as multisets; yes, no and noanswer only equal
+    themselves. All of it within the row."""
+    tokens = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    s = pairs.select(F.col(key).alias("key"), normalize_answer(F.col(pred)).alias("p"), normalize_answer(F.col(truth)).alias("g"))
     short = F.array(F.lit("yes"), F.lit("no"), F.lit("noanswer"))
     bare = (F.array_contains(short, F.col("p")) | F.array_contains(short, F.col("g"))) & (F.col("p") != F.col("g"))
-    s = p.select("key", size("p").alias("np"), size("g").alias("ng"), bare.alias("bare")).join(common, "key", "left")
-    c = F.when(F.col("bare"), 0).otherwise(F.coalesce("c", F.lit(0)))
-    return s.select("key", F.when(c > 0, 2 * c / (F.col("np") + F.col("ng"))).otherwise(0.0).alias("f1"), F.when(c > 0, c / F.col("np")).otherwise(0.0).alias("precision"), F.when(c > 0, c / F.col("ng")).otherwise(0.0).alias("recall"))
+    s = s.select("key", bare.alias("bare"), tokens(F.col("p")).alias("pt"), tokens(F.col("g")).alias("gt"))
+    s = s.select("key", F.size("pt").alias("np"), F.size("gt").alias("ng"), F.when(F.col("bare"), 0).otherwise(F.coalesce(common_tokens(F.col("pt"), F.col("gt")), F.lit(0))).alias("c"))
+    share = lambda a, b: F.when(F.col("c") > 0, a / b).otherwise(0.0)
+    c, n, m = F.col("c"), F.col("np"), F.col("ng")
+    return s.select("key", share(2 * c, n + m).alias("f1"), share(c, n).alias("precision"), share(c, m).alias("recall"))
 
 
 def majority(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

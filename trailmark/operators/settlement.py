@@ -172,6 +172,18 @@ def neighbours(words: DataFrame, word: str) -> DataFrame:
     return keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.w") != F.col("b.w"))).select(F.col("a.w").alias("a"), F.col("b.w").alias("b")).distinct()
 
 
+def ladders(edges: DataFrame, start: DataFrame, least: int, most: int) -> DataFrame:
+    """(source, target, hops, path): the shortest path, of equals the first by alphabet, to each word that lies between least and most
+    steps from a source; one join a step."""
+    front = start.select("source", F.col("source").alias("target"), F.lit(0).alias("hops"), F.array("source").alias("path"))
+    seen = front
+    for h in range(1, most + 1):
+        on = front.join(edges, front["target"] == edges["a"]).select("source", F.col("b").alias("target"), F.array_append("path", F.col("b")).alias("path"))
+        new = on.groupBy("source", "target").agg(F.min("path").alias("path")).join(seen, ["source", "target"], "left_anti").select("source", "target", F.lit(h).alias("hops"), "path")
+        seen, front = seen.unionByName(new), new
+    return seen.where(F.col("hops").between(max(least, 1), most))
+
+
 def reached(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(source, node, hops): nodes within some hops, by their least number; one join a hop."""
     seen = start.select(F.col("source"), F.col("source").alias("node"), F.lit(0).alias("hops"))

@@ -88,7 +88,6 @@ def replay_schedule(requests: DataFrame, keys: list[str], start: str) -> DataFra
 
 
 def since_baseline(windows: DataFrame, keys: list[str], order: str, actor_applied: str) -> DataFrame:
-    """windows with `compressed`: those before the last apply of the actor up to here."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    """windows with `compressed`: those before the last apply of the actor in the whole run."""
     last = F.max(F.when(F.col(actor_applied), F.col(order))).over(Window.partitionBy(*keys))
     return windows.withColumn("compressed", F.coalesce(F.col(order) < last, F.lit(False)))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import udfs
+from ..sources.scratch import scratch
 from ..streaming import loop
 from .registry import query
 from .views import table
@@ -20,13 +19,13 @@ def stream(spark, d, tab="events"):
 
 @query("STM_01_streamed_tumbling", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stm_01(spark, d):
-    got = loop.run_once(loop.tumbling(stream(spark, d), "ts", "1 day", "1 hour", ["event_type"], "value"), f"t{uuid.uuid4().hex}", "complete")
+    got = loop.run_once(loop.tumbling(stream(spark, d), "ts", "1 day", "1 hour", ["event_type"], "value"), "complete")
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("STM_beyond_sliding_window", "SELECT strftime(s, '%Y-%m-%d %H') AS start, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts + INTERVAL 12 HOUR) - INTERVAL 12 HOUR]) AS s FROM events) GROUP BY 1")
 def stm_slide(spark, d):
-    got = loop.run_once(loop.sliding(stream(spark, d), "ts", "1 day", "12 hours", "1 hour", []), f"t{uuid.uuid4().hex}", "complete")
+    got = loop.run_once(loop.sliding(stream(spark, d), "ts", "1 day", "12 hours", "1 hour", []), "complete")
     return got.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
 
 
@@ -40,18 +39,26 @@ def stm_session(spark, d):
 
 
 def request_log(spark, d):
-    """Roles are users mod 10; clicks call, views answer the role's latest call, all else ticks."""
+    """A run a user, with two roles; clicks call, views answer the role's latest call, all else ticks."""
     from pyspark.sql import Window
     e = table(spark, d, "events")
-    role = (F.col("user_id") % 10).cast("string")
+    role = F.when(F.col("event_id") % 3 == 0, "speculator").otherwise("actor")
     kind = F.when(F.col("event_type") == "click", "call").when(F.col("event_type") == "view", "response").otherwise("tick")
-    w = Window.partitionBy("role").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    x = e.select(role.alias("role"), kind.alias("kind"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("seq"))
+    w = Window.partitionBy("run", "role").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    x = e.select(F.col("user_id").alias("run"), role.alias("role"), kind.alias("kind"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("seq"))
     return x.withColumn("request_id", F.last(F.when(F.col("kind") == "call", F.col("seq").cast("string")), True).over(w))
 
 
 @query("STM_03_STM_04_pending_requests")
 def stm_03(spark, d):
+    """As a stream over the log, which is written first: state by run and role."""
+    path, log = scratch(spark), request_log(spark, d)
+    log.coalesce(1).sortWithinPartitions("ts", "seq").write.parquet(path)
+    return loop.run_once(loop.proposals(spark.readStream.schema(log.schema).parquet(path), 600.0), "append")
+
+
+@query("STM_03_STM_04_pending_requests_batch")
+def stm_03_batch(spark, d):
     return loop.proposals_batch(request_log(spark, d), 600.0)
 
 
@@ -67,9 +74,9 @@ def fn_25(spark, d):
     return table(spark, d, "part").select("p_partkey", udfs.batched(udfs.calculate, "string")(e).alias("out"))
 
 
-@query("FN_19_clean_escapes", "SELECT p_partkey, p_name || ' é' AS out FROM part")
+@query("FN_19_clean_escapes", "SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ' é' WHEN 1 THEN ' 你' ELSE ' \\xff' END AS out FROM part")
 def fn_19(spark, d):
-    return table(spark, d, "part").select("p_partkey", udfs.batched(udfs.clean_escapes, "string")(F.concat("p_name", F.lit(" \\xc3\\xa9"))).alias("out"))
+    return table(spark, d, "part").select("p_partkey", udfs.batched(udfs.clean_escapes, "string")(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " \\xc3\\xa9").when(F.col("p_partkey") % 3 == 1, " \\xe4\\xbd\\xa0").otherwise(" \\xff"))).alias("out"))
 
 
 @query("FN_26_lenient_json_lines", "SELECT p_partkey, '{\"a\": ' || p_size || '}' AS out FROM part")
@@ -78,10 +85,16 @@ def fn_26(spark, d):
     return table(spark, d, "part").select("p_partkey", udfs.batched(udfs.lenient_json, "string")(t).alias("out"))
 
 
-@query("FN_35_affix_rule_parse", "SELECT 'SFX' AS kind, 'S' AS flag, 'y' AS strip, 'ies' AS \"add\", '[^aeiou]y' AS condition")
+@query("FN_35_affix_rule_parse", """SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'PFX' ELSE 'SFX' END AS kind, n_name[1] AS flag, CASE WHEN n_regionkey < 2 THEN '' ELSE lower(n_name[-1]) END AS strip, lower(n_name[1:3]) AS "add", '[^' || lower(n_name[2]) || ']' AS condition
+FROM nation WHERE n_nationkey % 5 < 4""")
 def fn_35(spark, d):
+    """A rule a nation; every fifth line is a header, which is none."""
     from ..sources.files import affix_rules
-    return affix_rules(spark.createDataFrame([("SFX S y ies [^aeiou]y",), ("SFX S Y 1",)], "value string"))
+    c = lambda i, n=1: F.substring("n_name", i, n)
+    kind = F.when(F.col("n_nationkey") % 2 == 0, "PFX").otherwise("SFX")
+    strip = F.when(F.col("n_regionkey") < 2, "0").otherwise(F.lower(c(-1)))
+    rule = F.concat(kind, F.lit(" "), c(1), F.lit("  "), strip, F.lit(" "), F.lower(c(1, 3)), F.lit("/X ["), F.lit("^"), F.lower(c(2)), F.lit("]"))
+    return affix_rules(table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 5 == 4, F.concat(kind, F.lit(" "), c(1), F.lit(" Y 1"))).otherwise(rule).alias("value")))
 
 
 @query("UDF_01_parallel_map", "SELECT event_id, k * 2 AS out FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
@@ -107,12 +120,18 @@ def udf_06(spark, d):
     return udfs.routed(models, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("need")))
 
 
-@query("UDF_07_tool_registry", "SELECT n_nationkey, 'ok' AS answer FROM nation")
+@query("UDF_07_tool_registry", "SELECT n_nationkey, CASE WHEN n_regionkey < 2 THEN upper(n_name) || '!' WHEN n_regionkey < 4 THEN '' ELSE 'unknown tool sing' END AS answer FROM nation")
 def udf_07(spark, d):
+    """Calls by name: two known tools and an unknown one."""
     from ..operators.docdb import Tools
-    t = Tools()
-    t.add("think", lambda df: df.select("n_nationkey", F.lit("ok").alias("answer")), description="does nothing")
-    return t.invoke("think", table(spark, d, "nation"))
+    t, n = Tools(), table(spark, d, "nation")
+    t.add("shout", lambda df: df.select("n_nationkey", F.concat(F.upper("n_name"), F.lit("!")).alias("answer")), description="says it loudly")
+    t.add("think", lambda df: df.select("n_nationkey", F.lit("").alias("answer")), description="does nothing")
+    got = t.invoke("shout", n.where("n_regionkey < 2")).unionByName(t.invoke("think", n.where("n_regionkey in (2, 3)")))
+    try:
+        return t.invoke("sing", n)
+    except KeyError as e:
+        return got.unionByName(n.where("n_regionkey > 3").select("n_nationkey", F.lit(e.args[0]).alias("answer")))
 
 
 @query("UDF_08_UDF_09_registry_and_wrappers", "SELECT n_nationkey, lower(n_name) AS n_name FROM nation WHERE n_regionkey = 1")

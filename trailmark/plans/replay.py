@@ -27,7 +27,8 @@ r AS (SELECT run_id, target, max(cut) AS steps, sum(t) AS reg_t,
   max(CASE WHEN step = {at} THEN k END) AS num_predictions FROM y GROUP BY run_id, target)
 SELECT run_id, target, steps, round(reg_t, 4) AS reg_t, round(spec_t, 4) AS spec_t, CAST(reg_w AS BIGINT) AS reg_w, CAST(spec_w AS BIGINT) AS spec_w, matches, window_matches, windows, num_predictions,
   CASE WHEN reg_t <> 0 THEN round((reg_t - spec_t) / reg_t * 100, 4) ELSE 0 END AS time_saved, CASE WHEN reg_w <> 0 THEN round((CAST(reg_w AS DOUBLE) - spec_w) / reg_w * 100, 4) ELSE 0 END AS tokens_wasted,
-  round(CAST(matches AS DOUBLE) / steps, 6) AS accuracy, CASE WHEN windows > 0 THEN round(CAST(window_matches AS DOUBLE) / windows, 6) ELSE 0 END AS window_accuracy FROM r"""
+  round(CAST(matches AS DOUBLE) / steps, 6) AS accuracy, CASE WHEN windows > 0 THEN round(CAST(window_matches AS DOUBLE) / windows, 6) ELSE 0 END AS window_accuracy FROM r
+UNION ALL SELECT run_id, target, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM (SELECT DISTINCT run_id FROM steps), (SELECT unnest({targets}) AS target) WHERE target <= 0"""
 
 
 CONF = "CASE WHEN len(guesses) <= 1 THEN guesses ELSE list_filter(guesses, lambda x, i: CASE WHEN len(guesses) < 3 AND i > 2 THEN false ELSE scores[i] > 50 END) END"
@@ -43,9 +44,9 @@ def agg_01c(spark, d):
     return replay.replay(steps(spark, d), [50], confidence=True)
 
 
-@query("AGG_02_batch_replay", _replay_sql("[1, 5, 10, 20, 1000000]"))
+@query("AGG_02_batch_replay", _replay_sql("[-3, 0, 1, 5, 10, 20, 1000000]"))
 def agg_02(spark, d):
-    return replay.replay(steps(spark, d), [1, 5, 10, 20, 1_000_000])
+    return replay.replay(steps(spark, d), [-3, 0, 1, 5, 10, 20, 1_000_000])
 
 
 _STATE = f"""WITH {STEPS}, a AS (SELECT *, list_contains(guesses, move) AS m FROM steps),

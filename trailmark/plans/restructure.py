@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.udfs import batched, python_round
+from ..operators.docdb import constant_tools
+from ..operators.similarity import nearest
 from .registry import query
 from .views import STEPS, steps, table
 
@@ -79,26 +80,11 @@ def srt_07(spark, d):
     return table(spark, d, "conversations").where("conv_id >= 5 and conv_id < 25").where(F.col("conv_id").isin(5, 6, 7, 20)).select("conv_id", "turn")
 
 
-@query("SRT_10_top_similar", "WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS s FROM q, embeddings WHERE vec_id <> q) SELECT q, vec_id, s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS r FROM c) WHERE r <= 5")
+@query("SRT_10_top_similar", "WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS s FROM q, embeddings WHERE vec_id <> q) SELECT q, vec_id, s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS r FROM c) WHERE r <= 5")
 def srt_10(spark, d):
-    return top_similar(spark, d, 100)
-
-
-@query("SRT_10_top_similar_every_20", "WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS s FROM q, embeddings WHERE vec_id <> q) SELECT q, vec_id, s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS r FROM c) WHERE r <= 5")
-def srt_10_every_20(spark, d):
-    """Every row whose id is divisible by 20."""
-    return top_similar(spark, d, 20)
-
-
-def top_similar(spark, d, every):
-    """The five nearest of each query vector: a top-k report, pre-aggregated by partition of the vectors. The query set grows with
-    the input, so it is broadcast only where Spark finds it small; else the sides meet partition by partition."""
-    from ..functions.text import cosine
+    """The five nearest of every vector whose id is divisible by 20, a top-k report."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
-    c = e.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(cosine(F.col("e"), F.col("embedding")), 6).alias("s"))
-    r = c.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id")))
-    return r.where("r <= 5").select("q", "vec_id", "s")
+    return nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
 
 
 @query("SRT_11_first_of_list", "SELECT conv_id, arg_min(role, turn) AS role FROM conversations GROUP BY 1")
@@ -115,18 +101,15 @@ def jon_18(spark, d):
     return first.select("o_orderkey").unionByName(o.where("o_orderstatus = 'F'").crossJoin(F.broadcast(any_row)).where("n = 0").select("o_orderkey"))
 
 
-@query("FN_money_rounding", "SELECT p_partkey, round(p_retailprice * 0.5, 2) AS out FROM part WHERE p_partkey % 10 = 0")
+@query("FN_money_rounding", "SELECT p_partkey, round(p_retailprice * 0.5, 2) AS out FROM part ")
 def fn_money(spark, d):
     """Rounding of the exact binary value; on prices without ties it equals the decimal rule."""
-    return table(spark, d, "part").where("p_partkey % 10 = 0").select("p_partkey", batched(python_round, "double")(F.col("p_retailprice") * 0.5).alias("out"))
-
-
-@query("FN_money_rounding_all", "SELECT p_partkey, round(p_retailprice * 0.5, 2) AS out FROM part")
-def fn_money_all(spark, d):
     return table(spark, d, "part").select("p_partkey", batched(python_round, "double")(F.col("p_retailprice") * 0.5).alias("out"))
 
 
-@query("DB_12_DB_16_DB_17_constants", "SELECT 'think' AS tool, '' AS answer UNION ALL SELECT 'transfer_to_human_agents', 'Transfer successful'")
+@query("DB_12_DB_16_DB_17_constants", """SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'think' WHEN 'user' THEN 'transfer_to_human_agents' END AS tool,
+CASE role WHEN 'assistant' THEN '' WHEN 'user' THEN 'Transfer successful' ELSE 'Error: unknown tool' END AS answer, role = 'user' AS ends FROM conversations""")
 def db_12(spark, d):
     """Tools whose answer doesn't depend on data; the second one ends the episode."""
-    return spark.createDataFrame([("think", ""), ("transfer_to_human_agents", "Transfer successful")], "tool string, answer string")
+    tool = F.when(F.col("role") == "assistant", "think").when(F.col("role") == "user", "transfer_to_human_agents")
+    return constant_tools(table(spark, d, "conversations").select("conv_id", "turn", tool.alias("tool")), "tool")

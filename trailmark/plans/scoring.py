@@ -42,10 +42,11 @@ for _n, _k, _s in (("AGG_08_action_accuracy", 1, False), ("AGG_09_any_of_k", 3,
         lambda spark, d, k=_k, s=_s: _metrics(spark, d, k, s).select("sample", "action", F.round("accuracy", 6).alias("accuracy")))
 
 
-@query("AGG_10_AGG_14_mean_over_samples", _metric_sql(3, False) + "SELECT action, round(sum(accuracy) / (SELECT count(DISTINCT sample) FROM h), 6) AS accuracy FROM m GROUP BY action")
+@query("AGG_10_AGG_14_mean_over_samples", _metric_sql(3, False).replace("FROM qa WHERE pos > 0", "FROM qa WHERE pos > 0 AND sample % 7 <> 3") + "SELECT action, round(sum(accuracy) / (SELECT count(DISTINCT sample) FROM qa), 6) AS accuracy FROM m GROUP BY action")
 def agg_10(spark, d):
-    p = qa(spark, d).where("pos > 0")
-    return sc.over_samples(_metrics(spark, d, 3), p).select("action", F.round("accuracy", 6).alias("accuracy"))
+    """Samples whose id leaves 3 mod 7 end with their first step: they have no scored pair and count as 0."""
+    p = qa(spark, d).where("pos = 0 or sample % 7 <> 3")
+    return sc.over_samples(sc.action_metrics(p, "sample", "pos", "action", "cand", 3), p).select("action", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("AGG_11_FLT_09_search_time", f"WITH {QA} SELECT sample, round(coalesce(avg(t) FILTER (WHERE lower(action) LIKE '%view[%'), 0), 6) AS search_time FROM qa GROUP BY sample")
@@ -70,15 +71,22 @@ def agg_16(spark, d):
     return steps(spark, d).select("run_id", "step", F.round(F.sum("t").over(w), 4).alias("total"), F.round(F.avg("t").over(w), 9).alias("mean"))
 
 
-_TRIALS = "SELECT l_orderkey, l_returnflag FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 4)"
+@query("AGG_17_FLT_11_pass_hat_k", """WITH r AS (SELECT count(DISTINCT l_linenumber) AS n, avg(CAST(l_returnflag = 'R' AS DOUBLE)) AS avg_reward FROM lineitem),
+t AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY 1), x AS (SELECT c, n, avg_reward, unnest(range(1, n + 1)) AS k FROM t, r)
+SELECT k, round(avg(CASE WHEN c < k THEN 0 ELSE CAST(factorial(CAST(c AS INT)) AS DOUBLE) / factorial(CAST(c - k AS INT)) / (CAST(factorial(CAST(n AS INT)) AS DOUBLE) / factorial(CAST(n - k AS INT))) END), 6) AS pass_hat,
+       round(any_value(avg_reward), 6) AS avg_reward FROM x GROUP BY k""")
+def agg_17(spark, d):
+    """All orders, with as many trials as the run has line numbers, whatever number an order has of them."""
+    got = sc.pass_hat(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R")
+    return got.select("k", *[F.round(c, 6).alias(c) for c in ("pass_hat", "avg_reward")])
 
 
-@query("AGG_17_pass_hat_k", f"""WITH t AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM ({_TRIALS}) GROUP BY 1), x AS (SELECT *, unnest(range(1, n + 1)) AS k FROM t)
-SELECT k, round(avg(CASE WHEN c < k THEN 0 ELSE CAST(factorial(CAST(c AS INT)) AS DOUBLE) / factorial(CAST(c - k AS INT)) / (CAST(factorial(CAST(n AS INT)) AS DOUBLE) / factorial(CAST(n - k AS INT))) END), 6) AS pass_hat FROM x GROUP BY k""")
-def agg_17(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag")
-    four = li.groupBy("l_orderkey").count().where("count = 4").select("l_orderkey")
-    return sc.pass_hat(li.join(four, "l_orderkey", "left_semi"), "l_orderkey", F.col("l_returnflag") == "R").select("k", F.round("pass_hat", 6).alias("pass_hat"))
+@query("AGG_17_pass_hat_many_trials")
+def agg_17_many(spark, d):
+    """Users as tasks and their events as trials: far more than 20, where factorials overflow."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("user_id", "event_type", F.row_number().over(w).alias("trial"))
+    return sc.pass_hat(e, "user_id", "trial", F.col("event_type") == "click").select("k", F.round("pass_hat", 9).alias("pass_hat"), F.round("avg_reward", 6).alias("avg_reward"))
 
 
 @query("AGG_18_trial_count", "SELECT count(DISTINCT l_linenumber) AS trials FROM lineitem")

@@ -175,18 +175,13 @@ def jon_15(spark, d):
     return op.neighbours(words(spark, d), "w").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("GME_25_word_ladder", f"""WITH {_WORDS}, {_EDGES}, s AS (SELECT w AS source FROM w WHERE w LIKE '0%'), h1 AS (SELECT DISTINCT source, b AS node FROM s JOIN e ON a = source), h2 AS (SELECT DISTINCT source, b AS node FROM h1 JOIN e ON a = node),
-al AS (SELECT source, source AS node, 0 AS hops FROM s UNION ALL SELECT source, node, 1 FROM h1 UNION ALL SELECT source, node, 2 FROM h2) SELECT source, node, min(hops) AS hops FROM al GROUP BY 1, 2""")
+@query("GME_25_word_ladder", f"""WITH {_WORDS}, {_EDGES}, h1 AS (SELECT a AS source, b AS target, a || '>' || b AS path FROM e),
+h2 AS (SELECT source, b AS target, min(path || '>' || b) AS path FROM h1 JOIN e ON a = target WHERE source <> b GROUP BY 1, 2)
+SELECT source, target, 1 AS hops, path FROM h1 UNION ALL SELECT source, target, 2, path FROM h2 ANTI JOIN h1 USING (source, target)""")
 def gme_25(spark, d):
+    """Ladders of one or two steps from every word."""
     w = words(spark, d)
-    return op.reached(op.neighbours(w, "w"), w.where("w like '0%'").select(F.col("w").alias("source")), 2)
-
-
-@query("GME_25_word_ladder_all")
-def gme_25_all(spark, d):
-    """From every word."""
-    w = words(spark, d)
-    return op.reached(op.neighbours(w, "w"), w.select(F.col("w").alias("source")), 2)
+    return op.ladders(op.neighbours(w, "w"), w.select(F.col("w").alias("source")), 1, 2).withColumn("path", F.array_join("path", ">"))
 
 
 @query("WIN_11_rank_rewards", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS r FROM lineitem), m AS (SELECT *, max(r) OVER (PARTITION BY l_orderkey) AS n FROM r)

@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources import files, sinks
+from ..functions.text import REFERENCES, html_blocks, page_text
+from ..sources import config, files, sinks
 from ..sources.scratch import scratch
 from .registry import query
 from .views import table
 
 
-@query("SRC_01_SRC_02_SRC_04_SRC_06_SRC_07_PRJ_01_step_files", "SELECT user_id % 3 AS run, CAST(row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS INT) AS step, event_type AS current_move FROM events WHERE event_id < 300")
+@query("SRC_01_SRC_02_SRC_04_SRC_06_SRC_07_PRJ_01_step_files", "SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS step, event_type AS current_move FROM events")
 def src_01(spark, d):
-    """Step files written as maps from step to record, found by glob, with the run from the file name."""
-    from pyspark.sql import Window
-    e = table(spark, d, "events").where("event_id < 300").select((F.col("user_id") % 3).alias("run"), "event_id", "event_type")
-    e = e.withColumn("step", (F.row_number().over(Window.partitionBy("run").orderBy("event_id")) - 1).cast("string"))
-    one = e.groupBy("run").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("step", F.struct(F.col("event_type").alias("current_move")))))).alias("value"))
-    path = scratch(spark)
-    one.select("value", F.concat(F.lit("steps_"), F.col("run").cast("string")).alias("name")).write.partitionBy("name").text(path)
-    got = files.steps(spark, f"{path}/name=steps_*/part-*")
-    return got.select(F.regexp_extract("file", r"steps_(\d+)", 1).cast("long").alias("run"), "step", "current_move")
-
-
-@query("SRC_01_step_files_all", "SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS step, event_type AS current_move FROM events")
-def src_01_all(spark, d):
-    """All events, one file a user, so that no file holds a share of the whole table."""
-    from pyspark.sql import Window
+    """Step files written as maps from step to record, found by glob, with the run from the file name: one file a user, so that
+    no file holds a share of the whole table."""
     e = table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", "event_type")
     e = e.withColumn("step", (F.row_number().over(Window.partitionBy("run").orderBy("event_id")) - 1).cast("string"))
     one = e.groupBy("run").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("step", F.struct(F.col("event_type").alias("current_move")))))).alias("value"))
@@ -36,15 +25,8 @@ def src_01_all(spark, d):
     return got.select(F.regexp_extract("file", r"steps_(\d+)", 1).cast("long").alias("run"), "step", "current_move")
 
 
-@query("SRC_03_SRC_05_text_files", "SELECT n_name AS text FROM nation WHERE n_nationkey < 3")
+@query("SRC_03_SRC_05_text_files", "SELECT n_name AS text FROM nation")
 def src_03(spark, d):
-    path = scratch(spark)
-    table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).write.partitionBy("k").text(path)
-    return files.text_files(spark, f"{path}/*/part-*").select(F.trim(F.replace("text", F.lit("\n"), F.lit(""))).alias("text"))
-
-
-@query("SRC_03_text_files_all", "SELECT n_name AS text FROM nation")
-def src_03_all(spark, d):
     path = scratch(spark)
     table(spark, d, "nation").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).write.partitionBy("k").text(path)
     return files.text_files(spark, f"{path}/*/part-*").select(F.trim(F.replace("text", F.lit("\n"), F.lit(""))).alias("text"))
@@ -78,18 +60,26 @@ def src_14(spark, d):
     return files.json_lines(spark, path, "item_id long, text string")
 
 
-@query("SRC_18_optional", "SELECT true AS missing")
+@query("SRC_18_optional", "SELECT r_regionkey AS k, r_regionkey % 2 = 1 AS missing FROM region")
 def src_18(spark, d):
-    return spark.range(1).select(F.lit(files.optional(spark, scratch(spark), "a int") is None).alias("missing"))
+    """A file for each even region; the others have none."""
+    path, keys = scratch(spark), range(table(spark, d, "region").count())  # five
+    table(spark, d, "region").where("r_regionkey % 2 = 0").withColumn("k", F.col("r_regionkey")).write.partitionBy("k").json(path)
+    return spark.createDataFrame([(k, files.optional(spark, f"{path}/k={k}", "r_name string") is None) for k in keys], "k int, missing boolean")
 
 
-@query("SRC_19_newest_file", "SELECT 2 AS files, 1 AS newest")
+@query("SRC_19_newest_file", "SELECT n_regionkey AS k, n_name AS name FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) = 1")
 def src_19(spark, d):
+    """A folder a region, with a file for each nation, written one after the other; the newest of each folder is read."""
+    import time
     path = scratch(spark)
-    for k in range(2):
-        table(spark, d, "region").coalesce(1).write.mode("append").json(path)
-    f = files.found(spark, path, "*.json")
-    return f.agg(F.count(F.lit(1)).cast("int").alias("files")).join(files.newest(f).agg(F.count(F.lit(1)).cast("int").alias("newest")))
+    n = table(spark, d, "nation").withColumn("k", F.col("n_regionkey"))
+    for nth in range(n.groupBy("k").count().agg(F.max("count")).first()[0]):  # five
+        w = Window.partitionBy("k").orderBy("n_nationkey")
+        n.withColumn("nth", F.row_number().over(w)).where(F.col("nth") == nth + 1).drop("nth").coalesce(1).write.mode("append").partitionBy("k").json(path)
+        time.sleep(0.05)
+    paths = [r["path"] for r in files.newest(files.found(spark, path, "*.json")).collect()]  # one a folder
+    return spark.read.option("basePath", path).schema("n_name string, k long").json(paths).select("k", F.col("n_name").alias("name"))
 
 
 @query("SRC_20_proc_stat", "SELECT 'cpu' || n_nationkey AS label, CAST(n_nationkey * 3 AS BIGINT) AS total FROM nation")
@@ -103,10 +93,20 @@ def src_21(spark, d):
     return files.state_residency(table(spark, d, "part"), "p_type", "p_size", [])
 
 
-@query("SRC_22_page_paragraphs", "SELECT page_id, len(regexp_extract_all(html, '<p>[^<]+')) AS n FROM pages")
+def _blocks_sql(tag: str) -> str:
+    out = f"list_transform(string_split_regex(html, '(?i)<{tag}(?:\\s[^>]*)?>')[2:], lambda x: regexp_replace(regexp_replace(x, '(?is)</(?:{tag}|div|article|section|main|body|td)>.*', ''), '<[^>]*>?', '', 'g'))"
+    for a, b in REFERENCES:
+        out = f"list_transform({out}, lambda x: replace(x, '{a}', '{b.replace(chr(39), chr(39) * 2)}'))".replace("'&#39;'", "'&#39;'")
+    return f"list_transform({out}, lambda x: regexp_replace(x, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'))"
+
+
+@query("SRC_22_page_paragraphs", f"""WITH p AS (SELECT page_id, list_concat({_blocks_sql("p")}, {_blocks_sql("ul")}) AS ps FROM pages), k AS (SELECT page_id, ps, list_filter(ps, lambda x: len(string_split(x, ' ')) > 2) AS kept FROM p)
+SELECT page_id, CAST(len(ps) AS BIGINT) AS n_blocks, CAST(len(kept) AS BIGINT) AS n_kept, md5(array_to_string(kept, chr(10))) AS text_md5 FROM k""")
 def src_22(spark, d):
-    """Paragraphs of stored pages, by native expressions."""
-    return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<p>([^<]+)"), 1)).cast("long").alias("n"))
+    """The page as an agent sees it: its paragraphs, then its lists, with inline tags and attributes read over; those of over two words."""
+    p = table(spark, d, "pages").select("page_id", F.concat(html_blocks(F.col("html"), "p"), html_blocks(F.col("html"), "ul")).alias("ps"))
+    kept = F.filter("ps", lambda x: F.size(F.split(x, " ")) > 2)
+    return p.select("page_id", F.size("ps").cast("long").alias("n_blocks"), F.size(kept).cast("long").alias("n_kept"), F.md5(page_text(F.col("ps"))).alias("text_md5"))
 
 
 @query("SRC_23_JON_14_SET_05_dictionary", """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part), f AS (SELECT w FROM w UNION SELECT w || 's' FROM w WHERE NOT w ENDS WITH 's' UNION SELECT 're' || w FROM w UNION SELECT left(w, len(w) - 1) || 'ies' FROM w WHERE w LIKE '%y') SELECT w AS form FROM f""".replace("NOT w ENDS WITH 's'", "w NOT LIKE '%s'"))
@@ -117,14 +117,8 @@ def src_23(spark, d):
     return files.dictionary_words(words, files.affix_rules(rules), "w", "flags")
 
 
-@query("SRC_24_score_table", "SELECT p_brand AS issue, p_type AS option, p_size AS score FROM part WHERE p_partkey < 200")
+@query("SRC_24_score_table", "SELECT p_brand AS issue, p_type AS option, p_size AS score FROM part")
 def src_24(spark, d):
-    t = table(spark, d, "part").where("p_partkey < 200").select(F.concat(F.col("p_brand"), F.lit(": "), F.col("p_type"), F.lit("="), F.col("p_size").cast("string")).alias("t"))
-    return files.score_table(t, "t")
-
-
-@query("SRC_24_score_table_all", "SELECT p_brand AS issue, p_type AS option, p_size AS score FROM part")
-def src_24_all(spark, d):
     t = table(spark, d, "part").select(F.concat(F.col("p_brand"), F.lit(": "), F.col("p_type"), F.lit("="), F.col("p_size").cast("string")).alias("t"))
     return files.score_table(t, "t")
 
@@ -138,12 +132,26 @@ def snk_04(spark, d):
     return files.json_lines(spark, path, "n_name string")
 
 
-@query("SNK_06_history", "SELECT n_regionkey AS run, count(*) AS windows, 1 AS requests FROM nation GROUP BY 1")
+@query("SNK_06_history", "SELECT n_regionkey AS run, count(*) AS windows, (SELECT count(*) FROM supplier WHERE s_nationkey % 5 = n_regionkey) AS requests FROM nation GROUP BY 1")
 def snk_06(spark, d):
+    """Nations are the windows of their region's run, suppliers its requests."""
     path = scratch(spark)
-    sinks.save_history(table(spark, d, "nation").withColumnRenamed("n_regionkey", "run"), table(spark, d, "region").withColumnRenamed("r_regionkey", "run"), path, "run")
+    sinks.save_history(table(spark, d, "nation").withColumn("run", F.col("n_regionkey").cast("long")), table(spark, d, "supplier").withColumn("run", (F.col("s_nationkey") % 5).cast("long")), path, "run")
     w, r = (spark.read.parquet(f"{path}/{n}").groupBy("run").agg(F.count(F.lit(1)).alias(n)) for n in ("windows", "requests"))
-    return w.join(r, "run").withColumn("requests", F.col("requests").cast("int"))
+    return w.join(r, "run", "left").select("run", "windows", F.coalesce("requests", F.lit(0).cast("long")).alias("requests"))
+
+
+@query("SRC_11_SRC_12_run_settings", """SELECT n_nationkey AS run, CASE WHEN n_regionkey < 3 AND n_nationkey % 4 > 0 AND (n_nationkey + 10) % (n_nationkey % 4) = 0 THEN (n_nationkey + 10) // (n_nationkey % 4) END AS iterations,
+concat_ws('; ', CASE WHEN n_regionkey >= 3 THEN 'mode isn''t among (''actor_only'', ''speculator_only'', ''dual'')' END, CASE WHEN n_nationkey % 4 = 0 THEN 'window_duration_s isn''t above zero' END,
+CASE WHEN n_nationkey % 4 > 0 AND (n_nationkey + 10) % (n_nationkey % 4) <> 0 THEN 'whole windows must fill run_duration_s' END) AS problems FROM nation""")
+def src_11(spark, d):
+    """Settings files, one a run, in JSON or as flat YAML, read and checked; a faulty one has its problems listed."""
+    mode = F.element_at(F.array(*map(F.lit, (*config.MODES, "none", "other"))), (F.col("n_regionkey") + 1).cast("int"))
+    n = table(spark, d, "nation").select("n_nationkey", mode.alias("mode"), (F.col("n_nationkey") + 10).cast("string").alias("run"), (F.col("n_nationkey") % 4).cast("string").alias("window"))
+    as_json = F.concat(F.lit('{"mode": "'), "mode", F.lit('", "run_duration_s": '), "run", F.lit(', "window_duration_s": '), "window", F.lit("}"))
+    as_yaml = F.concat(F.lit("# settings\nmode: '"), "mode", F.lit("'\nrun_duration_s: "), "run", F.lit("  # seconds\nwindow_duration_s: "), "window", F.lit("\n"))
+    t = n.select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, as_json).otherwise(as_yaml).alias("t"))
+    return config.checked(t, "n_nationkey", "t").withColumnRenamed("n_nationkey", "run")
 
 
 @query("SNK_09_JON_17_manifest", "SELECT r_name AS section, 'a' AS mode, 'x/' || r_regionkey AS path FROM region")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..operators.similarity import gate
 from .registry import query
 from .views import table
 
@@ -35,6 +36,7 @@ _REACT = f"CASE {_K} % 2 WHEN 0 THEN 'Thought: go' || chr(10) || 'Action: {{\"na
 REACT = lambda: F.when(K() % 2 == 0, F.concat(F.lit('Thought: go\nAction: {"name": "'), F.col("event_type"), F.lit('", "arguments": {"k": "'), K().cast("string"), F.lit('"}}'))).otherwise("Action: hello")
 _USER = f"CASE {_K} % 4 WHEN 0 THEN 'ok ###STOP###' WHEN 1 THEN 'Thought: a' || chr(10) || 'User Response: ' || event_type WHEN 2 THEN 'Thought: b' ELSE event_type END"
 USER = lambda: F.when(K() % 4 == 0, "ok ###STOP###").when(K() % 4 == 1, F.concat(F.lit("Thought: a\nUser Response: "), F.col("event_type"))).when(K() % 4 == 2, "Thought: b").otherwise(F.col("event_type"))
+OTHERS = lambda: F.when(F.col("p_size") % 3 == 0, F.array("p_type", "p_brand", "p_type")).when(F.col("p_size") % 3 == 1, F.array("p_type", "p_name")).otherwise(F.array("p_brand", "p_type"))
 join = lambda c: F.array_join(c.cast("array<string>"), "|")
 
 #: Name, (table, key columns), what makes the Spark expression (there may be no session yet), DuckDB expression.
@@ -50,10 +52,10 @@ TABLE = [
     ("FN_15_SRT_09_sentences", DOCS, lambda: join(F.slice(fn.sentences(T()), 1, 5)), f"array_to_string(list_slice({_SENT}, 1, 5), '|')"),
     ("FN_16_keyword_hits", DOCS, lambda: F.size(fn.keyword_hits(T(), F.lit("TION"))).cast("long"), f"len(list_filter({_SENT}, lambda s: contains(lower(s), 'tion')))"),
     ("FN_17_page_text", DOCS, lambda: F.md5(fn.page_text(F.split(T(), "\n"))), "md5(array_to_string(list_filter(string_split(text, chr(10)), lambda p: len(string_split(p, ' ')) > 2), chr(10)))"),
-    ("FN_18_disambiguation", DOCS, lambda: fn.is_disambiguation(F.split(T(), "\n")), "contains(text, 'may refer to:')"),
+    ("FN_18_disambiguation", DOCS, lambda: fn.is_disambiguation(F.split(F.when(F.col("doc_id") % 3 == 0, F.concat(T(), F.lit("\nIt may refer to: x"))).otherwise(T()), "\n")), "doc_id % 3 = 0 OR contains(text, 'may refer to:')"),
     ("FN_20_strip_role", CONV, lambda: F.md5(fn.strip_role(F.concat(F.lit("["), F.col("role"), F.lit("] "), F.col("role"), F.lit(":"), T()), F.col("role"))), "md5(' ' || text)"),
     ("FN_21_bracketed", EV, lambda: fn.bracketed(F.when(K() % 2 == 0, F.concat(F.lit("["), F.col("event_type"), F.lit("]"))).otherwise(F.col("event_type"))), "'[' || event_type || ']'"),
-    ("FN_21_last_line", CONV, lambda: F.md5(fn.last_line(F.concat(T(), F.lit("\n go ")))), "md5('[go]')"),
+    ("FN_21_last_line", CONV, lambda: fn.last_line(F.concat(T(), F.lit("\n go "), F.col("turn").cast("string"), F.lit(" "))), "'[go ' || turn || ']'"),
     ("FN_22_clip_words", CONV, lambda: fn.clip_words(T(), 7), "array_to_string(list_slice(string_split(text, ' '), 1, 7), ' ')"),
     ("FN_22_clip_chars", CONV, lambda: fn.clip_chars(T(), 25), "right(text, 25)"),
     ("FN_23_sysbench_throughput", EV, lambda: fn.sysbench(REPORT())["throughput"], f"CAST({_K} * 10 || '.5' AS DOUBLE)"),
@@ -62,7 +64,7 @@ TABLE = [
     ("FN_23_sysbench_p99", EV, lambda: fn.sysbench(REPORT())["p99"], "CAST(NULL AS DOUBLE)"),
     ("FN_24_tuner_value", EV, lambda: fn.tuner_value(REPLY(), "min_granularity_ns", 100_000, 400_000), f"CASE {_K} % 3 WHEN 0 THEN greatest(100000, least(400000, {_K} * 5000)) WHEN 1 THEN greatest(100000, least(400000, {_K} * 7000)) END"),
     ("FN_26_lenient_json", PART, lambda: fn.fenced_json(FENCED()), f"CASE WHEN p_partkey % 3 < 2 THEN {_JSON} END"),
-    ("FN_27_loosely_equal", PART, lambda: fn.loosely_equal(F.col("p_name"), F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")))), "true"),
+    ("FN_27_loosely_equal", PART, lambda: fn.loosely_equal(F.col("p_name"), F.concat(F.upper(F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))), F.when(F.col("p_size") % 3 == 0, "x").otherwise("!"))), "p_size % 3 <> 0"),
     ("FN_28_value_hash", PART, lambda: F.sha2(fn.canonical_json(JSON()), 256), f"sha256({_CANON})"),
     ("FN_29_longest_prefix", PART, lambda: fn.longest_prefix(F.col("p_name"), ["s", "small", "re", "red", "blue b"]), "CASE WHEN p_name LIKE 'small%' THEN 'small' WHEN p_name LIKE 's%' THEN 's' WHEN p_name LIKE 'red%' THEN 'red' WHEN p_name LIKE 're%' THEN 're' WHEN p_name LIKE 'blue b%' THEN 'blue b' END"),
     ("FN_30_choice_label", PART, lambda: fn.choice_label(F.col("p_size") % 26), "chr(65 + p_size % 26)"),
@@ -86,7 +88,7 @@ TABLE = [
     ("FN_11_last_board", EV, lambda: F.md5(fn.last_board(F.concat(F.lit("[GAME] You are playing\nGo.\nCurrent board:\nold\n a b c d e f g h\n"), F.when(K() % 3 == 0, "Current board:\n").when(K() % 3 == 1, "Current board:\nnew\n a b c d e f g h\nx\nValid moves: [e2e4]").otherwise("")))),
      f"CASE {_K} % 3 WHEN 0 THEN md5('Could not find end of board') WHEN 1 THEN md5('[GAME] You are playing' || chr(10) || 'Go.' || chr(10) || 'Current board:' || chr(10) || 'new' || chr(10) || ' a b c d e f g h' || chr(10) || 'Valid moves: [e2e4]') ELSE md5('[GAME] You are playing' || chr(10) || 'Go.' || chr(10) || 'Current board:' || chr(10) || 'old' || chr(10) || ' a b c d e f g h') END"),
     ("SET_06_concat_lists", DOCS, lambda: F.size(F.concat(F.split(T(), "\n"), F.split(T(), " "))).cast("long"), "len(string_split(text, chr(10))) + len(string_split(text, ' '))"),
-    ("SET_07_set_equality", PART, lambda: (F.size(F.array_except(F.array("p_brand", "p_type"), F.array("p_type", "p_brand"))) == 0) & (F.size(F.array_except(F.array("p_type", "p_brand"), F.array("p_brand", "p_type"))) == 0), "true"),
+    ("SET_07_set_equality", PART, lambda: (F.size(F.array_except(F.array("p_brand", "p_type"), OTHERS())) == 0) & (F.size(F.array_except(OTHERS(), F.array("p_brand", "p_type"))) == 0), "p_size % 3 <> 1"),
 ]
 
 
@@ -102,9 +104,23 @@ for _row in TABLE:
     _put(*_row)
 
 
-@query("FN_14_STM_11_cosine_gate", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1 AND b.label = a.label")
+@query("FN_14_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1 AND b.label = a.label")
 def fn_14(spark, d):
-    """Similarity of each vector with the one before it, within a label: the gate opens above 0.6."""
+    """Similarity of each vector with the one before it, within a label."""
     e = table(spark, d, "embeddings")
     b = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("other"), "label")
     return e.join(b, ["vec_id", "label"]).select("vec_id", F.round(fn.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+_TALK = "t AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS n FROM embeddings)"
+
+
+@query("STM_11_similarity_gate", f"""WITH {_TALK}, m AS (SELECT vec_id, e, label || '/' || n // 8 AS conv, n % 2 = 1 AS guess FROM t),
+g AS (SELECT a.vec_id, max(list_cosine_similarity(a.e, b.e)) AS likeness FROM m a LEFT JOIN m b ON b.conv = a.conv AND b.vec_id < a.vec_id AND NOT b.guess WHERE a.guess GROUP BY 1)
+SELECT vec_id, round(likeness, 6) AS likeness, coalesce(likeness > 0.6, false) AS accepted FROM g""")
+def stm_11(spark, d):
+    """Conversations of eight vectors of a label, user messages and guesses in turn: a guess is accepted if it is like any earlier user message."""
+    from pyspark.sql import Window
+    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    m = table(spark, d, "embeddings").withColumn("n", n).select("vec_id", "embedding", F.concat_ws("/", "label", F.floor(F.col("n") / 8)).alias("conv"), F.when(F.col("n") % 2 == 1, "guess").otherwise("user").alias("role"))
+    return gate(m, "conv", "vec_id", "role", "embedding").select("vec_id", F.round("likeness", 6).alias("likeness"), "accepted")

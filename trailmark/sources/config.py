@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: Fixed values.
 MODES = ("actor_only", "speculator_only", "dual")
 KINDS = ("convergence", "reaction")
@@ -38,8 +44,22 @@ class RunConfig:
         return self.run_duration_s // self.window_duration_s
 
 
+def flat_yaml(text: str) -> dict[str, Any]:
+    """The settings of a YAML file of `name: value` lines, its values being numbers, truth values, lists in brackets or strings."""
+    got = {}
+    for line in text.split("\n"):
+        name, colon, value = re.sub(r"(^|\s)#.*", "", line).partition(":")
+        if colon and name.strip():
+            value = value.strip()
+            try:
+                got[name.strip()] = json.loads(value)
+            except ValueError:
+                got[name.strip()] = value.strip("'\"")
+    return got
+
+
 def parse(text: str) -> RunConfig:
-    raw = json.loads(text)
+    raw = json.loads(text) if text.lstrip().startswith("{") else flat_yaml(text)
     known = {f.name for f in fields(RunConfig)} - {"further"}
     if "min_granularity_range_ns" in raw:
         raw["min_granularity_range_ns"] = tuple(raw["min_granularity_range_ns"])
@@ -47,3 +67,21 @@ def parse(text: str) -> RunConfig:
     if wrong := got.problems():
         raise ValueError("; ".join(wrong))
     return got
+
+
+def checked(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, iterations, problems) of each settings text: iterations is null if there are problems."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def one(t: str) -> tuple[int | None, str]:
+        try:
+            return parse(t).iterations, ""
+        except (ValueError, TypeError) as e:
+            return None, str(e)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [one(t) for t in b[text]]
+            yield pd.DataFrame({key: b[key], "iterations": pd.array([i for i, _ in got], "Int64"), "problems": [p for _, p in got]})
+
+    return texts.select(key, F.col(text)).mapInPandas(run, f"{key} {kind}, iterations long, problems string")

@@ -76,10 +76,14 @@ def document_table(spark: SparkSession, path: str, doc: str, key: str) -> DataFr
 
 def optional(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame | None:
     """None if there is no such file, by the file system that Spark uses for the path."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(conf).globStatus(p)
-    return spark.read.schema(schema).format(fmt).load(path) if there else None
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def proc_stat(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -119,4 +123,6 @@ def score_table(text: DataFrame, column: str) -> DataFrame:
 
 
 def latest_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("__r = 1").drop("__r")
+    """The row of each key that comes last; carried by one aggregation, so a hot key needs no sorting."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order))).alias("__x")).select(*[c if c in keys else F.col(f"__x.`{c}`") for c in df.columns])
