@@ -95,15 +95,6 @@ def test_long_chains_settle(spark):
     assert all(got[i] == 0 for i in range(1, 301)) and got[1001] == 1000
 
 
-def test_one_of_each_group_stays(spark):
-    texts = near_texts()
-    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(0, None, "z"), (3, "other text of the same id", "z")], DOC)
-    kept = simhash_dedup.stage(spark, docs, "")
-    comp = brute_components({brute_print(t) for t in texts + ["other text of the same id"]})
-    assert kept.columns == docs.columns and kept.count() == len(set(comp.values()))
-    assert simhash_dedup.stage(spark, docs.limit(0), "").count() == 0
-
-
 def brute_shingles(t, n=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()

@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bare, table
 
 TOKENIZER = "word_bpe_49k.json"
-STATES = 400_000
-ARCS = 800_000
-CACHE_BYTES = 64_000_000
+STATES = 150_000
+ARCS = 300_000
+CACHE_BYTES = 40_000_000
 LONG = 64
+#: Documents whose results are held at once.
+SLICE = 1000
 #: Bytes of a cache's entry besides its texts.
 ENTRY = 200
 OPEN = 1 << 60
@@ -275,7 +277,7 @@ def encoded(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokenizer(spec.value)
-        for b in batches:
+        for b in (whole.iloc[i : i + SLICE] for whole in batches for i in range(0, len(whole), SLICE)):
             n, ids, decoded, lists = [], [], [], []
             for t in b["t"]:
                 packed = tok.packed(t)

@@ -35,7 +35,8 @@ STRETCH = 64
 HIDDEN = 8
 STEPS = 700
 BATCH = 160
-#: Stretches that the network reads at once.
+#: Documents whose stretches are held at once, and stretches that the network reads at once.
+SLICE = 500
 BLOCK = 2048
 #: The pipeline's stage rejects a document whose score is under LEAST_SHARE of what guessing among the languages gives: next to
 #: no document with letters, since short texts in a known language get low scores too.
@@ -207,7 +208,8 @@ def identified(spark: SparkSession, docs: DataFrame, net: Network | None, id_col
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(pooled(sent.value, texts.tolist()), columns=["lang_pred", "score"])
+        got = [x for i in range(0, len(texts), SLICE) for x in pooled(sent.value, texts.iloc[i : i + SLICE].tolist())]
+        return pd.DataFrame(got, columns=["lang_pred", "score"])
 
     rows = with_row(docs, id_col, text).toDF("__row", "k", "t")
     got = rows.select("__row", F.coalesce(held_out(F.col("k")), F.lit(False)).alias("held"), predict.asNondeterministic()("t").alias("got"))  # so that no plan calls it twice

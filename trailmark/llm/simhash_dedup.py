@@ -48,9 +48,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [h(whole[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    a = np.array(hashes, dtype="<u8")
+    return fingerprint_of(np.array(hashes, dtype="<u8"))
+
+
+def fingerprint_of(a: np.ndarray) -> int:
+    """The signed 64-bit SimHash of hashes, zero of none."""
     counts = np.bincount((a.view(np.uint8).reshape(-1, 8) + _OFFSETS).ravel(), minlength=2048).reshape(8, 256).astype(np.float64) @ _BIT
-    return int(np.packbits(2 * counts.ravel() > len(hashes), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * counts.ravel() > len(a), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(spark: SparkSession, text: Column, shingle: int = SHINGLE) -> Column:
@@ -122,13 +126,5 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id; of equal rows any one, of one id's texts the one with the least key."""
-    got = grouped(spark, docs)
-    stay = got.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select("x.key").distinct()
-    keyed = docs.withColumn("__key", row_key(F.col("`doc_id`"), F.col("`text`")))
-    return keyed.join(stay, keyed["__key"] == stay["key"], "left_semi").dropDuplicates(["__key"]).drop("__key").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 QUERIES = {"op5_simhash_near_dedup": op5_simhash_near_dedup}
 SQL: dict[str, str] = {}
