@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _LOCAL: dict[str, str] = {}
+#: Tables made within each `temporary` that is under way.
+_OPEN: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,11 +44,27 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     got = spark.read.schema(df.schema).parquet(path)
     got.written_path = path
+    if _OPEN:
+        _OPEN[-1].append(got)
     return got
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that `written` made within, but for those that are passed to what this gives."""
+    keep: list[DataFrame] = []
+    _OPEN.append([])
+    try:
+        yield lambda df: keep.append(df) or df
+    finally:
+        made = _OPEN.pop()
+        dropped(spark, *[df for df in made if not any(df is k for k in keep)])
+        if _OPEN:
+            _OPEN[-1].extend(keep)
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables that `written` made, once nothing reads them any more."""
+    """Deletes tables that `written` made, once nothing reads them any more; one that is gone already is no fault."""
     for df in tables:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
