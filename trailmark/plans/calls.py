@@ -99,7 +99,8 @@ def prj_09(spark, d):
     return m.select("task", "seq", op.message_action("calls", "role").alias("a")).select("task", "seq", "a.*")
 
 
-@query("PRJ_11_PRJ_12_transcript", "SELECT conv_id, md5(string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn)) AS transcript FROM conversations WHERE role <> 'system' GROUP BY 1")
+@query("PRJ_11_PRJ_12_transcript", """SELECT conv_id, md5(string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn)) AS transcript FROM conversations WHERE role <>
+'system' GROUP BY 1""")
 def prj_11(spark, d):
     return op.transcript(table(spark, d, "conversations"), ["conv_id"], "turn", "role", "text").select("conv_id", F.md5("transcript").alias("transcript"))
 

@@ -114,7 +114,8 @@ def db_06(spark, d):
     return op.change_address(r, o, "order_id", "pending", "order")
 
 
-@query("DB_07_user_address", "SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END AS user_id, CASE WHEN c_custkey % 9 = 0 THEN 'Error: user not found' END AS error, CASE WHEN c_custkey % 9 <> 0 THEN 'new' END AS address FROM customer")
+@query("DB_07_user_address", """SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END AS user_id, CASE WHEN c_custkey % 9 = 0 THEN 'Error: user not found' END AS error, CASE WHEN
+c_custkey % 9 <> 0 THEN 'new' END AS address FROM customer""")
 def db_07(spark, d):
     u = users(spark, d)
     r = u.select((F.col("user_id") + F.when(F.col("user_id") % 9 == 0, 1_000_000).otherwise(0)).alias("user_id"), F.lit("new").alias("new_address"))
@@ -138,7 +139,8 @@ def db_10(spark, d):
     return op.looked_up(r, n, "n_nationkey", "product")
 
 
-@query("JON_07_lookup_joins", "SELECT o_orderkey, c_name, p_brand, s_name, l_linenumber, l_extendedprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45")
+@query("JON_07_lookup_joins", """SELECT o_orderkey, c_name, p_brand, s_name, l_linenumber, l_extendedprice FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN
+part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45""")
 def jon_07(spark, d):
     t = lambda n: table(spark, d, n)
     j = t("lineitem").where("l_quantity > 45").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
@@ -232,7 +234,8 @@ def asked(spark, d):
     return r, F.when(k % 10 == 9, k + 1_000_000_000).otherwise(k).alias("reservation_id")
 
 
-@query("DB_14_cancel_reservation", f"WITH {_O} SELECT rid AS reservation_id, CASE WHEN rid <> order_id THEN 'Error: reservation not found' END AS error, CASE WHEN rid = order_id THEN 'cancelled' END AS status, CASE WHEN rid = order_id THEN 0.0::DOUBLE END AS balance FROM q")
+@query("DB_14_cancel_reservation", f"""WITH {_O} SELECT rid AS reservation_id, CASE WHEN rid <> order_id THEN 'Error: reservation not found' END AS error, CASE WHEN rid = order_id THEN 'cancelled' END AS
+status, CASE WHEN rid = order_id THEN 0.0::DOUBLE END AS balance FROM q""")
 def db_14(spark, d):
     r, rid = asked(spark, d)
     total = F.aggregate("payments", F.lit(0.0), lambda a, p: a + p["amount"])
@@ -262,14 +265,16 @@ def db_19(spark, d):
     return op.change_legs(q, r, u, f).select("reservation_id", "error", "due")
 
 
-@query("DB_20_change_passengers", f"WITH {_O} SELECT rid AS reservation_id, CASE WHEN rid <> order_id THEN 'Error: reservation not found' WHEN len(items) <> 4 THEN 'Error: number of passengers does not match' END AS error, CASE WHEN rid = order_id THEN len(items) END AS n FROM q")
+@query("DB_20_change_passengers", f"""WITH {_O} SELECT rid AS reservation_id, CASE WHEN rid <> order_id THEN 'Error: reservation not found' WHEN len(items) <> 4 THEN
+'Error: number of passengers does not match' END AS error, CASE WHEN rid = order_id THEN len(items) END AS n FROM q""")
 def db_20(spark, d):
     r, rid = asked(spark, d)
     four = F.array(*[F.lit(x) for x in "abcd"])
     return op.change_passengers(r.select(rid, four.alias("passengers")), r).select("reservation_id", "error", F.when(F.col("passengers").isNotNull(), F.size("passengers").cast("long")).alias("n"))
 
 
-@query("DB_17_send_certificate", "SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END AS user_id, CASE WHEN c_custkey % 9 = 0 THEN 'Error: user not found' END AS error, CASE WHEN c_custkey % 9 <> 0 THEN 'certificate_1' END AS id FROM customer")
+@query("DB_17_send_certificate", """SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END AS user_id, CASE WHEN c_custkey % 9 = 0 THEN 'Error: user not found' END AS error, CASE WHEN
+c_custkey % 9 <> 0 THEN 'certificate_1' END AS id FROM customer""")
 def db_17(spark, d):
     u = users(spark, d)
     r = u.select((F.col("user_id") + F.when(F.col("user_id") % 9 == 0, 1_000_000).otherwise(0)).alias("user_id"), F.lit(100).alias("amount"))

@@ -23,13 +23,16 @@ def stm_01(spark, d):
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("STM_beyond_sliding_window", "SELECT strftime(s, '%Y-%m-%d %H') AS start, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts + INTERVAL 12 HOUR) - INTERVAL 12 HOUR]) AS s FROM events) GROUP BY 1")
+@query("STM_beyond_sliding_window", """SELECT strftime(s, '%Y-%m-%d %H') AS start, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts + INTERVAL 12 HOUR) - INTERVAL 12 HOUR]) AS s
+FROM events) GROUP BY 1""")
 def stm_slide(spark, d):
     got = loop.run_once(loop.sliding(stream(spark, d), "ts", "1 day", "12 hours", "1 hour", []), "complete")
     return got.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
 
 
-@query("STM_beyond_session_window", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, CAST(s - 1 AS BIGINT) AS nth, count(*) AS n FROM s GROUP BY 1, 2")
+@query("STM_beyond_session_window", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS
+(SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, CAST(s - 1 AS BIGINT) AS nth, count(*) AS n FROM s
+GROUP BY 1, 2""")
 def stm_session(spark, d):
     """Sessions of a user with gaps under six hours; the same frame also runs on a stream."""
     from pyspark.sql import Window

@@ -33,7 +33,8 @@ def prj_06(spark, d):
     return n.select("*", "dates.*").drop("dates")
 
 
-@query("SET_04_key_union", "SELECT coalesce(a.k, b.k) AS k, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem WHERE l_quantity < 2 GROUP BY 1) a FULL JOIN (SELECT l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem WHERE l_quantity > 48 GROUP BY 1) b ON a.k = b.k")
+@query("SET_04_key_union", """SELECT coalesce(a.k, b.k) AS k, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem WHERE l_quantity
+< 2 GROUP BY 1) a FULL JOIN (SELECT l_returnflag || l_linestatus AS k, count(*) AS n FROM lineitem WHERE l_quantity > 48 GROUP BY 1) b ON a.k = b.k""")
 def set_04(spark, d):
     one = lambda cond, n: table(spark, d, "lineitem").where(cond).groupBy(F.concat("l_returnflag", "l_linestatus").alias("k")).agg(F.count(F.lit(1)).alias(n))
     return one("l_quantity < 2", "a").join(one("l_quantity > 48", "b"), "k", "full").select("k", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("delta"))
@@ -80,7 +81,9 @@ def srt_07(spark, d):
     return table(spark, d, "conversations").where("conv_id >= 5 and conv_id < 25").where(F.col("conv_id").isin(5, 6, 7, 20)).select("conv_id", "turn")
 
 
-@query("SRT_10_top_similar", "WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 6) AS s FROM q, embeddings WHERE vec_id <> q) SELECT q, vec_id, s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS r FROM c) WHERE r <= 5")
+@query("SRT_10_top_similar", """WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT q, vec_id, round(list_cosine_similarity(e::DOUBLE[],
+embedding::DOUBLE[]), 6) AS s FROM q, embeddings WHERE vec_id <> q) SELECT q, vec_id, s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS r
+FROM c) WHERE r <= 5""")
 def srt_10(spark, d):
     """The five nearest of every vector whose id is divisible by 20, a top-k report."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -92,7 +95,8 @@ def srt_11(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("x")).select("conv_id", "x.role")
 
 
-@query("JON_18_fallback_merge", "WITH r AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), p AS (SELECT * FROM orders WHERE o_orderstatus = 'X') SELECT o_orderkey FROM p UNION ALL SELECT o_orderkey FROM r WHERE NOT EXISTS (SELECT 1 FROM p)")
+@query("JON_18_fallback_merge", """WITH r AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), p AS (SELECT * FROM orders WHERE o_orderstatus = 'X') SELECT o_orderkey FROM p UNION ALL SELECT o_orderkey
+FROM r WHERE NOT EXISTS (SELECT 1 FROM p)""")
 def jon_18(spark, d):
     """The fallback's rows count only if the first table has none at all."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")

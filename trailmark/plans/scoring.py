@@ -54,7 +54,8 @@ def agg_11(spark, d):
     return qa(spark, d).groupBy("sample").agg(F.round(F.coalesce(F.avg(F.when(F.lower("action").like("%view[%"), F.col("t"))), F.lit(0.0)), 6).alias("search_time"))
 
 
-@query("AGG_12_AGG_13_metric_lists", f"SELECT a.sample, a.action, a.accuracy AS top1, b.accuracy AS top3 FROM ({_metric_sql(1, False)} SELECT sample, action, round(accuracy, 6) AS accuracy FROM m) a JOIN ({_metric_sql(3, False)} SELECT sample, action, round(accuracy, 6) AS accuracy FROM m) b USING (sample, action)")
+@query("AGG_12_AGG_13_metric_lists", f"""SELECT a.sample, a.action, a.accuracy AS top1, b.accuracy AS top3 FROM ({_metric_sql(1, False)} SELECT sample, action, round(accuracy, 6) AS accuracy FROM m) a JOIN
+({_metric_sql(3, False)} SELECT sample, action, round(accuracy, 6) AS accuracy FROM m) b USING (sample, action)""")
 def agg_12(spark, d):
     one = lambda k, c: _metrics(spark, d, k).select("sample", "action", F.round("accuracy", 6).alias(c))
     return one(1, "top1").join(one(3, "top3"), ["sample", "action"])
@@ -175,13 +176,15 @@ def flt_11(spark, d):
     return table(spark, d, "orders").where((F.col("o_orderstatus") == "F").cast("int").between(1 - 1e-6, 1 + 1e-6)).select("o_orderkey")
 
 
-@query("JON_01_positional", f"WITH {QA}, x AS (SELECT sample, pos, action FROM qa WHERE sample % 2 = 0), y AS (SELECT sample - 1 AS sample, pos, action AS other FROM qa WHERE sample % 2 = 1) SELECT sample, pos, action, other FROM x JOIN y USING (sample, pos)")
+@query("JON_01_positional", f"""WITH {QA}, x AS (SELECT sample, pos, action FROM qa WHERE sample % 2 = 0), y AS (SELECT sample - 1 AS sample, pos, action AS other FROM qa WHERE sample % 2 = 1) SELECT
+sample, pos, action, other FROM x JOIN y USING (sample, pos)""")
 def jon_01(spark, d):
     q = qa(spark, d)
     return q.where("sample % 2 = 0").select("sample", "pos", "action").join(q.where("sample % 2 = 1").select((F.col("sample") - 1).alias("sample"), "pos", F.col("action").alias("other")), ["sample", "pos"])
 
 
-@query("JON_02_positional_equal_length", f"WITH {QA}, x AS (SELECT sample, count(*) AS n FROM qa GROUP BY 1) SELECT a.sample, a.n = b.n AS equal_length FROM x a JOIN x b ON b.sample = a.sample + 1 WHERE a.sample % 2 = 0")
+@query("JON_02_positional_equal_length", f"""WITH {QA}, x AS (SELECT sample, count(*) AS n FROM qa GROUP BY 1) SELECT a.sample, a.n = b.n AS equal_length FROM x a JOIN x b ON b.sample = a.sample + 1 WHERE a.sample %
+2 = 0""")
 def jon_02(spark, d):
     """Full outer join on position: pairs of unequal length are told, not cut."""
     q = qa(spark, d)

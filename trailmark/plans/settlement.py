@@ -24,7 +24,8 @@ def gme_01(spark, d):
     return op.fan_out(m, players, "conv_id", "to").select("conv_id", "turn", "player")
 
 
-@query("GME_02_drained", f"WITH {_M} SELECT conv_id, turn, CAST(coalesce(sum(CASE WHEN kind = 'BOARD' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS read_no FROM m")
+@query("GME_02_drained", f"""WITH {_M} SELECT conv_id, turn, CAST(coalesce(sum(CASE WHEN kind = 'BOARD' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING
+AND 1 PRECEDING), 0) AS BIGINT) AS read_no FROM m""")
 def gme_02(spark, d):
     return op.drained(messages(spark, d), "conv_id", "turn", F.col("kind") == "BOARD").select("conv_id", "turn", "read_no")
 
@@ -49,7 +50,8 @@ def gme_06(spark, d):
     return messages(spark, d).where(~F.col("kind").isin("PLAYER_ACTION", "GAME_ADMIN")).select("conv_id", "turn", "kind")
 
 
-@query("GME_07_last_prompt_and_board", f"WITH {_M} SELECT conv_id, arg_max(text, turn) FILTER (WHERE kind = 'PROMPT') AS prompt, arg_max(text, turn) FILTER (WHERE kind = 'BOARD') AS board FROM m GROUP BY 1 HAVING prompt IS NOT NULL AND board IS NOT NULL")
+@query("GME_07_last_prompt_and_board", f"""WITH {_M} SELECT conv_id, arg_max(text, turn) FILTER (WHERE kind = 'PROMPT') AS prompt, arg_max(text, turn) FILTER (WHERE kind = 'BOARD') AS board FROM m GROUP BY 1
+HAVING prompt IS NOT NULL AND board IS NOT NULL""")
 def gme_07(spark, d):
     return op.prompt_and_board(messages(spark, d), "conv_id", "turn", "kind", "text", last_prompt=True).where("prompt is not null and board is not null")
 
@@ -77,30 +79,35 @@ def gme_12(spark, d):
     return op.auction(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", "l_quantity")
 
 
-@query("GME_12_auction_net_worth", f"WITH {_AUC}, v AS (SELECT winner, sum(top) AS spent, round(sum(p_retailprice), 4) AS value FROM w JOIN part ON p_partkey = l_partkey WHERE n = 1 GROUP BY 1) SELECT winner, spent, value, round(value - spent, 4) AS profit, round(1000 - spent + value, 4) AS net_worth FROM v")
+@query("GME_12_auction_net_worth", f"""WITH {_AUC}, v AS (SELECT winner, sum(top) AS spent, round(sum(p_retailprice), 4) AS value FROM w JOIN part ON p_partkey = l_partkey WHERE n = 1 GROUP BY 1) SELECT
+winner, spent, value, round(value - spent, 4) AS profit, round(1000 - spent + value, 4) AS net_worth FROM v""")
 def gme_12b(spark, d):
     sold = op.auction(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", "l_quantity")
     v = sold.join(table(spark, d, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).groupBy("winner").agg(F.sum("price").alias("spent"), F.round(F.sum("p_retailprice"), 4).alias("value"))
     return v.select("winner", "spent", "value", F.round(F.col("value") - F.col("spent"), 4).alias("profit"), F.round(1000 - F.col("spent") + F.col("value"), 4).alias("net_worth"))
 
 
-@query("GME_12_argmax_or_draw", "WITH s AS (SELECT l_orderkey, l_suppkey, l_quantity, max(l_quantity) OVER (PARTITION BY l_orderkey) AS top FROM lineitem) SELECT l_orderkey, top, CASE WHEN count(*) = 1 THEN min(l_suppkey) END AS winner FROM s WHERE l_quantity = top GROUP BY 1, 2")
+@query("GME_12_argmax_or_draw", """WITH s AS (SELECT l_orderkey, l_suppkey, l_quantity, max(l_quantity) OVER (PARTITION BY l_orderkey) AS top FROM lineitem) SELECT l_orderkey, top, CASE WHEN count(*) = 1
+THEN min(l_suppkey) END AS winner FROM s WHERE l_quantity = top GROUP BY 1, 2""")
 def gme_12c(spark, d):
     return op.argmax_or_draw(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey", "l_quantity")
 
 
-@query("GME_13_public_goods", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(20 - l_quantity / 50 + 1.5 * sum(l_quantity / 50) OVER (PARTITION BY l_orderkey) / count(*) OVER (PARTITION BY l_orderkey), 6) AS payoff FROM lineitem")
+@query("GME_13_public_goods", """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, round(20 - l_quantity / 50 + 1.5 * sum(l_quantity / 50) OVER (PARTITION BY l_orderkey) / count(*) OVER (PARTITION
+BY l_orderkey), 6) AS payoff FROM lineitem""")
 def gme_13(spark, d):
     m = table(spark, d, "lineitem").withColumn("given", F.col("l_quantity") / 50)
     return op.public_goods(m, ["l_orderkey"], "given", 20.0, 1.5).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.round("payoff", 6).alias("payoff"))
 
 
-@query("GME_14_market_entry", "WITH e AS (SELECT *, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS BIGINT) AS entrants FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, entrants, CASE WHEN l_returnflag <> 'R' THEN 5.0 WHEN entrants <= 2 THEN 10.0 ELSE -4.0 END::DOUBLE AS payoff FROM e")
+@query("GME_14_market_entry", """WITH e AS (SELECT *, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS BIGINT) AS entrants FROM lineitem) SELECT l_orderkey,
+l_linenumber, l_partkey, l_suppkey, entrants, CASE WHEN l_returnflag <> 'R' THEN 5.0 WHEN entrants <= 2 THEN 10.0 ELSE -4.0 END::DOUBLE AS payoff FROM e""")
 def gme_14(spark, d):
     return op.market_entry(table(spark, d, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "R", 2, 10.0, -4.0, 5.0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "entrants", "payoff")
 
 
-@query("GME_15_plurality", "WITH c AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_returnflag AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, md5('7/' || l_returnflag)) AS r FROM c) WHERE r = 1")
+@query("GME_15_plurality", """WITH c AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_returnflag AS chosen FROM (SELECT *, row_number() OVER
+(PARTITION BY l_orderkey ORDER BY n DESC, md5('7/' || l_returnflag)) AS r FROM c) WHERE r = 1""")
 def gme_15(spark, d):
     return op.plurality(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag", 7)
 
@@ -123,12 +130,14 @@ def gme_18(spark, d):
     return op.field_majority(table(spark, d, "lineitem"), ["l_orderkey"], "l_discount", "l_tax")
 
 
-@query("GME_19_two_thirds", "WITH t AS (SELECT l_orderkey, l_suppkey, l_quantity, avg(l_quantity) OVER (PARTITION BY l_orderkey) * 2 / 3 AS target FROM lineitem) SELECT l_orderkey, round(max(target), 6) AS target, arg_min(l_suppkey, (round(abs(l_quantity - target), 9), l_suppkey)) AS winner FROM t GROUP BY 1")
+@query("GME_19_two_thirds", """WITH t AS (SELECT l_orderkey, l_suppkey, l_quantity, avg(l_quantity) OVER (PARTITION BY l_orderkey) * 2 / 3 AS target FROM lineitem) SELECT l_orderkey, round(max(target),
+6) AS target, arg_min(l_suppkey, (round(abs(l_quantity - target), 9), l_suppkey)) AS winner FROM t GROUP BY 1""")
 def gme_19(spark, d):
     return op.two_thirds(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey", "l_quantity")
 
 
-@query("GME_20_bandit", "WITH a AS (SELECT l_suppkey, avg(l_discount) AS mean, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, round(mean, 6) AS mean, n, round((SELECT max(mean) FROM a) - mean, 6) AS regret FROM a")
+@query("GME_20_bandit", """WITH a AS (SELECT l_suppkey, avg(l_discount) AS mean, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, round(mean, 6) AS mean, n, round((SELECT max(mean) FROM a)
+- mean, 6) AS regret FROM a""")
 def gme_20(spark, d):
     a = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("mean"), F.count(F.lit(1)).alias("n"))
     top = a.agg(F.max("mean").alias("top"))  # one row
@@ -152,7 +161,8 @@ def gme_22(spark, d):
     return op.poker(hands(spark, d), ["hand"], "rank", "suit").select("hand", "category", F.array_join(F.col("kickers").cast("array<string>"), ",").alias("kickers"))
 
 
-@query("GME_23_golf", "WITH c AS (SELECT l_orderkey, l_linenumber % 3 AS col, CASE WHEN min(l_quantity) = max(l_quantity) AND count(*) > 1 THEN 0 ELSE sum(l_quantity) END AS s FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, sum(s) AS score FROM c GROUP BY 1")
+@query("GME_23_golf", """WITH c AS (SELECT l_orderkey, l_linenumber % 3 AS col, CASE WHEN min(l_quantity) = max(l_quantity) AND count(*) > 1 THEN 0 ELSE sum(l_quantity) END AS s FROM lineitem
+GROUP BY 1, 2) SELECT l_orderkey, sum(s) AS score FROM c GROUP BY 1""")
 def gme_23(spark, d):
     return op.golf(table(spark, d, "lineitem").withColumn("col", F.col("l_linenumber") % 3), ["l_orderkey"], "col", "l_quantity")
 
@@ -197,7 +207,8 @@ def win_12(spark, d):
     return op.carry_over(table(spark, d, "events"), "user_id", "event_id", "value", F.col("event_type") == "purchase").withColumn("pot", F.round("pot", 4))
 
 
-@query("SRT_12_best_option", "WITH r AS (SELECT l_orderkey, l_returnflag, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_quantity DESC, l_partkey) AS r FROM lineitem) SELECT l_orderkey, l_returnflag, l_partkey, l_quantity FROM r WHERE r = 1")
+@query("SRT_12_best_option", """WITH r AS (SELECT l_orderkey, l_returnflag, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_quantity DESC, l_partkey) AS r FROM
+lineitem) SELECT l_orderkey, l_returnflag, l_partkey, l_quantity FROM r WHERE r = 1""")
 def srt_12(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.min(F.struct((-F.col("l_quantity")).alias("q"), F.col("l_partkey").alias("p"))).alias("x"))
     return g.select("l_orderkey", "l_returnflag", F.col("x.p").alias("l_partkey"), (-F.col("x.q")).alias("l_quantity"))

@@ -19,7 +19,8 @@ def runs(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.row_number().over(w) - 1).cast("long").alias("it"), ts.alias("ts"), "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id")
 
 
-@query("JON_12_as_of", f"WITH {_W}, a AS (SELECT run_id, ts, k FROM e WHERE event_type = 'purchase') SELECT e.run_id, e.it, coalesce(a.k, -1) AS as_of_k FROM e ASOF LEFT JOIN a ON e.run_id = a.run_id AND e.ts >= a.ts WHERE e.event_type <> 'purchase'")
+@query("JON_12_as_of", f"""WITH {_W}, a AS (SELECT run_id, ts, k FROM e WHERE event_type = 'purchase') SELECT e.run_id, e.it, coalesce(a.k, -1) AS as_of_k FROM e ASOF LEFT JOIN a ON e.run_id =
+a.run_id AND e.ts >= a.ts WHERE e.event_type <> 'purchase'""")
 def jon_12(spark, d):
     e = runs(spark, d)
     got = op.as_of(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'").select("run_id", "ts", "k"), ["run_id"], "ts", "ts", "k", F.lit(-1).cast("long"))
@@ -54,7 +55,8 @@ def win_07(spark, d):
     return op.running_best(runs(spark, d).select("run_id", "it", "value"), ["run_id"], "it", "value").select("run_id", "it", "best_score", "best_at")
 
 
-@query("WIN_08_STM_06_baseline_split", f"WITH {_W}, m AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN it END) OVER (PARTITION BY run_id) AS b FROM e) SELECT run_id, it, coalesce(it < b, false) AS compressed FROM m")
+@query("WIN_08_STM_06_baseline_split", f"""WITH {_W}, m AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN it END) OVER (PARTITION BY run_id) AS b FROM e) SELECT run_id, it, coalesce(it < b, false) AS
+compressed FROM m""")
 def win_08(spark, d):
     return op.since_baseline(runs(spark, d).withColumn("ap", F.col("event_type") == "purchase"), ["run_id"], "it", "ap").select("run_id", "it", "compressed")
 
@@ -161,13 +163,15 @@ def stm_09(spark, d):
     return op.as_of(g, s.where("event_type = 'purchase'").select("run_id", "off", "k"), ["run_id"], "elapsed", "off", "k").select("run_id", "elapsed", F.col("as_of_k").alias("in_force"))
 
 
-@query("PRJ_14_PRJ_15_relative_time", f"WITH {_W}, s AS (SELECT *, min(ts) OVER (PARTITION BY run_id) AS f, CASE WHEN run_id % 2 = 0 THEN 0 ELSE 1704067200 END AS st FROM e) SELECT run_id, it, round(greatest(0, ts - CASE WHEN st = 0 THEN f ELSE st END), 3) AS rel, k * 1000 / 1e6 AS ms FROM s")
+@query("PRJ_14_PRJ_15_relative_time", f"""WITH {_W}, s AS (SELECT *, min(ts) OVER (PARTITION BY run_id) AS f, CASE WHEN run_id % 2 = 0 THEN 0 ELSE 1704067200 END AS st FROM e) SELECT run_id, it, round(greatest(0,
+ts - CASE WHEN st = 0 THEN f ELSE st END), 3) AS rel, k * 1000 / 1e6 AS ms FROM s""")
 def prj_15(spark, d):
     s = runs(spark, d).withColumn("f", F.min("ts").over(Window.partitionBy("run_id"))).withColumn("st", F.when(F.col("run_id") % 2 == 0, 0.0).otherwise(1704067200.0))
     return s.select("run_id", "it", F.round(op.relative_time("ts", "st", "f"), 3).alias("rel"), (F.col("k") * 1000 / 1e6).alias("ms"))
 
 
-@query("STM_16_SRT_02_probe_ranking", f"WITH {_W}, p AS (SELECT run_id, round(avg(value), 6) AS p95 FROM e GROUP BY 1) SELECT run_id, p95, row_number() OVER (ORDER BY p95 DESC, run_id) AS nth FROM p ORDER BY p95 DESC, run_id LIMIT 12")
+@query("STM_16_SRT_02_probe_ranking", f"""WITH {_W}, p AS (SELECT run_id, round(avg(value), 6) AS p95 FROM e GROUP BY 1) SELECT run_id, p95, row_number() OVER (ORDER BY p95 DESC, run_id) AS nth FROM p ORDER BY
+p95 DESC, run_id LIMIT 12""")
 def stm_16(spark, d):
     """The twelve slowest probes: a top-k report."""
     p = runs(spark, d).groupBy("run_id").agg(F.round(F.avg("value"), 6).alias("p95")).orderBy(F.desc("p95"), "run_id").limit(12)
