@@ -27,19 +27,18 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bare, table
+from .common import bare, bounded_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
-STATES = 150_000
-ARCS = 300_000
-CACHE_BYTES = 40_000_000
+STATES = 80_000
+ARCS = 160_000
+CACHE_BYTES = 24_000_000
 LONG = 64
 #: Documents whose results are held at once.
 SLICE = 1000
@@ -254,11 +253,6 @@ class Tokenizer:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def tokenizer(spec: str) -> Tokenizer:
-    return Tokenizer(spec)
-
-
 def path_of(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -268,15 +262,16 @@ def path_of(name: str = TOKENIZER) -> str:
 def encoded(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), and with with_ids the ids themselves, of each row.
 
-    The tokenizer file is read by the driver only and sent to the workers, which compile it once each.
+    The tokenizer file is read by the driver only and sent to the workers, which compile it once a task.
     """
+    bounded_batches(spark)
     with open(path or path_of(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     rows = bare(docs, id_col, text).toDF("id", "t")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = tokenizer(spec.value)
+        tok = Tokenizer(spec.value)  # a second or two, of a task of minutes; kept between tasks, it would stay in each worker for good
         for b in (whole.iloc[i : i + SLICE] for whole in batches for i in range(0, len(whole), SLICE)):
             n, ids, decoded, lists = [], [], [], []
             for t in b["t"]:

@@ -1,8 +1,4 @@
-"""Shared helpers of the corpus operators.
-
-Texts go to Python in Arrow batches, which Spark bounds by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set);
-no session setting is changed here.
-"""
+"""Shared helpers of the corpus operators."""
 
 from __future__ import annotations
 
@@ -15,6 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Arrow batches handed to Python, unless the session has settings of its own: two workers of an executor and the buffers on the
+#: JVM's side hold one or two batches each.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for texts whose length has no bound. Plans read these settings when they run, so they stay; what the
+    session sets itself is left alone."""
+    plain = spark.sparkContext._jvm.org.apache.spark.sql.internal.SQLConf()
+    for k, v in ARROW.items():
+        if spark.conf.get(k) == plain.getConfString(k):
+            spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, dropped, hash_cut, table, unpacked, with_row, written
+from .common import bare, bounded_batches, dropped, hash_cut, table, unpacked, with_row, written
 
 SAMPLE = 3000
 PIECE = 192
@@ -204,6 +204,7 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
 
 def identified(spark: SparkSession, docs: DataFrame, net: Network | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the columns held_out, lang_pred and score."""
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf("lang_pred string, score double")

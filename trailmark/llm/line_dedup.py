@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, row_key, table, unpacked, with_row, written
+from .common import bare, bounded_batches, row_key, table, unpacked, with_row, written
 
 MIN_SITES = 12
 #: Lines of LONG_CHARS characters or more are boilerplate from LONG_SITES sites on.
@@ -57,6 +57,7 @@ GOT = "text string, n_lines long, n_boilerplate long, n_removed long"
 
 
 def _cleaned_where_read(spark: SparkSession, rows: DataFrame, hashes: np.ndarray) -> DataFrame:
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(hashes)
 
     @F.pandas_udf(GOT)

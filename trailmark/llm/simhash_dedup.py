@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, dropped, row_key, table, written
+from .common import bare, bounded_batches, dropped, row_key, table, written
 
 SHINGLE = 3
 BITS = 3
@@ -58,6 +58,8 @@ def fingerprint_of(a: np.ndarray) -> int:
 
 
 def fingerprints(spark: SparkSession, text: Column, shingle: int = SHINGLE) -> Column:
+    bounded_batches(spark)
+
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
