@@ -98,7 +98,8 @@ def assign(spark: SparkSession, df: DataFrame, key: str, text: str, shards: int
     counts = {r["cell"]: r["count"] for r in bare(df, key).toDF("k").groupBy(cell_of).count().collect()}  # at most `cells` rows
     pieces = pd.DataFrame(walk(counts, shards, vnodes, cells, load), columns=["cell", "lo", "hi", "shard", "at"])
     plan = F.broadcast(spark.createDataFrame(pieces, "cell int, lo long, hi long, shard int, at long"))  # at most cells + shards * vnodes + shards rows
-    hot = [c for c, n in counts.items() if n > HOT_SHARE * sum(counts.values())]
+    most = HOT_SHARE * sum(counts.values())
+    hot = [c for c, n in counts.items() if n > most]
     part = F.when(F.col("cell").isin(hot), F.pmod(F.xxhash64("size", "crc"), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
     text_of = F.coalesce(F.col("t"), F.lit(""))
     rows = bare(df, key, text).toDF("k", "t").select("k", (F.octet_length(text_of) + F.lit(16)).cast("long").alias("size"), F.crc32(F.encode(text_of, "UTF-8")).alias("crc"))
