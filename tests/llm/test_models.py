@@ -123,7 +123,7 @@ def test_stage_links_all_texts_of_similarity_eight_tenths(spark):
 
 def test_blocks_of_large_families_lose_no_link(spark, monkeypatch):
     """A family whose members lie around 0.8 of each other, in one block and in several."""
-    from trailmark.llm import shingle_links
+    from trailmark.llm import minhash_dedup, shingle_links
     rng, base = random.Random(6), [f"w{i}" for i in range(150)]
     texts = []
     for _ in range(120):
@@ -144,8 +144,8 @@ def test_blocks_of_large_families_lose_no_link(spark, monkeypatch):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and find(i) != find(j):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], DOC).withColumns({c: F.lit("mine") for c in ("k", "node", "x", "__row", "sig")})
-    for size in (shingle_links.BLOCK_BYTES, 60_000):
-        monkeypatch.setattr(shingle_links, "BLOCK_BYTES", size)
+    for size in (minhash_dedup.BLOCK_BYTES, 60_000):
+        monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", size)
         got = shingle_links.stage(spark, docs, "")
         assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted({find(i) for i in range(len(texts))})
     assert shingle_links.stage(spark, docs.limit(0), "").count() == 0

@@ -2,15 +2,8 @@
 
 Candidates come from two indexes of the same kind: joint lists of signature positions, a tally of the positions that a pair
 shares, a least number of them, then verification. The first is simhash_dedup's, over 64-bit SimHashes of the 5-word shingles
-within 3 bits. Those don't reach down to a similarity of 0.8, so in the second a position holds two bytes of the least of the
-shingles' values under one of BANDS * ROWS functions, and a list is for ROWS positions at once. A pair of similarity 0.8
-shares a list but for (1 - 0.8 ** 5) ** 32, or 3 in a million, and LEAST of the 160 positions but for 1 in ten million.
-What passes either is compared exactly, on the sets of shingle hashes.
-
-Texts of equal words (letter case and spaces aside) are one node. The nodes of a list are first compared with its least node,
-which joins most of a family by as many comparisons as it has nodes. Lists of three or more nodes that are still apart are
-dealt in blocks of about BLOCK_BYTES; a task gets two blocks, tallies the positions of their pairs, each pair in its first
-common list only, verifies those that are apart and returns the links of a spanning forest, never all pairs.
+within 3 bits. Those don't reach down to a similarity of 0.8, so the second is minhash_dedup's, over the least values of the
+shingles. What passes either is compared exactly, on the sets of shingle hashes.
 
 Defined cases: a text of under five words is one shingle; null and wordless texts are one node; of equal rows any one stays,
 of one id's texts the one with the least key; a null id stays only if no other id is in the group; texts of any length are
@@ -19,50 +12,17 @@ read whole; no rows give no rows; further columns, of whatever names, are passed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, bounded_batches, dropped, row_key, unpacked, with_row, written
-from .simhash_dedup import LOWER, components, fingerprint_of, links
+from .common import bare, bounded_batches, row_key, unpacked, with_row, written
+from .minhash_dedup import keys, roots_of, shingles, signature, words
+from .simhash_dedup import fingerprint_of, links
 
 SHINGLE = 5
-BANDS, ROWS = 32, 5
-LEAST = 100
-BLOCK_BYTES = 2_000_000
-_RNG = np.random.default_rng(5)
-_TIMES = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
-
-
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-
-
-def shingles(w: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of the word shingles."""
-    if not w:
-        return np.empty(0, np.uint64)
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(w[i : i + shingle]), 42) for i in range(max(1, len(w) - shingle + 1))], np.uint64))
-
-
-def signature(s: np.ndarray) -> np.ndarray:
-    """The BANDS * ROWS positions of a set of hashes."""
-    least = np.full(BANDS * ROWS, ~np.uint32(0))
-    x = (s ^ s >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 256):
-        least = np.minimum(least, (x[i : i + 256, None] * _TIMES + _PLUS).min(0))
-    return least.astype("<u2")
-
-
-def keys(sig: np.ndarray) -> np.ndarray:
-    """The lists of a signature."""
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(sig.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def nodes_of(spark: SparkSession, docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -74,7 +34,7 @@ def nodes_of(spark: SparkSession, docs: DataFrame, id_col: str, text: str) -> Da
         got = []
         for t in texts:
             w = words(t)
-            s = shingles(w)
+            s = shingles(w, SHINGLE)
             sig = signature(s)
             node = np.uint64(xxhash.xxh64_intdigest(b" ".join(w), 42)).view(np.int64) if w else np.int64(0)
             got.append((node, keys(sig) if w else np.empty(0, np.int64), sig.tobytes(), len(s), fingerprint_of(s)))
@@ -86,74 +46,6 @@ def nodes_of(spark: SparkSession, docs: DataFrame, id_col: str, text: str) -> Da
     return written(spark, rows.select("x", "n.*").groupBy("node").agg(F.min("x").alias("x"), *same), "nodes")
 
 
-def sets_of(spark: SparkSession, docs: DataFrame, need: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(node, s): the shingle sets of the nodes in need (node, key)."""
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"node": b["node"], "s": [shingles(words(t)).view(np.int64) for t in b["t"]]})
-
-    rows = bare(docs, id_col, text).toDF("id", "t")
-    rows = rows.select(row_key(F.col("id"), F.col("t")).alias("key"), "t").join(need, "key").select("node", "t").dropDuplicates(["node"])
-    return written(spark, rows.mapInPandas(of, "node long, s array<long>"), "shingles")
-
-
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have 0.8 of their union in common."""
-    one = lambda n: sets.select(F.col("node").alias(n), F.col("s").alias(f"s{n}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return both.where("5 * n >= 4 * (na + nb - n)").select("a", "b")
-
-
-def links_of_blocks(rows: pd.DataFrame) -> list[tuple[int, int]]:
-    """Links that join what is alike among the rows (node, root, part, s, sig) of two blocks lo and hi of the list of band k."""
-    n = len(rows)
-    _, root = np.unique(rows["root"].to_numpy(), return_inverse=True)
-    if root.max(initial=0) == 0:
-        return []
-    up = list(range(int(root.max()) + 1))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    sig, part, node, sets = np.frombuffer(b"".join(rows["sig"]), "<u2").reshape(n, BANDS * ROWS), rows["part"].to_numpy(), rows["node"].tolist(), rows["s"].tolist()
-    k, lo, hi = (int(rows[c].iloc[0]) for c in ("k", "lo", "hi"))
-    left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-    got = []
-    for i in range(0, len(left), 64):
-        at = left[i : i + 64]
-        same = sig[at][:, None] == sig[right][None]
-        shared = same.sum(-1)
-        ok = (shared >= LEAST) & (same.reshape(len(at), len(right), BANDS, ROWS).all(-1).argmax(-1) == k) & (root[at][:, None] != root[right][None])
-        if lo == hi:
-            ok &= at[:, None] < right[None]
-        a, b = np.nonzero(ok)
-        for j in np.argsort(-shared[a, b], kind="stable").tolist():
-            p, q = int(at[a[j]]), int(right[b[j]])
-            rp, rq = find(int(root[p])), find(int(root[q]))
-            if rp != rq:
-                m = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                if 5 * m >= 4 * (len(sets[p]) + len(sets[q]) - m):
-                    up[max(rp, rq)] = min(rp, rq)
-                    got.append((min(node[p], node[q]), max(node[p], node[q])))
-    return got
-
-
-def links_within(left: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): links that join all alike nodes of the lists left (h, k, node, root)."""
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(links_of_blocks(rows), columns=["a", "b"], dtype="int64")
-
-    sized = left.join(nodes.select("node", "sig", "n"), "node")
-    blocks = sized.groupBy("h").agg(F.ceil(F.sum(F.col("n") * 8 + 500) / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = sized.drop("n").join(blocks, "h").join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", "k", "node", "root", "part", "s", "sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    return dealt.groupBy("h", "lo", "hi").applyInPandas(of, "a long, b long")
-
-
 def near(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """(a, b): nodes of equal SimHash with the least of them, and the least ones of SimHashes within 3 bits."""
     some = nodes.where("n > 0").select("fp", "node")
@@ -167,21 +59,8 @@ def near(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 def families(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(root, x): of each group of linked documents the least (none, id, key)."""
     nodes = nodes_of(spark, docs, id_col, text)
-    bands = nodes.select("node", F.posexplode("bands").alias("k", "h"))
-    shared = bands.groupBy("h").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = written(spark, bands.join(shared, "h"), "bands")
-    first = met.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    pairs = written(spark, near(spark, nodes).unionByName(first).distinct(), "pairs")
-    ends = met.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(spark, docs, nodes.select("node", F.col("x.key").alias("key")).join(ends, "node", "left_semi"), id_col, text)
-    edges = written(spark, alike(pairs, sets), "alike")
-    roots = components(spark, edges)
-    placed = met.where("c > 2").join(roots, "node", "left").select("h", "k", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    more = written(spark, links_within(placed.join(apart, "h", "left_semi"), sets, nodes), "alike")
-    if not more.isEmpty():
-        roots = components(spark, edges.unionByName(more))
-    dropped(spark, met, pairs, sets, edges, more)
+    keyed = nodes.select("node", F.col("x.key").alias("key"), "bands", "sig", "n")
+    roots = roots_of(spark, docs, keyed, id_col, text, SHINGLE, near(spark, nodes))
     return nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("x").alias("x"))
 
 
