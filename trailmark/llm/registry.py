@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup", "sharding", "language_id", "url_filter", "simhash_dedup", "weak_quality", "bpe_automaton", "quality_rules", "decontamination", "html_extract"]
+MODULES = ["line_dedup", "sharding", "language_id", "url_filter", "simhash_dedup", "weak_quality", "bpe_automaton", "quality_rules", "decontamination", "html_extract", "phrase_mining", "minhash_dedup", "conversation_repair"]
 
 
 def _all(name: str) -> dict:
