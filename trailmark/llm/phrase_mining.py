@@ -2,7 +2,8 @@
 
 Pass k reads the texts and counts the phrases of k words exactly, but only where they can be frequent: both phrases of k - 1
 words within are frequent (Apriori) and the phrase's bucket is (PCY). While it does so it counts the buckets of the phrases of
-k + 1 words, of those only whose two parts of k words passed (DHP). Between passes the bucket counts of all tasks are added up
+k + 1 words, of those only whose two parts of k words passed, and from the second pass on it writes what the next one has to
+read: the runs of k + 1 words or more that phrases which passed make up (DHP's trimming). Between passes the bucket counts of all tasks are added up
 by segment, and what is left for the next pass are two bitmaps of `buckets` bits, broadcast: the buckets that reach the least
 count, and the bits of the frequent phrases. `buckets` grows with the number of documents up to MOST_BUCKETS, so a bitmap is 2 MB
 at most. A bit set by chance costs a count that is thrown away later; no frequent phrase is ever lost, so counts are exact.
@@ -101,6 +102,14 @@ class Buckets:
         return [(int(s), some[s].astype("<u2").tobytes()) for s in np.flatnonzero(some.any(1))]
 
 
+def runs(toks: list[bytes], passed: np.ndarray, k: int) -> bytes:
+    """The stretches of words that phrases of k words from the passed positions on make up, of more than k words, as pieces."""
+    edge = np.diff(np.concatenate(([0], passed.view(np.int8), [0])))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = ends - starts > 1
+    return b"\n".join([b" ".join(toks[a : b + k - 1]) for a, b in zip(starts[long].tolist(), ends[long].tolist())])
+
+
 def batch_of(rows: list[tuple], counts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     phrase = pa.array([r[1] for r in rows] + [None] * len(counts), pa.binary()).cast(pa.string())
     cols = [pa.array([r[0] for r in rows] + [None] * len(counts), pa.string()), phrase, pa.array([r[2] for r in rows] + [None] * len(counts), pa.int64()),
@@ -108,12 +117,17 @@ def batch_of(rows: list[tuple], counts: list[tuple[int, bytes]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "c", "segment", "counts"])
 
 
+def trimmed(lang: str, text: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([text], pa.binary())], names=["lang", "phrase", "c", "segment", "counts"])
+
+
 def unpacked_bits(packed: bytes | None) -> np.ndarray | None:
     return None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
 
 
 def counted(spark: SparkSession, docs: DataFrame, k: int, most: int, least: int, bits: int, words: bytes | None, known: bytes | None, full: bytes | None) -> DataFrame:
-    """Pass k over docs (lang, t): rows (lang, phrase, c) of a task, and rows (segment, counts) of its buckets of phrases of k + 1 words.
+    """Pass k over docs (lang, t): rows (lang, phrase, c) of a task, rows (segment, counts) of its buckets of phrases of k + 1 words,
+    and, for k > 1, rows (lang, counts) with what pass k + 1 reads.
 
     words, known, full: bits of the frequent words, of the frequent phrases of k - 1 words, and of the full buckets of phrases of k.
     """
@@ -155,6 +169,8 @@ def counted(spark: SparkSession, docs: DataFrame, k: int, most: int, least: int,
                         into[b" ".join(toks[i : i + k])] += n
                 if nexts is not None and len(passed) > 1:
                     nexts.add(rolled(w, k + 1)[passed[:-1] & passed[1:]])
+                    if k > 1 and (left := runs(toks, passed, k)):
+                        yield trimmed(lang, left)
             if sum(map(len, held.values())) > _HELD:
                 yield batch_of([(g, p, n) for g, x in held.items() for p, n in x.items()], [])
                 held = {}
@@ -204,7 +220,7 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, lang: str = "lang", t
     d = bare(docs, lang, text).toDF("lang", "t").where("t is not null").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "t")
     size = buckets or min(MOST_BUCKETS, max(LEAST_BUCKETS, BUCKETS * d.count()))
     bits = max(12, (size - 1).bit_length())
-    words = known = full = total = None
+    words = known = full = total = before = None
     found = []
     for k in range(1, most + 1):
         parts = counted(spark, d, k, most, least, bits, words, known, full)
@@ -216,9 +232,14 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, lang: str = "lang", t
             full = gathered(spark, parts, least, bits)
             known = bits_of(spark, found[-1], bits)
             words = known if k == 1 else words
-        dropped(spark, parts)
+        if before is not None:
+            dropped(spark, before)
+        before = parts
+        if k > 1:
+            d = parts.where("phrase is null and segment is null").select("lang", F.col("counts").alias("t"))
         if k < most and not any(full):
             break
+    dropped(spark, before)
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
