@@ -20,6 +20,7 @@ lang_pred or score give way to the results; other columns are passed on.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,8 @@ STRETCH = 64
 HIDDEN = 8
 STEPS = 700
 BATCH = 160
-#: Documents whose stretches are held at once, and stretches that the network reads at once.
-SLICE = 500
+#: Documents and characters whose stretches are held at once (a longer text by itself), and stretches that the network reads at once.
+SLICE, SLICE_CHARS = 500, 500_000
 BLOCK = 2048
 #: The pipeline's stage rejects a document whose score is under LEAST_SHARE of what guessing among the languages gives: next to
 #: no document with letters, since short texts in a known language get low scores too.
@@ -198,6 +199,20 @@ def pooled(net: Network | None, texts: list[str | None]) -> list[tuple[str, floa
     return got
 
 
+def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in parts of SLICE texts and SLICE_CHARS characters at most, or of one text."""
+    part, chars = [], 0
+    for t in texts:
+        n = len(t or "")
+        if part and (len(part) == SLICE or chars + n > SLICE_CHARS):
+            yield part
+            part, chars = [], 0
+        part.append(t)
+        chars += n
+    if part:
+        yield part
+
+
 def learned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     return train(sample(docs, id_col, text, lang))
 
@@ -209,7 +224,7 @@ def identified(spark: SparkSession, docs: DataFrame, net: Network | None, id_col
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        got = [x for i in range(0, len(texts), SLICE) for x in pooled(sent.value, texts.iloc[i : i + SLICE].tolist())]
+        got = [x for part in slices(texts.tolist()) for x in pooled(sent.value, part)]
         return pd.DataFrame(got, columns=["lang_pred", "score"])
 
     rows = with_row(docs, id_col, text).toDF("__row", "k", "t")
