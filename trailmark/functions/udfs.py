@@ -5,39 +5,51 @@ from __future__ import annotations
 import ast
 import json
 import operator
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
+_BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Pow: operator.pow}
 _ALLOWED = frozenset("0123456789+-*/(). ")
 INVALID = "Error: invalid characters in expression"
+#: Bits of the largest whole number that a power may make; a float holds 1,024.
+POWER_BITS = 1 << 17
 
 
 def calculate(text: str | None) -> str | None:
-    """The value of an arithmetic expression, to two places, by its syntax tree."""
+    """The value of an arithmetic expression, to two places, by its syntax tree; else `Error: ` and Python's message. A power of
+    more than POWER_BITS bits counts as too large for a float, whatever comes after it."""
     if text is None:
         return None
     if not set(text) <= _ALLOWED:
         return INVALID
 
-    def value(n: ast.AST) -> float:
+    def value(n: ast.AST) -> object:
         if isinstance(n, ast.Expression):
             return value(n.body)
-        if isinstance(n, ast.Constant) and isinstance(n.value, (int, float)):
+        if isinstance(n, ast.Constant):
             return n.value
-        if isinstance(n, ast.UnaryOp) and isinstance(n.op, (ast.USub, ast.UAdd)):
-            return -value(n.operand) if isinstance(n.op, ast.USub) else value(n.operand)
-        if isinstance(n, ast.BinOp) and type(n.op) in _BINARY:
-            return _BINARY[type(n.op)](value(n.left), value(n.right))
-        raise ValueError("unsupported expression")
+        if isinstance(n, ast.UnaryOp):
+            return operator.neg(value(n.operand)) if isinstance(n.op, ast.USub) else operator.pos(value(n.operand))
+        if isinstance(n, ast.BinOp):
+            x, y = value(n.left), value(n.right)
+            if isinstance(n.op, ast.Pow) and isinstance(x, int) and isinstance(y, int) and y > 0 and (x.bit_length() - 1) * y > POWER_BITS:
+                raise OverflowError("int too large to convert to float")
+            return _BINARY[type(n.op)](x, y)
+        if isinstance(n, ast.Call):  # two brackets in a row
+            raise TypeError(f"{type(value(n.func)).__name__!r} object is not callable")
+        return ()  # empty brackets
 
     try:
-        return str(round(float(value(ast.parse(text.strip(), mode="eval"))), 2))
-    except (SyntaxError, ValueError, ArithmeticError, RecursionError, MemoryError) as e:
-        return f"Error: {e.__class__.__name__}"
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", SyntaxWarning)
+            tree = compile(text.lstrip(" "), "<string>", "eval", ast.PyCF_ONLY_AST)
+        return str(round(float(value(tree)), 2))
+    except Exception as e:
+        return f"Error: {e}"
 
 
 def python_round(x: float | None, digits: int = 2) -> float | None:

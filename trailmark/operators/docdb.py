@@ -3,7 +3,8 @@
 A tool gets a table of requests, one row per request, joins the documents it needs by key, evaluates its guards in order
 (the first that fails gives the error) and returns the requests with `error` and the new values; `merged` then puts
 changed documents beside the untouched ones. Nothing is changed where there is an error. Requests of one call act on
-different documents; `in_order` deals a sequence of calls on the same documents into such calls.
+different documents; `in_order` deals a sequence of calls on the same documents into such calls, and dispatch.py plays mixed calls in
+their order.
 """
 
 from __future__ import annotations
@@ -248,13 +249,34 @@ def send_certificates(requests: DataFrame, users: DataFrame, ids: list[str]) ->
     return r.select("user_id", "error", F.when(F.col("error").isNull(), F.col("id")).alias("id"), F.when(F.col("error").isNull() & F.col("id").isNotNull(), new).otherwise(F.col("methods")).alias("methods"))
 
 
-def fingerprint(table: DataFrame) -> DataFrame:
-    """(n, digest) of a table's content, whatever the order of its rows: equal tables have equal fingerprints. Row digests are
-    added up in three parts, so no task gets all rows."""
+#: Digits of a row's digest in each of the three sums.
+_DIGITS = 12
+
+
+def fingerprint_parts(table: DataFrame) -> DataFrame:
+    """(n, a, b, c) of a table's content, one row: the number of its rows and the sums of three parts of their digests, whatever
+    their order. No task sees all rows, and parts of tables can be added up or taken away."""
     h = F.sha2(F.to_json(F.struct(*sorted(table.columns)), {"ignoreNullFields": "false"}), 256)
-    part = lambda i: F.sum(F.conv(F.substring("h", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)"))
-    g = table.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), part(0).alias("a"), part(1).alias("b"), part(2).alias("c"))
-    return g.select("n", F.sha2(F.concat_ws("/", *[F.col(x).cast("string") for x in ("n", "a", "b", "c")]), 256).alias("digest"))
+    part = lambda i: F.coalesce(F.sum(F.conv(F.substring("h", 1 + _DIGITS * i, _DIGITS), 16, 10).cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)")
+    return table.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), part(0).alias("a"), part(1).alias("b"), part(2).alias("c"))
+
+
+def parts_changed(parts: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """The parts of a table from which the rows `removed` went and to which `added` came, repeated rows as often as they stand there.
+    Only those rows are read; both have the table's columns."""
+    out, into = (fingerprint_parts(x.select(*sorted(x.columns))) for x in (removed, added))
+    signed = lambda df, sign: df.select(*[(F.col(x) * sign).cast("decimal(38,0)").alias(x) for x in ("n", "a", "b", "c")])
+    every = signed(parts, 1).unionByName(signed(out, -1)).unionByName(signed(into, 1))
+    return every.agg(F.sum("n").cast("long").alias("n"), *[F.sum(x).alias(x) for x in ("a", "b", "c")])
+
+
+def digest_of(parts: DataFrame) -> DataFrame:
+    return parts.select("n", F.sha2(F.concat_ws("/", *[F.col(x).cast("string") for x in ("n", "a", "b", "c")]), 256).alias("digest"))
+
+
+def fingerprint(table: DataFrame) -> DataFrame:
+    """(n, digest) of a table's content, whatever the order of its rows: equal tables have equal fingerprints."""
+    return digest_of(fingerprint_parts(table))
 
 
 def outputs_found(outputs: Column, texts: Column) -> Column:

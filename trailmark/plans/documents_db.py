@@ -180,6 +180,28 @@ def agg_38(spark, d):
     return a.join(b.select("digest").withColumnRenamed("digest", "other")).select((F.col("digest") == F.col("other")).alias("same"), "n")
 
 
+_STATE = f"""WITH {_O}, e AS (SELECT *, rid = order_id AND status = 'pending' AND order_id % 4 <> 3 AS ok FROM q)"""
+
+
+@query("AGG_38_DB_22_fingerprint_kept_up", f"""{_STATE} SELECT 'orders' AS tab, true AS same, count(*) AS n, CAST(count_if(ok) AS BIGINT) AS touched FROM e UNION ALL SELECT 'users', true, (SELECT count(*) FROM u), count(DISTINCT user_id) FROM e WHERE ok AND order_id % 3 = 0""")
+def agg_38_kept(spark, d):
+    """After cancelled orders, the hash of both tables from the touched documents only equals that of the whole tables."""
+    reason = F.when(F.col("order_id") % 4 == 3, "bored").otherwise("no longer needed")
+    o, r = requests(spark, d, reason=reason)
+    u, got = users(spark, d), op.cancel_orders(r, o)
+    done = got.where("error is null").select("order_id", "status", "payments")
+    changed = o.drop("status", "payments").join(done, "order_id").select(o.columns)
+    paid = u.join(got.where("error is null and credit <> 0").select("user_id").distinct(), "user_id", "left_semi")
+    out = None
+    for name, key, whole, new in (("orders", "order_id", o, changed), ("users", "user_id", u, op.credited(paid, got))):
+        old = whole.join(new.select(key), key, "left_semi")
+        kept_up = op.digest_of(op.parts_changed(op.fingerprint_parts(whole), old, new)).withColumnRenamed("digest", "kept_up")
+        full = op.fingerprint(op.merged(whole, key, new))
+        x = kept_up.select("kept_up").join(full).join(new.agg(F.count(F.lit(1)).alias("touched"))).select(F.lit(name).alias("tab"), (F.col("kept_up") == F.col("digest")).alias("same"), "n", "touched")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 @query("AGG_39_outputs_found", "SELECT conv_id, bool_or(contains(replace(lower(text), ',', ''), 'tion')) AND bool_or(contains(replace(lower(text), ',', ''), 'in')) AS found FROM conversations GROUP BY 1")
 def agg_39(spark, d):
     g = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("texts"))
@@ -187,10 +209,60 @@ def agg_39(spark, d):
 
 
 @query("DB_21_dispatch_rounds", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS round FROM events")
-def db_21(spark, d):
+def db_21_rounds(spark, d):
     return op.in_order(table(spark, d, "events").withColumn("seq", F.struct("ts", "event_id")), "user_id", "seq").select("user_id", "event_id", "round")
 
 
+#: Eight calls an order, in this order: what they are and which orders they are made for.
+CALLS = (
+    ("modify_pending_order_address", "order_id % 2 = 0"), ("get_order_details", "order_id % 3 <> 1"), ("modify_pending_order_payment", "order_id % 4 = 1"), ("cancel_pending_order", "order_id % 5 <> 4"), ("cancel_pending_order", "order_id % 7 = 0"),
+    ("find_order", "order_id % 6 = 2"), ("modify_pending_order_address", "order_id % 8 = 3"), ("transfer_to_human_agents", "order_id % 9 = 5"),
+)
+_DISPATCHED = f"""WITH {_O}, k AS (SELECT o.*, status = 'pending' AS pending, order_id % 10 = 9 AS gone, order_id % 4 = 1 AND status = 'pending' AND order_id % 10 <> 9 AND order_id % 3 = 0 AS moved FROM o),
+c AS (SELECT k.*, pending AND NOT gone AND order_id % 5 <> 4 AND order_id % 4 <> 3 AS cancels FROM k)"""
+
+
+def dispatched(spark, d):
+    """The calls about each order, by a number that keeps all calls about an order together; each tenth order isn't there."""
+    from ..operators import dispatch
+    o = orders(spark, d)
+    rid = F.when(F.col("order_id") % 10 == 9, F.col("order_id") + 1_000_000_000).otherwise(F.col("order_id")).cast("string")
+    reason = F.when(F.col("order_id") % 4 == 3, "bored").otherwise("no longer needed")
+    card = F.concat(F.lit("credit_card_"), F.col("user_id").cast("string"))
+    args = {
+        "modify_pending_order_address": F.struct(rid.alias("order_id"), F.lit("elsewhere").alias("address")), "get_order_details": F.struct(rid.alias("order_id")), "modify_pending_order_payment": F.struct(rid.alias("order_id"), card.alias("method")),
+        "cancel_pending_order": F.struct(rid.alias("order_id"), reason.alias("reason")), "find_order": F.struct(rid.alias("order_id")), "transfer_to_human_agents": F.struct(F.lit("done").alias("summary")),
+    }
+    rows = [F.when(F.expr(when), F.struct((F.col("order_id") * 8 + i).alias("seq"), F.lit(tool).alias("tool"), F.to_json(args[tool]).alias("args"))) for i, (tool, when) in enumerate(CALLS)]
+    calls = o.select(F.explode(F.array_compact(F.array(*rows))).alias("x")).select("x.*")
+    tables = {"orders": dispatch.Table(o, "order_id", {"user_id": "users"}), "users": dispatch.Table(users(spark, d), "user_id")}
+    return dispatch.dispatch(calls, tables, dispatch.RETAIL), tables
+
+
+@query("DB_21_dispatch", f"""{_DISPATCHED}, x AS (SELECT *, unnest(range(0, 8)) AS i FROM c), y AS (SELECT * FROM x WHERE CASE i {" ".join(f"WHEN {i} THEN {when}" for i, (_, when) in enumerate(CALLS))} END)
+SELECT order_id * 8 + i AS seq, CASE WHEN i = 5 THEN 'Unknown action find_order' WHEN i = 7 THEN 'Transfer successful' WHEN gone THEN 'Error: order not found'
+WHEN i = 0 THEN CASE WHEN pending THEN 'pending' ELSE 'Error: non-pending order cannot be modified' END WHEN i = 1 THEN status
+WHEN i = 2 THEN CASE WHEN NOT pending THEN 'Error: non-pending order cannot be modified' WHEN order_id % 3 <> 0 THEN 'Error: the new payment method should be different from the current one' ELSE 'pending' END
+WHEN i IN (3, 4) THEN CASE WHEN NOT pending OR i = 4 AND cancels THEN 'Error: non-pending order cannot be cancelled' WHEN order_id % 4 = 3 THEN 'Error: invalid reason' ELSE 'cancelled' END
+ELSE CASE WHEN NOT pending OR cancels OR order_id % 7 = 0 AND order_id % 4 <> 3 THEN 'Error: non-pending order cannot be modified' ELSE 'pending' END END AS answer, i = 7 AS done FROM y""")
+def db_21(spark, d):
+    (answers, _), _ = dispatched(spark, d)
+    return answers.select("seq", F.when(F.startswith("answer", F.lit("{")), F.get_json_object("answer", "$.status")).otherwise(F.col("answer")).alias("answer"), "done")
+
+
+@query("DB_21_end_state", f"""{_DISPATCHED}, z AS (SELECT *, pending AND NOT gone AND order_id % 4 <> 3 AND (order_id % 5 <> 4 OR order_id % 7 = 0) AS ends FROM c), m AS (SELECT *, CASE WHEN moved THEN 3 ELSE 1 END AS n FROM z),
+g AS (SELECT user_id, sum(CASE WHEN order_id % 3 <> 0 THEN 0 WHEN moved AND ends THEN 3 * total WHEN moved OR ends THEN total ELSE 0 END) AS credit FROM m GROUP BY 1)
+SELECT 'orders' AS tab, order_id AS id, CASE WHEN ends THEN 'cancelled' ELSE status END AS what, CAST(CASE WHEN ends THEN 2 * n ELSE n END AS DOUBLE) AS amount FROM m
+UNION ALL SELECT 'users', user_id, address, round(balance + coalesce(credit, 0), 2) FROM u LEFT JOIN g USING (user_id)""")
+def db_21_end(spark, d):
+    """Both tables after all calls: the status and number of payments of each order, the gift card of each user."""
+    (_, changed), t = dispatched(spark, d)
+    o, u = op.merged(t["orders"].docs, "order_id", changed["orders"]), op.merged(t["users"].docs, "user_id", changed["users"])
+    gift = F.element_at("methods", F.concat(F.lit("gift_card_"), F.col("user_id").cast("string")))["balance"]
+    return o.select(F.lit("orders").alias("tab"), F.col("order_id").alias("id"), F.col("status").alias("what"), F.size("payments").cast("double").alias("amount")).unionByName(
+        u.select(F.lit("users").alias("tab"), F.col("user_id").alias("id"), F.col("address").alias("what"), F.round(gift, 2).alias("amount")))
+
+
 @query("JON_04_canonical_arguments", "SELECT event_id, '{\"k\":\"' || CAST(json_extract_string(props, '$.k') AS BIGINT) || '\"}' AS args FROM events")
 def jon_04(spark, d):
     return table(spark, d, "events").select("event_id", canonical_json(F.col("props")).alias("args"))

@@ -52,17 +52,66 @@ def request_log(spark, d):
     return x.withColumn("request_id", F.last(F.when(F.col("kind") == "call", F.col("seq").cast("string")), True).over(w))
 
 
+SLICES = 4
+
+
+def in_slices(spark, log):
+    """The log as a stream of several batches, each with the rows of a stretch of time, and how late rows may be in it; a last row ends
+    the stream's time."""
+    path = scratch(spark)
+    low, high = log.agg(F.min("ts"), F.max("ts")).first()
+    late = int((high - low) / SLICES) + 2 if high is not None else 2  # files of one stretch may fall into two batches
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for i in range(SLICES if high is not None else 0):  # one after the other, so that files are read in the order of time
+        inside = F.floor((F.col("ts") - low) / (late - 1)) == i
+        log.where(inside).repartition(files).write.parquet(f"{path}/{i}")
+    end = log.limit(1).withColumn("ts", F.lit((high or 0.0) + 3.0 * late + 1e6)).withColumn("kind", F.lit("tick"))
+    end.write.parquet(f"{path}/{SLICES}")
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path), f"{late} seconds"
+
+
+def ends(log):
+    """With a shutdown of each role of a run behind its last row."""
+    last = log.groupBy("run", "role").agg(F.max(F.struct("ts", "seq")).alias("x")).select("run", "role", F.lit("shutdown").alias("kind"), (F.col("x.ts") + 1.0).alias("ts"), (F.col("x.seq") + 1).alias("seq"), F.lit(None).cast("string").alias("request_id"))
+    return log.unionByName(last)
+
+
 @query("STM_03_STM_04_pending_requests")
 def stm_03(spark, d):
-    """As a stream over the log, which is written first: state by run and role."""
-    path, log = scratch(spark), request_log(spark, d)
-    log.coalesce(1).sortWithinPartitions("ts", "seq").write.parquet(path)
-    return loop.run_once(loop.proposals(spark.readStream.schema(log.schema).parquet(path), 600.0), "append")
+    """As a stream over the log in stretches of time: state by run and role, applied by timers, cancelled by the shutdown."""
+    stream, late = in_slices(spark, ends(request_log(spark, d)))
+    return loop.run_once(loop.proposals(stream, 600.0, late))
 
 
 @query("STM_03_STM_04_pending_requests_batch")
 def stm_03_batch(spark, d):
-    return loop.proposals_batch(request_log(spark, d), 600.0)
+    return loop.proposals_batch(ends(request_log(spark, d)), 600.0)
+
+
+def call_log(spark, d):
+    """A key for each remainder of the number in props by 40: each third event of a key asks, one in nine answers."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_id") % 9 == 4, "answer").when(F.col("event_id") % 3 == 0, "request").otherwise("tick")
+    key = F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(40)).cast("string")
+    return e.select(key.alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("value")).where("kind <> 'tick'")
+
+
+@query("STM_14_memo_in_flight", """WITH e AS (SELECT CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 40 AS VARCHAR) AS key, ts, event_id, event_id % 9 = 4 AS answers FROM events WHERE event_id % 3 = 0 OR event_id % 9 = 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM e), f AS (SELECT key, min(n) AS first FROM r WHERE NOT answers GROUP BY 1),
+a AS (SELECT r.key, min(n) AS got FROM r JOIN f USING (key) WHERE answers AND n > first GROUP BY 1), v AS (SELECT r.key, got, 'a' || event_id AS value FROM a JOIN r ON r.key = a.key AND n = got)
+SELECT r.key, CAST(event_id AS VARCHAR) AS request, CASE WHEN n = first THEN 'called' WHEN n < got THEN 'waited' ELSE 'cached' END AS outcome, value FROM r JOIN f USING (key) JOIN v USING (key) WHERE NOT answers""")
+def stm_14_stream(spark, d):
+    """As a stream over several batches: one call a key, however many ask for it meanwhile."""
+    stream, late = in_slices(spark, call_log(spark, d))
+    return loop.run_once(loop.in_order(stream, ["key"], loop.Memo(), late)).select("key", "request", "outcome", "value")
+
+
+@query("STM_14_memo_with_failures")
+def stm_14_failures(spark, d):
+    """With failures, which release the key, and answers that live for a day."""
+    log = call_log(spark, d).withColumn("kind", F.when((F.col("kind") == "answer") & (F.col("seq") % 2 == 0), "failure").otherwise(F.col("kind")))
+    stream, late = in_slices(spark, log)
+    return loop.run_once(loop.in_order(stream, ["key"], loop.Memo(86_400.0), late))
 
 
 @query("STM_14_memoized_calls", "SELECT event_id, length(event_type) AS answer FROM events")
@@ -71,9 +120,16 @@ def stm_14(spark, d):
     return udfs.memoized(table(spark, d, "events").select("event_id", "event_type"), ["event_type"], call).select("event_id", "answer")
 
 
-@query("FN_25_DB_11_calculate", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Error: invalid characters in expression' ELSE CAST((p_size + 2) * 3 AS VARCHAR) || '.0' END AS out FROM part")
+@query("FN_25_DB_11_calculate", """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Error: invalid characters in expression' WHEN 1 THEN (p_size // 7) || '.0' WHEN 2 THEN (p_size * p_size * p_size) || '.0' WHEN 3 THEN 'Error: division by zero'
+WHEN 4 THEN 'Error: ''int'' object is not callable' WHEN 5 THEN 'Error: int too large to convert to float' WHEN 6 THEN CAST(-p_size AS VARCHAR) || '.5' ELSE ((p_size + 2) * 3) || '.0' END AS out FROM part""")
 def fn_25(spark, d):
-    e = F.when(F.col("p_partkey") % 5 == 0, "x + 1").otherwise(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(" + 2) * 3")))
+    """A form of expression for each remainder of the key by 8."""
+    n = F.col("p_size").cast("string")
+    forms = ["x + %s", " %s // 7", "%s**3", "%s / (2 - 2)", "%s(3)", "9**9**%s9", "-%s - .5", "(%s + 2) * 3"]
+    e = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        before, after = form.split("%s")
+        e = F.when(F.col("p_partkey") % len(forms) == i, F.concat(F.lit(before), n, F.lit(after))).otherwise(e)
     return table(spark, d, "part").select("p_partkey", udfs.batched(udfs.calculate, "string")(e).alias("out"))
 
 

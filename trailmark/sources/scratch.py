@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -20,3 +20,10 @@ def scratch(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         named = _LOCAL.setdefault(app, _LOCAL.get(app) or f"file://{tempfile.mkdtemp(prefix='trailmark-')}")
     return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends here, it is computed once, and it survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
