@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 
 def fan_out(messages: DataFrame, players: DataFrame, game: str, to: str) -> DataFrame:
     """A message to -1 goes to every player of its game."""
@@ -174,14 +176,18 @@ def neighbours(words: DataFrame, word: str) -> DataFrame:
 
 def ladders(edges: DataFrame, start: DataFrame, least: int, most: int) -> DataFrame:
     """(source, target, hops, path): the shortest path, of equals the first by alphabet, to each word that lies between least and most
-    steps from a source; one join a step."""
-    front = start.select("source", F.col("source").alias("target"), F.lit(0).alias("hops"), F.array("source").alias("path"))
-    seen = front
+    steps from a source. A step is one join of the words last reached with the links, and a written table, so the plan of a step
+    grows by one scan; words reached before are left out by one anti join over those tables."""
+    links = kept(edges)
+    front = kept(start.select("source", F.col("source").alias("target"), F.lit(0).alias("hops"), F.array("source").alias("path")))
+    seen, out = front.select("source", "target"), front.limit(0)
     for h in range(1, most + 1):
-        on = front.join(edges, front["target"] == edges["a"]).select("source", F.col("b").alias("target"), F.array_append("path", F.col("b")).alias("path"))
-        new = on.groupBy("source", "target").agg(F.min("path").alias("path")).join(seen, ["source", "target"], "left_anti").select("source", "target", F.lit(h).alias("hops"), "path")
-        seen, front = seen.unionByName(new), new
-    return seen.where(F.col("hops").between(max(least, 1), most))
+        on = front.join(links, front["target"] == links["a"]).select("source", F.col("b").alias("target"), F.array_append("path", F.col("b")).alias("path"))
+        new = on.groupBy("source", "target").agg(F.min("path").alias("path")).join(seen, ["source", "target"], "left_anti")
+        front = kept(new.select("source", "target", F.lit(h).alias("hops"), "path"))
+        seen = seen.unionByName(front.select("source", "target"))
+        out = out.unionByName(front) if h >= max(least, 1) else out
+    return out
 
 
 def reached(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

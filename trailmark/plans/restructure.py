@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.udfs import batched, python_round
 from ..operators.docdb import constant_tools
-from ..operators.similarity import nearest
+from ..operators.similarity import indexed, nearest
 from .registry import query
 from .views import STEPS, steps, table
 
@@ -90,6 +90,13 @@ def srt_10(spark, d):
     return nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
 
 
+@query("SRT_10_top_similar_indexed")
+def srt_10_indexed(spark, d):
+    """The same by an inverted file, which isn't exact: recall is measured in a test."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return indexed(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
+
+
 @query("SRT_11_first_of_list", "SELECT conv_id, arg_min(role, turn) AS role FROM conversations GROUP BY 1")
 def srt_11(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("x")).select("conv_id", "x.role")

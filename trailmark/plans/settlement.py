@@ -194,6 +194,24 @@ def gme_25(spark, d):
     return op.ladders(op.neighbours(w, "w"), w.select(F.col("w").alias("source")), 1, 2).withColumn("path", F.array_join("path", ">"))
 
 
+_LADDER_WORDS = "w AS (SELECT DISTINCT substr(md5(CAST(p_partkey AS VARCHAR)), 1, 3 + p_partkey % 3) AS w FROM part)"
+_WILD = "k AS (SELECT w, left(w, i - 1) || '*' || substr(w, i + 1) AS k FROM w, range(1, 6) AS r(i) WHERE i <= len(w)), e AS (SELECT DISTINCT x.w AS a, y.w AS b FROM k x JOIN k y ON x.k = y.k AND x.w <> y.w)"
+
+
+def _hop(n: int) -> str:
+    before = " UNION ALL ".join(f"SELECT source, target FROM h{i}" for i in range(1, n))
+    return f"h{n} AS (SELECT * FROM (SELECT source, b AS target, min(list_append(path, b)) AS path FROM h{n - 1} JOIN e ON a = target WHERE source <> b GROUP BY 1, 2) ANTI JOIN ({before}) USING (source, target))"
+
+
+@query("GME_25_word_ladder_far", f"""WITH {_LADDER_WORDS}, {_WILD}, h1 AS (SELECT a AS source, b AS target, [a, b] AS path FROM e), {", ".join(_hop(n) for n in (2, 3, 4))}
+SELECT source, target, {" UNION ALL SELECT source, target, ".join(f"{n} AS hops, array_to_string(path, '>') AS path FROM h{n}" for n in (3, 4))}""")
+def gme_25_far(spark, d):
+    """Ladders of three or four steps between words of three to five letters."""
+    length = (3 + F.col("p_partkey") % 3).cast("int")
+    w = table(spark, d, "part").select(F.substring(F.md5(F.col("p_partkey").cast("string")), F.lit(1), length).alias("w")).distinct()
+    return op.ladders(op.neighbours(w, "w"), w.select(F.col("w").alias("source")), 3, 4).withColumn("path", F.array_join("path", ">"))
+
+
 @query("WIN_11_rank_rewards", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS r FROM lineitem), m AS (SELECT *, max(r) OVER (PARTITION BY l_orderkey) AS n FROM r)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN n > 1 THEN -1 + 2.0::DOUBLE * (r - 1) / (n - 1) ELSE 0 END, 6) AS reward FROM m""")
 def win_11(spark, d):

@@ -93,6 +93,37 @@ def src_21(spark, d):
     return files.state_residency(table(spark, d, "part"), "p_type", "p_size", [])
 
 
+def captured_tree(spark, d):
+    """A capture a supplier's nation: two zones of energy, and an idle state a part size below 5 of each of two cores."""
+    from ..sources import tree
+    path = scratch(spark)
+    s = table(spark, d, "supplier").groupBy(F.concat(F.lit("run"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("run")).agg(F.count(F.lit(1)).alias("n"), F.sum("s_suppkey").alias("total"))
+    one = lambda folder, name, value: F.struct(F.lit(folder).alias("folder"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    rows = [one("powercap/intel-rapl:0", "name", F.lit("package-0")), one("powercap/intel-rapl:0", "energy_uj", F.col("total")), one("powercap/intel-rapl:0/intel-rapl:0:0", "name", F.lit("DRAM")), one("powercap/intel-rapl:0/intel-rapl:0:0", "energy_uj", F.col("n"))]
+    for cpu in range(2):
+        for state in range(3):
+            at = f"cpu/cpu{cpu}/cpuidle/state{state}"
+            rows += [one(at, "name", F.lit(f"C{state}")), one(at, "time", F.col("total") * (cpu + 1) + state)]
+    tree.write_tree(s.select("run", F.explode(F.array(*rows)).alias("x")).select("run", "x.*"), path)
+    return tree.tree(spark, path)
+
+
+_RUNS = "r AS (SELECT 'run' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS run, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS total FROM supplier GROUP BY 1)"
+
+
+@query("SRC_21_energy_tree", f"WITH {_RUNS} SELECT run, total AS package, n AS dram FROM r")
+def src_21_energy(spark, d):
+    from ..sources import tree
+    return tree.energy(captured_tree(spark, d))
+
+
+@query("SRC_21_idle_tree", f"WITH {_RUNS} SELECT run, 'cpu' || cpu AS cpu, 'C' || state AS state, CAST(total * (cpu + 1) + state AS BIGINT) AS time FROM r, range(2) a(cpu), range(3) b(state) WHERE run IN ('run01', 'run07')")
+def src_21_idle(spark, d):
+    """Of two runs; no other run's folder is listed."""
+    from ..sources import tree
+    return tree.idle_states(captured_tree(spark, d).where(F.col("run").isin("run01", "run07")))
+
+
 def _blocks_sql(tag: str) -> str:
     out = f"list_transform(string_split_regex(html, '(?i)<{tag}(?:\\s[^>]*)?>')[2:], lambda x: regexp_replace(regexp_replace(x, '(?is)</(?:{tag}|div|article|section|main|body|td)>.*', ''), '<[^>]*>?', '', 'g'))"
     for a, b in REFERENCES:
@@ -117,6 +148,15 @@ def src_23(spark, d):
     return files.dictionary_words(words, files.affix_rules(rules), "w", "flags")
 
 
+@query("SRC_23_JON_14_merged_forms", """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part) SELECT w AS form FROM w UNION SELECT w || 's' FROM w WHERE right(w, 1) NOT IN ('s', 'y') UNION SELECT left(w, len(w) - 1) || 'ies' FROM w WHERE w LIKE '%y'
+UNION SELECT w || 'ed' FROM w WHERE right(w, 1) <> 'e' UNION SELECT 're' || w FROM w UNION SELECT 're' || w || 's' FROM w UNION SELECT 're' || left(w, len(w) - 1) || 'ies' FROM w WHERE w LIKE '%y'""")
+def src_23_merged(spark, d):
+    """Forms with a prefix and a mergeable suffix as well; the past tense doesn't merge."""
+    rules = spark.createDataFrame([("SFX S Y 2",), ("SFX S 0 s [^sy]",), ("SFX S y ies y",), ("PFX R Y 0 re .",), ("SFX D N 0 ed [^e]",)], "value string")
+    words = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("w")).distinct().withColumn("flags", F.lit("SRD"))
+    return files.dictionary_words(words, files.affixes(rules), "w", "flags")
+
+
 @query("SRC_24_score_table", "SELECT p_brand AS issue, p_type AS option, p_size AS score FROM part")
 def src_24(spark, d):
     t = table(spark, d, "part").select(F.concat(F.col("p_brand"), F.lit(": "), F.col("p_type"), F.lit("="), F.col("p_size").cast("string")).alias("t"))

@@ -104,15 +104,52 @@ def affix_rules(lines: DataFrame, text: str = "value") -> DataFrame:
     return got.select("kind", "flag", zero("strip"), zero("add"), "condition")
 
 
+def affixes(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(kind, flag, merge, strip, add, condition) of an affix file. Whether suffixes may follow a prefix stands on the rule's own
+    line (`SFX S Y 0 s .`) or on the header of its flag (`SFX S Y 4`)."""
+    own = r"^(PFX|SFX)\s+(\S+)\s+(?:(Y|N)\s+)?(\S+)\s+([^\s/]+)(?:/\S*)?\s+(\S+)\s*$"
+    t = F.trim(F.col(text))
+    part = lambda n, i: F.regexp_extract(t, own, i).alias(n)
+    rules = lines.select(part("kind", 1), part("flag", 2), part("own", 3), part("strip", 4), part("add", 5), part("condition", 6)).where("kind <> ''")
+    head = r"^(PFX|SFX)\s+(\S+)\s+(Y|N)\s+\d+$"
+    heads = lines.select(*[F.regexp_extract(t, head, i).alias(n) for i, n in ((1, "kind"), (2, "flag"), (3, "all"))]).where("kind <> ''").dropDuplicates(["kind", "flag"])
+    zero = lambda c: F.when(F.col(c) == "0", "").otherwise(F.col(c)).alias(c)
+    got = rules.join(heads, ["kind", "flag"], "left")
+    return got.select("kind", "flag", (F.coalesce(F.when(F.col("own") != "", F.col("own")), "all", F.lit("N")) == "Y").alias("merge"), zero("strip"), zero("add"), "condition")
+
+
+def _formed(words: DataFrame, rules: DataFrame, longest: int, merged: bool) -> DataFrame:
+    """(form, flags, kind) that the rules make of words (w, flags). Words meet rules by flag and ending: a suffix rule's is what its
+    condition asks for or what it strips, whichever is longer, so no pattern is tried on a pair. Of an excluding list the last
+    letter may be none; behind a prefix the list counts as a whole, which is how the source of this table applies it."""
+    ends = F.transform(F.sequence(F.lit(0), F.least(F.length("w"), F.lit(longest))), lambda n: F.when(n == 0, "").otherwise(F.substring("w", -n, n)))
+    each = words.withColumn("ending", F.explode(ends)).withColumn("flag", F.explode(F.array_distinct(F.filter(F.split("flags", ""), lambda f: f != ""))))
+    met = each.join(rules, ["flag", "ending"])
+    free = F.col("exclude") == ""
+    ok = free | (~F.endswith("w", F.col("exclude")) if merged else ~F.contains("exclude", F.substring("w", -1, 1)))
+    strip = F.length("strip")
+    behind = F.concat(F.expr("left(w, length(w) - length(strip))"), F.col("add"))
+    before = F.when(strip == 0, F.concat("add", "w")).otherwise(F.concat(F.expr("substring(w, length(strip) + 1)"), F.col("add")))
+    met = met.where(ok & ((F.col("kind") == "SFX") | F.startswith("w", F.col("strip"))))
+    return met.select(F.when(F.col("kind") == "SFX", behind).otherwise(before).alias("form"), "flags", "kind")
+
+
 def dictionary_words(words: DataFrame, rules: DataFrame, word: str, flags: str) -> DataFrame:
-    """All forms: the words, and for each of a word's flags what its rules make of it. A prefix rule that strips puts its
-    affix at the end, as the source of this table does."""
-    each = words.select(F.col(word).alias("w"), F.explode(F.filter(F.split(flags, ""), lambda f: f != "")).alias("flag"))
-    m = each.join(rules, "flag")
-    fits = F.when(F.col("kind") == "SFX", F.endswith("w", F.col("strip")) & ((F.col("condition") == ".") | F.rlike("w", F.concat(F.col("condition"), F.lit("$"))))).otherwise(F.startswith("w", F.col("strip")) & ((F.col("condition") == ".") | F.rlike("w", F.concat(F.lit("^"), F.col("condition")))))
-    cut = F.length("w") - F.length("strip")
-    made = F.when(F.col("kind") == "SFX", F.concat(F.substring("w", F.lit(1), cut), F.col("add"))).when(F.col("strip") == "", F.concat(F.col("add"), F.col("w"))).otherwise(F.concat(F.substring("w", F.length("strip") + 1, F.length("w")), F.col("add")))
-    return words.select(F.col(word).alias("form")).unionByName(m.where(fits).select(made.alias("form"))).distinct()
+    """All forms: the words, what the rules of each of their flags make of them, and of the forms with a prefix what the rules of
+    mergeable suffixes make of those. A prefix rule that strips puts its affix at the end, and its condition looks at the end too,
+    as the source of this table does. rules: (kind, flag, strip, add, condition) and, if any, merge."""
+    r = rules if "merge" in rules.columns else rules.withColumn("merge", F.lit(False))
+    part = lambda i: F.when(F.col("condition") == ".", "").otherwise(F.regexp_extract("condition", r"^(\[\^\S+\])?(\S+)?", i))
+    r = r.withColumns({"exclude": part(1), "include": part(2)})
+    longer = F.when(F.length("include") >= F.length("strip"), F.col("include")).otherwise(F.col("strip"))
+    fits = (F.col("kind") == "PFX") | (F.endswith(longer, F.col("include")) & F.endswith(longer, F.col("strip")))
+    r = r.where(fits).withColumn("ending", F.when(F.col("kind") == "PFX", F.col("include")).otherwise(longer))
+    longest = r.agg(F.coalesce(F.max(F.length("ending")), F.lit(0))).first()[0]
+    base = words.select(F.col(word).alias("w"), F.coalesce(F.col(flags), F.lit("")).alias("flags"))
+    first = _formed(base, r, longest, False)
+    prefixed = first.where("kind = 'PFX'").select(F.col("form").alias("w"), "flags").distinct()
+    second = _formed(prefixed, r.where("kind = 'SFX' and merge"), longest, True)
+    return base.select(F.col("w").alias("form")).unionByName(first.select("form")).unionByName(second.select("form")).distinct()
 
 
 def score_table(text: DataFrame, column: str) -> DataFrame:
