@@ -3,13 +3,17 @@
 A page is read as a sequence of tags and words. Words score positive and tags negative; the contiguous region with the
 highest sum, found by one linear scan, holds the content. What stands in an element that by its tag, or by a class, id or
 role as a whole, is a menu, header, footer, sidebar, notice, advert, form, comment section or no text at all scores nothing
-and is left out of the region's text, so an advert in the middle of an article doesn't cut the region. An element around
+and is left out of the region's text, so an advert in the middle of an article doesn't cut the region. The region then grows to
+the page's own article, if it lies in one, or else to the whole paragraphs, lists and tables that its ends lie in. An element around
 the page's own article is never left out, whatever its name; nor is a form, or an element with a compound name, that holds
 half of the page's words or more.
 
-The weights are log-odds from labelled pages: a page labels itself if it marks its content by an article or main element.
-Tags and words are counted within and without that element, by kind of element, over all such pages (an aggregation with
-at most `KINDS` keys), together with prior counts that decide where no page is labelled.
+The weights are log-odds from labelled pages: a page labels itself if it marks its content by an article or main element or the
+role main. Tags and words are counted within and without that element, by kind of element, over such pages among the `SAMPLE`
+pages with the least hashes (an aggregation with at most `KINDS` keys), together with prior counts that decide where no page
+is labelled.
+
+Lines end at the tags of blocks and at br; all other tags, unknown ones too, stand within a line.
 
 Defined cases: null or empty html and pages without content give an empty text; unclosed elements end with the element
 around them; an unfinished tag or comment at the end is no text; very long pages take time in proportion to their length;
@@ -29,12 +33,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, bounded_batches, table
+from .common import bare, bounded_batches, hash_cut, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|textarea|xmp)\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Tags at which a line ends.
+BREAKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup
+hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul""".split())
+#: What the region is completed to where it begins or ends in one of them.
+UNITS = frozenset("blockquote details dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CONTENT = frozenset(("article", "main"))
@@ -45,21 +53,23 @@ IMPLIED = (
 )
 LEFT_OUT = frozenset("aside audio button canvas datalist dialog fieldset footer form head menu nav object option select title video".split())
 #: Class names, ids and roles of what isn't content; parts of a compound name too, see named().
-NAMES = frozenset("""ad ads adbox advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentary complementary consent contentinfo
+NAMES = frozenset("""ad ads adbox advert adsbygoogle advertisement advertising adverts banner breadcrumb breadcrumbs comment commentlist comments commentary complementary consent contentinfo
 cookie cookies discussion disqus feedback footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay
 pager pagination paywall popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup social sponsor
 sponsored subscribe subscription teaser teasers toolbar widget widgets""".split())
 HEADS = frozenset("header head top".split())
 OWN = frozenset("article post entry content main story body".split())
 #: What a compound name may hold besides such names: "ad-box", "sidebar-left", "post-comments"; of OWN and PLACES only in front.
-FILLERS = frozenset("""area bar block bottom box btn card col column container cta fixed global group holder inner item items left line link links list mobile module
-outer panel pane primary rail region right row secondary section site slot small sticky strip text tile top unit wrap wrapper zone""".split())
+FILLERS = frozenset("""area bar block bottom box btn card col column container cta feed fixed form global group holder inner item items left line link links list mobile module
+outer panel pane primary rail reader readers region right row secondary section site slot small sticky strip text thread tile top unit user users wrap wrapper zone""".split())
 PLACES = frozenset("page blog".split())
 #: Articles inside of such elements aren't the page's own; nor are those that have such a name, or one of BESIDE, themselves.
-AROUND = frozenset("comment comments discussion disqus replies reply respond responses related recommended".split())
+AROUND = frozenset("comment commentlist comments discussion disqus replies reply respond responses related recommended".split())
 BESIDE = AROUND | frozenset("teaser teasers promo sponsored ad ads advert adverts".split())
 WORDY = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main section dd figcaption".split())
 KINDS = 200
+#: Pages that the weights are learned from.
+SAMPLE = 4000
 _KNOWN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main section dd dt dl figure figcaption div body html li ul ol td th tr table tbody br hr img a b i em strong span center".split())
 
 
@@ -80,11 +90,13 @@ def named(name: str, of: frozenset = NAMES) -> bool:
 
 
 class Element:
-    __slots__ = ("attributes", "end", "gone", "own", "parent", "start", "tag")
+    __slots__ = ("attributes", "end", "gone", "mark", "own", "parent", "start", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None, start: int):
         self.tag, self.parent, self.start, self.end, self.own, self.gone = tag, parent, start, start, False, None
         self.attributes = [(n.lower(), v.strip("\"'")) for n, v in ATTRIBUTE.findall(attributes)] if attributes else []
+        #: article or main, by its tag or its role
+        self.mark = tag if tag in CONTENT else "main" if ("role", "main") in self.attributes else None
 
     def names(self) -> list[str]:
         return [one for n, v in self.attributes if n in ("class", "id", "role") for one in v.split()]
@@ -102,7 +114,7 @@ def left_out(e: Element, within: bool, half: float) -> bool:
         return e.tag not in ("form", "fieldset") or e.size() < half
     if e.tag in ("body", "html"):
         return False
-    if e.tag in CONTENT:
+    if e.mark:
         return any(named(n, BESIDE) for n in e.names())
     for name, value in e.attributes:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -165,42 +177,46 @@ def elements(page: str) -> tuple[list[tuple], int]:
     return got, n_words
 
 
-def own_articles(opened: list[Element]) -> None:
-    """Marks the elements around the page's own article: the main or article element with most words that isn't a comment or teaser. An article
+def own_articles(opened: list[Element]) -> Element | None:
+    """The page's own article, and marks the elements around the page's own article: the main or article element with most words that isn't a comment or teaser. An article
     beside a main element counts if it holds over half of its words."""
     found = []
     beside: dict[int, bool] = {}
     for e in opened:  # parents come before their children
         beside[id(e)] = bool(e.parent and beside[id(e.parent)]) or any(named(n, AROUND) for n in e.names())
-        if e.tag in CONTENT and not beside[id(e)] and not any(named(n, BESIDE) for n in e.names()):
+        if e.mark and not beside[id(e)] and not any(named(n, BESIDE) for n in e.names()):
             found.append(e)
-    main, article = (max([e for e in found if e.tag == t], key=Element.size, default=None) for t in ("main", "article"))
-    for e in (main, article if article and (not main or 2 * article.size() > main.size()) else None):
+    main, article = (max([e for e in found if e.mark == t], key=Element.size, default=None) for t in ("main", "article"))
+    article = article if article and (not main or 2 * article.size() > main.size()) else None
+    for e in (main, article):
         while e and not e.own:
             e.own, e = True, e.parent
+    return article or main
 
 
-def parse(page: str) -> list[tuple[str, str, int, bool]]:
-    """(kind, text, words, within) in page order. Kinds: "t:" + tag, "w:" + nearest block element (with "+a" in links), or "" for what is left out;
-    a tag's text is "\\n" if it ends a block. within: inside of an article or main element."""
+def parse(page: str) -> list[tuple[str, str, int, bool, object]]:
+    """(kind, text, words, within, unit) in page order. Kinds: "t:" + tag, "w:" + nearest block element (with "+a" in links), or "" for what is left out;
+    a tag's text is "\\n" if it ends a block. within: inside of an article or main element. unit: True in the page's own article, else
+    the outermost of UNITS around it, or None."""
     read, n_words = elements(page)
     opened = [x[3] for x in read if x[1] and x[3]]
-    own_articles(opened)
-    state = {None: (False, False, False, "body")}  # of an element: left out, within content, within a link, nearest block
+    mine = own_articles(opened)
+    state = {None: (False, False, False, "body", None)}  # of an element: left out, within content, within a link, nearest block, unit
     for e in opened:
-        gone, within, link, block = state[e.parent]
+        gone, within, link, block, unit = state[e.parent]
+        unit = True if e is mine else unit or (e if e.tag in UNITS else None)
         gone = gone or left_out(e, within, n_words / 2)
-        state[e] = (gone, within or e.tag in CONTENT and not gone, link or e.tag == "a", block if e.tag in INLINE else e.tag)
-    out: list[tuple[str, str, int, bool]] = []
+        state[e] = (gone, within or bool(e.mark) and not gone, link or e.tag == "a", block if e.tag not in BREAKS else e.tag, unit)
+    out: list[tuple[str, str, int, bool, object]] = []
     for text, tag, around, *new in read:
-        gone, within, link, block = state[around]
+        gone, within, link, block, unit = state[around]
         if tag is None:
             if not gone:
-                out.append((f"w:{kind_of(block)}" + "+a" * link, text, len(text.split()), within))
+                out.append((f"w:{kind_of(block)}" + "+a" * link, text, len(text.split()), within, unit))
         else:
             if new[0]:
                 gone, within = state[new[0]][:2]
-            out.append(("" if gone else f"t:{kind_of(tag)}", "" if tag in INLINE else "\n", 0, within))
+            out.append(("" if gone else f"t:{kind_of(tag)}", "\n" if tag in BREAKS else "", 0, within, unit))
     return out
 
 
@@ -208,8 +224,8 @@ def label_counts(page: str | None) -> Counter:
     """(kind, within) -> number, of a page that marks its content; else nothing."""
     got: Counter = Counter()
     tokens = parse(page or "")
-    if any(n and within for _, _, n, within in tokens):
-        for kind, _, n, within in tokens:
+    if any(n and within for _, _, n, within, _ in tokens):
+        for kind, _, n, within, _ in tokens:
             if kind and (n or kind[0] == "t"):
                 got[kind, within] += n or 1
     return got
@@ -254,18 +270,34 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at, end
 
 
+def grown(tokens: list[tuple], at: int, end: int) -> tuple[int, int]:
+    """The region with the whole of its own article if it lies in it, else with the whole of the units that its first and last words lie in."""
+    some = [i for i in range(at, end) if tokens[i][2] and tokens[i][0]]
+    if not some:
+        return at, end
+    if any(tokens[i][4] is True for i in some):
+        mine = [i for i, t in enumerate(tokens) if t[4] is True]
+        return min(at, mine[0]), max(end, mine[-1] + 1)
+    first, last = tokens[some[0]][4], tokens[some[-1]][4]
+    while first is not None and at and tokens[at - 1][4] is first:
+        at -= 1
+    while last is not None and end < len(tokens) and tokens[end][4] is last:
+        end += 1
+    return at, end
+
+
 def extract(page: str | None, weight: Weights) -> str:
     if not page:
         return ""
     tokens = parse(page)
-    marked = any(n and within for _, _, n, within in tokens)
-    scores = [0.0 if not kind else weight(kind) * (n if kind[0] == "w" else 1) * (-1 if marked and n and not within else 1) for kind, _, n, within in tokens]
-    at, end = best_region(scores)
-    text = "".join([t if kind else "\n" if t else "" for kind, t, _, _ in ((k, t if k[:1] != "w" else t.replace("\n", " "), n, w) for k, t, n, w in tokens[at:end])])
+    marked = any(n and within for _, _, n, within, _ in tokens)
+    scores = [0.0 if not kind else weight(kind) * (n if kind[0] == "w" else 1) * (-1 if marked and n and not within else 1) for kind, _, n, within, _ in tokens]
+    at, end = grown(tokens, *best_region(scores))
+    text = "".join([t if kind else "\n" if t else "" for kind, t in ((k, t if k[:1] != "w" else t.replace("\n", " ")) for k, t, *_ in tokens[at:end])])
     return "\n".join([x for x in (" ".join(block.split()) for block in text.split("\n")) if x])
 
 
-def learn(spark: SparkSession, pages: DataFrame, html_col: str = "html") -> Weights:
+def learn(spark: SparkSession, pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Weights:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: Counter = Counter()
         for b in batches:
@@ -273,7 +305,10 @@ def learn(spark: SparkSession, pages: DataFrame, html_col: str = "html") -> Weig
                 got.update(label_counts(page))
         yield pd.DataFrame([(k, w, n) for (k, w), n in got.items()], columns=["kind", "within", "n"])
 
-    found = bare(pages, html_col).toDF("html").mapInPandas(run, "kind string, within boolean, n long").groupBy("kind", "within").agg(F.sum("n").alias("n"))
+    rows = bare(pages, html_col).toDF("html").where("html is not null")
+    cut = hash_cut(rows, F.xxhash64("html"), sample)
+    rows = rows.where(F.xxhash64("html") <= cut) if cut is not None else rows.limit(0)
+    found = rows.mapInPandas(run, "kind string, within boolean, n long").groupBy("kind", "within").agg(F.sum("n").alias("n"))
     return Weights({(r["kind"], r["within"]): r["n"] for r in found.collect()})  # kinds come from fixed lists: KINDS rows at most
 
 
