@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -175,6 +176,44 @@ def test_ids_and_decoding_equal_the_library(tok):
     assert tok.encode(None) == []
 
 
+def test_every_code_point_equals_the_library(tok):
+    """Letters, case pairs and combining classes are the library's, whatever Unicode version Python has."""
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(bpe_automaton.path_of())
+    points = [c for plane in (0, 1, 2, 3, 14) for c in range(plane << 16, plane + 1 << 16) if not 0xD800 <= c < 0xE000] + list(range(0x40000, 0x10FFFF, 997))
+    for i in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}B" for c in points[i : i + 20_000]]
+        for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+            assert tok.packed(t) == np.array(e.ids, "<u4").tobytes(), ascii(t)
+
+
+def test_orders_of_marks_and_odd_white_space_equal_the_library(tok):
+    from tokenizers import Tokenizer
+    lib, rng = Tokenizer.from_file(bpe_automaton.path_of()), random.Random(3)
+    marks = [chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))] + list("\u1ac3\u1abf\u08fd\ua8e4\u0eba")
+    others = list("aEİßſKΣ'1 \n\t\x1c\x1f\x85\xa0\u1680\u180e\u2028\u3000\ufeff가한각é") + ["\U00010d50", "\u1100\u1161\u11a8"]
+    texts = ["a\u1ac3\u0eba", "\ua8e4\u1abf", "\u08fd\u1ac3\u0119", *("".join(rng.choice(rng.choice((marks, others))) for _ in range(rng.randint(2, 9))) for _ in range(30_000))]
+    for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+        assert tok.packed(t) == np.array(e.ids, "<u4").tobytes(), ascii(t)
+        assert tok.decode(e.ids) == lib.decode(e.ids, skip_special_tokens=False)
+
+
+def test_a_full_table_keeps_what_was_used_lately(tok, monkeypatch):
+    """Arcs that the older generation has are moved, not made again."""
+    a, words = tok.automaton, ["the", "then", "there", "other", "another"]
+    want, asked = [a.encode(w[:-1] + w[-1]) for w in words], []
+    monkeypatch.setattr(bpe_automaton, "ARCS", 2 * len({w[:i] for w in words for i in range(len(w) + 1)}))
+    a.clear()
+    for _ in range(3):
+        assert [a.encode(w) for w in words] == want
+    barred = a.barred
+    monkeypatch.setattr(a, "barred", lambda u, v: asked.append(1) or barred(u, v))
+    a.old, (a.states, a.numbers, a.table) = (a.states, a.numbers, a.table), ([((0, -1),)], {((0, -1),): 0}, {})
+    assert [a.encode(w) for w in words] == want and not asked
+    monkeypatch.undo()
+    a.clear()
+
+
 def merged_by_rank(word, merges):
     """Byte-pair encoding by its definition: the first of the best-ranked pairs is merged, again and again."""
     rank, w = {m: i for i, m in enumerate(merges)}, list(word)

@@ -13,8 +13,11 @@ exactly one last token by which it is accepted, so an arc (state, symbol) leads
 and arcs are built when they are first reached and then looked up: one look at the table for each symbol of a word, and the
 tokens are read off backwards by their lengths. Decoding emits the labels of the arcs in the tokenizer file's own form.
 
-Memory in a Python worker is bounded: STATES and ARCS of the table, after which it is built anew; CACHE_BYTES of each cache
-of encoded words, in which no word of over LONG characters stands.
+Words that aren't ASCII are normalized and cut by the library's own normalizer and pre-tokenizer, as the tokenizer file
+states them, so that letters, case pairs and combining classes are those of its Unicode tables; ASCII is cut here.
+
+Memory in a Python worker is bounded: STATES and ARCS of the table, kept in two generations, so that what was used lately
+survives when one is full; CACHE_BYTES of each cache of encoded words, in which no word of over LONG characters stands.
 
 Defined cases: a null or empty text has no tokens; words have no bound of length; special tokens that stand in a text as
 such are matched before normalization; equal rows get equal results; no rows give no rows; further columns, of whatever
@@ -25,12 +28,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import regex
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import bare, bounded_batches, table
@@ -134,6 +137,33 @@ class Automaton:
         self.states: list[tuple] = [((0, -1),)]
         self.numbers = {self.states[0]: 0}
         self.table: dict[int, int] = {}
+        self.old: tuple[list, dict, dict] = (self.states, {}, {})
+
+    def number(self, state: tuple) -> int:
+        """Of a state in this generation of the table."""
+        got = self.numbers.get(state)
+        if got is None:
+            got = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return got
+
+    def onward(self, state: tuple, symbol: int) -> tuple[tuple, int]:
+        """The state that an arc leads to and the token that it carries: as the older generation has it, else made."""
+        states, numbers, table = self.old
+        to = table.get(numbers.get(state, -1) << 12 | symbol)
+        if to is not None:
+            return states[to >> 32], to & 0xFFFFFFFF
+        last, nodes = -1, []
+        for node, before in state:
+            step = self.trie.get(node << 12 | symbol)
+            if step is not None:
+                nodes.append((step, before))
+                t = self.token[step]
+                if t >= 0 and last < 0 and (before < 0 or not self.barred(before, t)):
+                    last = t
+        if last < 0:
+            raise ValueError("a symbol without an id")
+        return (*nodes, (0, last)), last
 
     def gadget(self, r: int, a: int, b: int, c: int) -> None:
         if self.barred(a, b):
@@ -151,31 +181,16 @@ class Automaton:
         return False
 
     def build(self, state: int, symbol: int) -> int:
-        """The arc of a state by a symbol: the next state << 32 | the token that it carries."""
-        last, onward = -1, []
-        for node, before in self.states[state]:
-            to = self.trie.get(node << 12 | symbol)
-            if to is not None:
-                onward.append((to, before))
-                t = self.token[to]
-                if t >= 0 and last < 0 and (before < 0 or not self.barred(before, t)):
-                    last = t
-        if last < 0:
-            raise ValueError("a symbol without an id")
-        if len(self.states) >= STATES or len(self.table) >= ARCS:
+        """The arc of a state by a symbol: the next state << 32 | the token that it carries. A full generation becomes the older one."""
+        start = self.states[state]
+        if len(self.states) >= STATES // 2 or len(self.table) >= ARCS // 2:
+            kept = self.states, self.numbers, self.table
             self.clear()
-            arc = -1  # the state that this arc would start from is gone
-        else:
-            arc = state << 12 | symbol
-        got = (*onward, (0, last))
-        number = self.numbers.get(got)
-        if number is None:
-            number = self.numbers[got] = len(self.states)
-            self.states.append(got)
-        to = number << 32 | last
-        if arc >= 0:
-            self.table[arc] = to
-        return to
+            self.old = kept
+        to, last = self.onward(start, symbol)
+        arc = self.number(start) << 12 | symbol
+        self.table[arc] = self.number(to) << 32 | last
+        return self.table[arc]
 
     def encode(self, word: str) -> list[int]:
         """Ids of a word in byte symbols."""
@@ -212,25 +227,31 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in s["added_tokens"]}
         self.labels = {i: t for t, i in (m["vocab"] | self.special).items()}
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"].replace(r"^\s", "^ "))
+        cutter = tokenizers.Tokenizer.from_str(json.dumps(s | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self.normalizer, self.cutter = cutter.normalizer, cutter.pre_tokenizer
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.parts = TwoGenerations(self._part, CACHE_BYTES)
+        self.parts = TwoGenerations(self._part, CACHE_BYTES // 2)
+        self.symbols = TwoGenerations(self._symbols, CACHE_BYTES // 2)
         self.words = TwoGenerations(self._word, CACHE_BYTES)
         self.bytes = byte_symbols()
 
     def _word(self, word: str) -> bytes:
         """Of a stretch of text that white space doesn't cut, or that has no white space but what ODD finds."""
-        if word.isascii():
-            plain = word.lower()
-            if plain.isalpha():  # one piece
-                return self._part(word) if plain == word else self.parts[plain]
-            if ODD.search(plain):
-                plain = SPACES.sub(" ", plain)
-        else:
-            plain = SPACES.sub(" ", unicodedata.normalize("NFC", word)).replace("Σ", "σ").lower()
+        if not word.isascii():
+            return b"".join([self.symbols[p] for p, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(word))])
+        plain = word.lower()
+        if plain.isalpha():  # one piece
+            return self._part(word) if plain == word else self.parts[plain]
+        if ODD.search(plain):
+            plain = SPACES.sub(" ", plain)
         return b"".join([self.parts[p] for p in self.pieces.findall(plain)])
 
     def _part(self, word: str) -> bytes:
-        return np.array(self.automaton.encode("".join([self.bytes[b] for b in word.encode()])), "<u4").tobytes()
+        """Of an ASCII piece: its printable characters are their own symbols."""
+        return self._symbols("".join([self.bytes[b] for b in word.encode()]))
+
+    def _symbols(self, word: str) -> bytes:
+        return np.array(self.automaton.encode(word), "<u4").tobytes()
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
