@@ -347,6 +347,24 @@ def slow_probabilities(net, text):
     return sums / sums.sum()
 
 
+@tables
+def test_stage_rejects_texts_in_no_learned_language(spark):
+    """Texts in scripts and languages that the labels lack go; every document of the tables stays, but for those without a letter."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    foreign = ["Это текст на русском языке, который никто не видел раньше.", "这是一个中文文本，没有人见过它。", "これは日本語のテキストです。", "Αυτό είναι ένα ελληνικό κείμενο.", "هذا نص باللغة العربية", "Wczoraj poszedłem do sklepu, żeby kupić chleb i mleko."]
+    rows = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate([*foreign, *(t * 200 for t in foreign), "12 + 34", ""])], docs.schema)
+    kept = {r[0] for r in language_id.stage(spark, docs.unionByName(rows), "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if language_id.has_letters(r["text"])}
+
+
+def test_alien_texts_keep_signs_and_words():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        got = language_id.alien("Abba, 12 ça!", rng)
+        assert len(got) == 12 and got[0] == got[3] and got[1] == got[2] != got[0] and got[4:9] == ", 12 " and got[10] == got[0] and got[11] == "!"
+    assert language_id.with_none([]) == [] and language_id.train(language_id.with_none([])) is None
+
+
 def test_pooled_probabilities_equal_a_plain_loop():
     net = language_id.Network(["a", "b", "c"], 5, seed=3)
     texts = ["Hello, World 12!", "é" * 100, "x", "ABC def " * 60, None, "123", "the " * 30000]

@@ -11,6 +11,10 @@ such documents with the least hash; all of their text is cut into pieces of `PIE
 the least hash are learned from (all of them, where there are fewer), so PIECES * PIECE characters at most reach the driver,
 however large the corpus or a text is. Pieces that are equal are learned once.
 
+The pipeline's stage must also tell texts in none of the languages: its network learns one more class, NONE, from pieces made out of
+the learned ones (`alien`): the same words and signs, but their letters exchanged for other letters of the alphabet, or
+for letters of a drawn script. A document is rejected if the mean probability of that class over its letters is ALIEN or more.
+
 Defined cases: a null text or one without letters is `und` with score 0; if nothing can be learned from, every text is
 `und`; a null id isn't held out and isn't learned from; ties go to the language that sorts first; equal rows get equal
 results; a text of any length is read whole, BLOCK stretches at a time; no rows give no rows; input columns named held_out,
@@ -39,9 +43,12 @@ BATCH = 160
 #: Documents and characters whose stretches are held at once (a longer text by itself), and stretches that the network reads at once.
 SLICE, SLICE_CHARS = 500, 500_000
 BLOCK = 2048
-#: The pipeline's stage rejects a document whose score is under LEAST_SHARE of what guessing among the languages gives: next to
-#: no document with letters, since short texts in a known language get low scores too.
-LEAST_SHARE = 1.05
+#: The class of texts in none of the languages, its pieces for each learned piece, training steps with it, and the score in it from which the
+#: pipeline's stage rejects a document.
+NONE = "und"
+ALIENS = 0.5
+STEPS_NONE = 1000
+ALIEN = 0.8
 LETTER_BYTES = np.array([(65 <= c <= 90) or (97 <= c <= 122) or c >= 128 for c in range(256)])
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -166,6 +173,23 @@ def train(pieces: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = STEP
     return net
 
 
+def alien(text: str, rng: np.random.Generator) -> str:
+    """The text in a made-up language: each letter, as one and the same each time, as a drawn letter of a-z or of a drawn script."""
+    if rng.random() < 0.5:
+        to = [chr(97 + i) for i in rng.permutation(26)]
+    else:
+        first = int(rng.integers(0xA1, 0xD7A0))
+        to = [chr(first + i) for i in rng.permutation(26)]
+    letters = {x: to[i % 26] for i, x in enumerate(sorted({c for c in text.lower() if c.isalpha()}))}
+    return "".join([letters.get(c, c) for c in text.lower()])
+
+
+def with_none(pieces: list[tuple[str, str]], seed: int = 5) -> list[tuple[str, str]]:
+    """The pieces and, for a share ALIENS of them, one each in no language."""
+    rng, pieces = np.random.default_rng(seed), sorted(pieces)
+    return pieces + [(alien(t, rng), NONE) for t, _ in pieces if rng.random() < ALIENS]
+
+
 def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.encode(key.cast("string"), "UTF-8")), F.lit(4)) == 2
 
@@ -238,11 +262,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in a language: without `und` and without those that the network can't tell from a guess among its languages."""
-    net = learned(docs)
+    """The documents in one of the languages: without those that have no letter and those that the network holds to be in none."""
+    net = train(with_none(sample(docs, "doc_id", "text", "lang")), steps=STEPS_NONE)
     got = identified(spark, with_row(docs, "doc_id", "text"), net)
-    n = len(net.langs) if net else 0
-    kept = got.where((F.col("lang_pred") != "und") & (F.col("score") >= F.lit(LEAST_SHARE / n if n > 1 else 0.0)))
+    kept = got.where((F.col("lang_pred") != NONE) | ((F.col("score") > 0) & (F.col("score") < ALIEN)))
     return kept.select(*unpacked(docs))
 
 
