@@ -357,6 +357,31 @@ def test_stage_rejects_texts_in_no_learned_language(spark):
     assert kept == {r["doc_id"] for r in docs.collect() if language_id.has_letters(r["text"])}
 
 
+@tables
+def test_stage_keeps_short_texts_with_keys_and_doubts_few_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    net = language_id.train(language_id.with_none(language_id.sample(docs, "doc_id", "text", "lang")), steps=language_id.STEPS_NONE)
+    rng, texts = np.random.default_rng(77), [r["text"] for r in docs.where("length(text) > 200").limit(300).collect()]
+    keyed = [language_id.with_key(t, rng) for t in texts]
+    keyed += [k.replace(max(k.split(), key=len), "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))) for k in keyed]
+    got = language_id.pooled(net, keyed, language_id.DOUBT)
+    assert sum(k == language_id.NONE and x >= language_id.ALIEN for k, x in got) <= 1
+    few, many = language_id.pooled(net, ["Привет", "Это текст на русском языке, который никто не видел раньше."], language_id.DOUBT)
+    assert few[1] < language_id.ALIEN <= many[1] and few[0] == many[0] == language_id.NONE
+    sure = language_id.pooled(net, ["Привет"])[0]
+    assert few[1] == pytest.approx(sure[1] * 12 / (12 + language_id.DOUBT))
+
+
+def test_a_drawn_word_stands_among_whole_words():
+    rng = np.random.default_rng(2)
+    for text in ["", "one", "some words of a text " * 9]:
+        for _ in range(30):
+            got = language_id.with_key(text, rng).split()
+            drawn = [w for w in got if w not in text.split()]
+            assert len(drawn) == 1 and 8 <= len(drawn[0]) <= 24 and drawn[0].isalnum()
+            assert " ".join(w for w in got if w in text.split()) in text
+
+
 def test_alien_texts_keep_signs_and_words():
     rng = np.random.default_rng(1)
     for _ in range(50):

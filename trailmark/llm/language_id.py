@@ -43,12 +43,14 @@ BATCH = 160
 #: Documents and characters whose stretches are held at once (a longer text by itself), and stretches that the network reads at once.
 SLICE, SLICE_CHARS = 500, 500_000
 BLOCK = 2048
-#: The class of texts in none of the languages, its pieces for each learned piece, training steps with it, and the score in it from which the
-#: pipeline's stage rejects a document.
+#: The class of texts in none of the languages, its pieces for each learned piece, pieces with a drawn word for each learned piece, training
+#: steps with them, and the score from which the pipeline's stage rejects a document, with the bytes counted against it.
 NONE = "und"
 ALIENS = 0.5
-STEPS_NONE = 1000
+KEYS = 0.3
+STEPS_NONE = 1200
 ALIEN = 0.8
+DOUBT = 8
 LETTER_BYTES = np.array([(65 <= c <= 90) or (97 <= c <= 122) or c >= 128 for c in range(256)])
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -184,10 +186,21 @@ def alien(text: str, rng: np.random.Generator) -> str:
     return "".join([letters.get(c, c) for c in text.lower()])
 
 
+def with_key(text: str, rng: np.random.Generator) -> str:
+    """A run of the text's words, of 16 to 64 characters in all, with a word of 8 to 24 drawn letters and digits before, in or after it."""
+    words, chars = text.split(), int(rng.integers(16, 65))
+    run = words[int(rng.integers(len(words))) :] if words else []
+    run = run[: max(1, int(np.searchsorted(np.cumsum([len(w) + 1 for w in run]), chars)))]
+    key = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), int(rng.integers(8, 25))))
+    at = int(rng.integers(len(run) + 1))
+    return " ".join([*run[:at], key, *run[at:]])
+
+
 def with_none(pieces: list[tuple[str, str]], seed: int = 5) -> list[tuple[str, str]]:
-    """The pieces and, for a share ALIENS of them, one each in no language."""
+    """The pieces and, for a share ALIENS of them, one each in no language, for a share KEYS one each with a drawn word."""
     rng, pieces = np.random.default_rng(seed), sorted(pieces)
-    return pieces + [(alien(t, rng), NONE) for t, _ in pieces if rng.random() < ALIENS]
+    aliens = [(alien(t, rng), NONE) for t, _ in pieces if rng.random() < ALIENS]
+    return pieces + aliens + [(with_key(t, rng), k) for t, k in pieces if rng.random() < KEYS]
 
 
 def held_out(key: Column) -> Column:
@@ -209,16 +222,19 @@ def sample(docs: DataFrame, id_col: str, text: str, lang: str) -> list[tuple[str
     return [(r["p"], r["lang"]) for r in got]
 
 
-def pooled(net: Network | None, texts: list[str | None]) -> list[tuple[str, float]]:
-    """(language, score) of each text."""
+def pooled(net: Network | None, texts: list[str | None], doubt: float = 0) -> list[tuple[str, float]]:
+    """(language, score) of each text; the score of NONE is taken with doubt more bytes for which it is 0."""
     got = [("und", 0.0)] * len(texts)
     at = [i for i, t in enumerate(texts) if has_letters(t)] if net else []
     if at:
         rows = [stretches(texts[i].encode("utf-8", "replace")) for i in at]
         starts = np.cumsum([0, *(len(r) for r in rows[:-1])])
         sums = np.add.reduceat(net.label(np.concatenate(rows)).astype(np.float64), starts, axis=0)
-        p = sums / sums.sum(1, keepdims=True)
-        for i, k, x in zip(at, p.argmax(1).tolist(), np.clip(p.max(1), 0, 1).tolist()):
+        letters = sums.sum(1)
+        first = sums.argmax(1)
+        none = np.array([k == NONE for k in net.langs])[first]
+        score = np.clip(sums.max(1) / (letters + doubt * none), 0, 1)
+        for i, k, x in zip(at, first.tolist(), score.tolist()):
             got[i] = net.langs[k], x
     return got
 
@@ -241,14 +257,14 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
     return train(sample(docs, id_col, text, lang))
 
 
-def identified(spark: SparkSession, docs: DataFrame, net: Network | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the columns held_out, lang_pred and score."""
+def identified(spark: SparkSession, docs: DataFrame, net: Network | None, id_col: str = "doc_id", text: str = "text", doubt: float = 0) -> DataFrame:
+    """docs with the columns held_out, lang_pred and score; doubt as in `pooled`."""
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        got = [x for part in slices(texts.tolist()) for x in pooled(sent.value, part)]
+        got = [x for part in slices(texts.tolist()) for x in pooled(sent.value, part, doubt)]
         return pd.DataFrame(got, columns=["lang_pred", "score"])
 
     rows = with_row(docs, id_col, text).toDF("__row", "k", "t")
@@ -264,7 +280,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in one of the languages: without those that have no letter and those that the network holds to be in none."""
     net = train(with_none(sample(docs, "doc_id", "text", "lang")), steps=STEPS_NONE)
-    got = identified(spark, with_row(docs, "doc_id", "text"), net)
+    got = identified(spark, with_row(docs, "doc_id", "text"), net, doubt=DOUBT)
     kept = got.where((F.col("lang_pred") != NONE) | ((F.col("score") > 0) & (F.col("score") < ALIEN)))
     return kept.select(*unpacked(docs))
 
