@@ -314,6 +314,26 @@ def test_routing_and_latest(spark):
     assert sorted((r["k"], r["at"], r["m"]) for r in files.latest_rows(t, ["k"], "at").collect()) == [(1, 7, {"b": 2}), (2, None, {"c": 3})]
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_least_from_equals_a_loop_over_any_ranges(spark, parts):
+    rng = random.Random(5)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for _ in range(3):
+            have = {rng.randrange(400): rng.choice(["a", "b", None]) for _ in range(30)}
+            asked = set(rng.sample(range(-20, 420), 200))
+            h = spark.createDataFrame([*have.items(), (None, "never")], "v int, m string")
+            got = {r["v"]: r["m"] for r in windows.least_from(h, spark.createDataFrame([(v,) for v in asked], "v long"), "v", "m").collect()}
+            assert got == {v: have[min(up)] if (up := [x for x in have if x >= v]) else None for v in asked}
+        empty = windows.least_from(h.limit(0), spark.createDataFrame([(3,)], "v long"), "v", "m")
+        assert [tuple(r) for r in empty.collect()] == [(3, None)] and windows.least_from(h, h.select("v").limit(0), "v", "m").count() == 0
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
 def test_nearest_equals_all_pairs(spark):
     from trailmark.operators import similarity
     rng = random.Random(1)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.windows import least_from
+
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Pow: operator.pow}
 _ALLOWED = frozenset("0123456789+-*/(). ")
 INVALID = "Error: invalid characters in expression"
@@ -157,11 +159,10 @@ def recorded(requests: DataFrame, responses: DataFrame, keys: list[str], default
 
 
 def routed(models: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests(id, need) with the least able model(model, capability, seq) that is able enough; null without one. An as-of lookup:
-    both sides in one order of capability, each need answered once, whatever number of models or requests there is."""
-    able = models.groupBy("capability").agg(F.min(F.struct("seq", "model")).alias("m")).select("capability", "m.model")
-    needs = requests.select("need").distinct()
-    met = needs.join(able, F.col("capability") >= F.col("need")).groupBy("need").agg(F.min(F.struct("capability", "model")).alias("x")).select("need", "x.model")
+    """requests(id, need) with the least able model(model, capability, seq) that is able enough, of equally able ones the first; null
+    without one, or without a need."""
+    able = models.groupBy("capability").agg(F.min(F.struct("seq", "model")).alias("m")).select(F.col("capability").alias("need"), "m.model")
+    met = least_from(able, requests.select("need").where("need IS NOT NULL").distinct(), "need", "model")
     return requests.join(met, "need", "left").select("id", "model")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, default: Column | None = None) -> DataFrame:
     """left with the last `value` of right at or before its time: both sides in one sorted pass, no pairs."""
@@ -91,3 +93,20 @@ def since_baseline(windows: DataFrame, keys: list[str], order: str, actor_applie
     """windows with `compressed`: those before the last apply of the actor in the whole run."""
     last = F.max(F.when(F.col(actor_applied), F.col(order))).over(Window.partitionBy(*keys))
     return windows.withColumn("compressed", F.coalesce(F.col(order) < last, F.lit(False)))
+
+
+def least_from(have: DataFrame, asked: DataFrame, value: str, what: str) -> DataFrame:
+    """asked(value), its values distinct and not null, each with `what` of the row of have(value, what) that has the least value no
+    less than it; null without one. have's values are distinct; null ones are never found.
+
+    An as-of lookup without a key to part it by: both sides are cut into ranges of the value, a range is taken once, downwards, and what
+    the next range begins with is handed on. So no task sees a whole side, and rows aren't compared by pairs."""
+    rows = have.where(F.col(value).isNotNull()).select(value, F.struct(what).alias("w"))
+    both = rows.unionByName(asked.select(value), allowMissingColumns=True).repartitionByRange(value)
+    cut = kept(both.withColumn("part", F.spark_partition_id()))  # written, so that the ranges stay as they were drawn
+    down = Window.partitionBy("part").orderBy(F.desc(value), F.col("w").isNull())
+    own = cut.withColumn("found", F.last("w", ignorenulls=True).over(down)).where(F.col("w").isNull())
+    first = cut.groupBy("part").agg(F.min(F.when(F.col("w").isNotNull(), F.struct(value, "w"))).alias("first"))
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range: as many as shuffle partitions
+    handed = first.select("part", F.last("first", ignorenulls=True).over(above)["w"].alias("next"))
+    return own.join(F.broadcast(handed), "part").select(value, F.coalesce("found", "next")[what].alias(what))
