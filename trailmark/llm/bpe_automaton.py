@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bare, bounded_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
-STATES = 80_000
-ARCS = 160_000
-CACHE_BYTES = 24_000_000
+STATES = 200_000
+ARCS = 600_000
+CACHE_BYTES = 48_000_000
 LONG = 64
 #: Documents whose results are held at once.
 SLICE = 1000
