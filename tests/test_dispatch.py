@@ -78,6 +78,28 @@ def test_dispatch_without_calls_or_documents(spark):
     assert answers.first()["answer"] == docdb.ERRORS["order"]
 
 
+def test_many_small_components_share_a_group(spark):
+    """A thousand users of two orders each: no rounds of components, one group, and each component sees its own documents only."""
+    orders = [(f"o{i}", f"u{i // 2}", "pending", "here", [("payment", 5.0, "gift_card_1")]) for i in range(2000)]
+    users = [(f"u{i}", "home", {"gift_card_1": ("gift_card", float(i))}) for i in range(1000)]
+    t = {"orders": dispatch.Table(spark.createDataFrame(orders, ORDERS), "order_id", {"user_id": "users"}), "users": dispatch.Table(spark.createDataFrame(users, USERS), "user_id")}
+    seen = {"seen": dispatch.Tool(lambda state, order_id: ",".join(f"{tab}:{len(docs)}" for tab, docs in sorted(state.items())), (("orders", "order_id"),))}
+    c = spark.createDataFrame([(i, "seen", json.dumps({"order_id": f"o{i}"})) for i in range(2000)], "seq long, tool string, args string")
+    placed, docs = dispatch.placed(c, t, seen)
+    assert placed.select("root").distinct().count() == 1000 and placed.select("block").distinct().count() == 1 and docs.count() == 3000
+    assert {r["answer"] for r in dispatch.answers(dispatch.played(c, t, seen, what="answers")).collect()} == {"orders:2,users:1"}
+
+
+def test_documents_that_refer_to_each_other_are_one_component(spark):
+    """Chains and rings of references, and calls about two documents, are linked by rounds."""
+    refer = {"a": "b", "b": "c", "c": None, "d": "e", "e": "d", "f": None, "g": None, "h": "x"}
+    t = {"things": dispatch.Table(spark.createDataFrame(list(refer.items()), "k string, other string"), "k", {"other": "things"})}
+    tools = {"one": dispatch.Tool(lambda state, a: "".join(sorted(state["things"])), (("things", "a"),)), "two": dispatch.Tool(lambda state, a, b: "".join(sorted(state["things"])), (("things", "a"), ("things", "b")))}
+    rows = [(i, "one", json.dumps({"a": k})) for i, k in enumerate("abcdegh")] + [(9, "two", json.dumps({"a": "f", "b": "e"})), (10, "two", json.dumps({"a": "g", "b": "g"}))]
+    got = {r["seq"]: r["answer"] for r in dispatch.dispatch(spark.createDataFrame(rows, "seq long, tool string, args string"), t, tools)[0].collect()}
+    assert got == {0: "abc", 1: "abc", 2: "abc", 3: "def", 4: "def", 5: "g", 6: "h", 9: "def", 10: "g"}
+
+
 def test_components_of_random_links(spark):
     r = random.Random(2)
     links = [(f"{r.randrange(300):03}", f"{r.randrange(300):03}") for _ in range(220)] + [("000", f"{i}") for i in range(400, 460)] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)]
