@@ -74,6 +74,25 @@ def test_ladders_of_any_range(spark, least, most):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # every step is a written table
 
 
+def test_ladders_shuffle_no_candidates(spark):
+    """All words of two letters of 16: each step meets every word from each of 30 others, but only lists and reached words are shuffled."""
+    w = spark.createDataFrame([(a + b,) for a in "0123456789abcdef" for b in "0123456789abcdef"], "w string")
+    edges = settlement.kept(settlement.neighbours(w, "w"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ladders", "")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of any size
+    try:
+        got = settlement.ladders(edges, w.select(F.col("w").alias("source")), 2, 3)
+        assert got.count() == 256 * 225 and got.where("hops = 3").count() == 0
+        stages = {s for j in tracker.getJobIdsForGroup("ladders") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    rows = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert rows < 300_000  # the last step's candidates alone are 256 * 225 * 30
+
+
 def vectors(n, seed, groups=0):
     g = np.random.default_rng(seed)
     x = g.normal(size=(n, 16)) + (g.normal(size=(groups, 16)) * 6)[g.integers(0, groups, n)] if groups else g.normal(size=(n, 16))
