@@ -90,7 +90,7 @@ def test_ladders_shuffle_no_candidates(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     store = spark.sparkContext._jsc.sc().statusStore()
     rows = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
-    assert rows < 300_000  # the last step's candidates alone are 256 * 225 * 30
+    assert rows < 250_000, rows  # the last step's candidates alone are 256 * 225 * 30
 
 
 def vectors(n, seed, groups=0):
