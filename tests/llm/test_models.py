@@ -262,6 +262,38 @@ def test_long_words_and_a_small_table(tok, monkeypatch):
     assert tok.encode(texts[1]) == lib.encode(texts[1], add_special_tokens=False).ids
 
 
+def test_guises_of_a_piece_are_encoded_once(monkeypatch):
+    with open(bpe_automaton.path_of(), encoding="utf-8") as f:
+        spec = f.read()
+    tok, asked = bpe_automaton.Tokenizer(spec), []
+    encode = tok.automaton.encode
+    monkeypatch.setattr(tok.automaton, "encode", lambda w: asked.append(w) or encode(w))
+    tok.packed("inwher Inwher INWHER inwher### Inwher, inwher,### Inwher### réinwher réinwher### réinwher, it's###")
+    assert len(asked) == len(set(asked)) == 7
+
+
+def test_marks_behind_words_equal_the_library(tok):
+    from tokenizers import Tokenizer
+    lib, rng = Tokenizer.from_file(bpe_automaton.path_of()), random.Random(8)
+    ends = [*map(chr, range(33, 127)), *"éßİ\u0301\u0338。日²Ⅷ\x01\x7f\xad\u200d"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(ends) for _ in range(rng.randint(0, 4))) + rng.choice(["", "a", "É", "'s", "e\u0301Z"]) + "".join(rng.choice(ends[:15] + ends[-9:]) for _ in range(rng.randint(0, 4)))
+        assert tok.encode(t) == lib.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_a_worker_keeps_its_tokenizer_between_tasks(spark):
+    rows = spark.createDataFrame([(i, f"word{i}", "f") for i in range(8)], DOC)
+    bpe_automaton.encoded(spark, rows).collect()
+
+    def kept(batches):
+        from trailmark.llm import bpe_automaton as here
+
+        for b in batches:
+            yield b.assign(id=here.tokenizer_of.cache_info().currsize)
+
+    assert max(r["id"] for r in spark.range(0, 8, 1, 4).mapInPandas(kept, "id long").collect()) == 1
+
+
 def test_encoded_rows(spark, tok):
     rows = spark.createDataFrame([(1, None, "f"), (2, "the the", "f"), (2, "the the", "f"), (3, "word " * 400_000, "f")], DOC).withColumns({c: F.lit("mine") for c in ("id", "t", "n_tokens", "ids")})
     got = {r["id"]: r for r in bpe_automaton.encoded(spark, rows, with_ids=True).collect()}

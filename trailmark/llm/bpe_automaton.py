@@ -18,6 +18,8 @@ states them, so that letters, case pairs and combining classes are those of its
 
 Memory in a Python worker is bounded: STATES and ARCS of the table, kept in two generations, so that what was used lately
 survives when one is full; CACHE_BYTES of each cache of encoded words, in which no word of over LONG characters stands.
+Most words of a text are met again, the rest are few pieces in many guises (letter case, marks behind them), so words and
+their pieces are cached apart, and a piece is encoded once for all its guises.
 
 Defined cases: a null or empty text has no tokens; words have no bound of length; special tokens that stand in a text as
 such are matched before normalization; equal rows get equal results; no rows give no rows; further columns, of whatever
@@ -28,7 +30,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
+import struct
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,13 +46,18 @@ from .common import bare, bounded_batches, table
 TOKENIZER = "word_bpe_49k.json"
 STATES = 200_000
 ARCS = 600_000
-CACHE_BYTES = 48_000_000
+CACHE_BYTES = 96_000_000
 LONG = 64
 #: Documents whose results are held at once.
 SLICE = 1000
 #: Bytes of a cache's entry besides its texts.
 ENTRY = 200
 OPEN = 1 << 60
+#: Bits of a symbol and of a token in the table.
+SYMBOL, TOKEN = 12, 24
+LAST = (1 << TOKEN) - 1
+#: ASCII that stands in one piece with its like only, whatever comes before it, unless that is such a mark too.
+MARKS = string.punctuation.replace("'", "")
 #: White space to str.split() that isn't white space to the tokenizer.
 ODD = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -122,14 +132,15 @@ class Automaton:
             read = [*text[:-1], text[-1] + self.suffix] if end else [*text]
             node = 0
             for x in read:
-                arc = node << 12 | self.symbols.setdefault(x, len(self.symbols))
+                arc = node << SYMBOL | self.symbols.setdefault(x, len(self.symbols))
                 if arc not in self.trie:
                     self.trie[arc] = len(self.token)
                     self.token.append(-1)
                 node = self.trie[arc]
             self.token[node], self.size[i] = i, len(read)
-        if len(self.symbols) >= 1 << 12:
-            raise ValueError("too many base symbols")
+        if len(self.symbols) >= 1 << SYMBOL or max(made.values(), default=0) > LAST:
+            raise ValueError("too many base symbols or tokens")
+        self.last = {x.removesuffix(self.suffix): n for x, n in self.symbols.items() if x.endswith(self.suffix)}
         self.clear()
 
     def clear(self) -> None:
@@ -150,12 +161,12 @@ class Automaton:
     def onward(self, state: tuple, symbol: int) -> tuple[tuple, int]:
         """The state that an arc leads to and the token that it carries: as the older generation has it, else made."""
         states, numbers, table = self.old
-        to = table.get(numbers.get(state, -1) << 12 | symbol)
+        to = table.get(numbers.get(state, -1) << SYMBOL | symbol)
         if to is not None:
-            return states[to >> 32], to & 0xFFFFFFFF
+            return states[to >> SYMBOL + TOKEN], to & LAST
         last, nodes = -1, []
         for node, before in state:
-            step = self.trie.get(node << 12 | symbol)
+            step = self.trie.get(node << SYMBOL | symbol)
             if step is not None:
                 nodes.append((step, before))
                 t = self.token[step]
@@ -181,35 +192,36 @@ class Automaton:
         return False
 
     def build(self, state: int, symbol: int) -> int:
-        """The arc of a state by a symbol: the next state << 32 | the token that it carries. A full generation becomes the older one."""
+        """The arc of a state by a symbol: the next state, zeros for its symbol, the token that it carries. A full generation becomes the older one."""
         start = self.states[state]
         if len(self.states) >= STATES // 2 or len(self.table) >= ARCS // 2:
             kept = self.states, self.numbers, self.table
             self.clear()
             self.old = kept
         to, last = self.onward(start, symbol)
-        arc = self.number(start) << 12 | symbol
-        self.table[arc] = self.number(to) << 32 | last
+        arc = self.number(start) << SYMBOL | symbol
+        self.table[arc] = self.number(to) << SYMBOL + TOKEN | last
         return self.table[arc]
 
     def encode(self, word: str) -> list[int]:
         """Ids of a word in byte symbols."""
         if not word:
             return []
-        read = list(map(self.symbols.get, [*word[:-1], word[-1] + self.suffix]))
+        read = [*map(self.symbols.get, word[:-1]), self.last.get(word[-1])]
         if None in read:
             raise ValueError("a symbol without an id")
-        table, state, came = self.table, 0, []
+        table, at, came = self.table, 0, []  # at: a state with zeros for its symbol
         for x in read:
-            to = table.get(state << 12 | x)
-            if to is None:
-                to = self.build(state, x)
+            try:
+                to = table[at | x]
+            except KeyError:
+                to = self.build(at >> SYMBOL, x)
                 table = self.table
-            came.append(to & 0xFFFFFFFF)
-            state = to >> 32
+            came.append(to)
+            at = to >> TOKEN
         out, i, size = [], len(came), self.size
         while i:
-            t = came[i - 1]
+            t = came[i - 1] & LAST
             out.append(t)
             i -= size[t]
         return out[::-1]
@@ -236,22 +248,37 @@ class Tokenizer:
         self.bytes = byte_symbols()
 
     def _word(self, word: str) -> bytes:
-        """Of a stretch of text that white space doesn't cut, or that has no white space but what ODD finds."""
+        """Of a stretch of text without white space."""
         if not word.isascii():
-            return b"".join([self.symbols[p] for p, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(word))])
+            body = word.rstrip(MARKS)
+            if len(body) < len(word) and body[-1] in string.ascii_letters:  # marks never combine with what is before them
+                return self.words[body] + self.parts[word[len(body) :]]
+            return self._cut(word)
         plain = word.lower()
         if plain.isalpha():  # one piece
-            return self._part(word) if plain == word else self.parts[plain]
-        if ODD.search(plain):
-            plain = SPACES.sub(" ", plain)
+            return self.parts[plain]
+        body = plain.rstrip(MARKS)
+        if body.isalpha():  # two
+            return self.parts[body] + self.parts[plain[len(body) :]]
         return b"".join([self.parts[p] for p in self.pieces.findall(plain)])
 
+    def _cut(self, text: str) -> bytes:
+        """Of a text cut by the library."""
+        return b"".join([self.symbols[p] for p, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(text))])
+
+    def _odd(self, text: str) -> bytes:
+        """Of a text with what ODD finds."""
+        if not text.isascii():
+            return self._cut(text)
+        return b"".join([self.parts[p] for p in self.pieces.findall(SPACES.sub(" ", text.lower()))])
+
     def _part(self, word: str) -> bytes:
         """Of an ASCII piece: its printable characters are their own symbols."""
-        return self._symbols("".join([self.bytes[b] for b in word.encode()]))
+        return self._symbols(word if word.isalpha() else "".join([self.bytes[b] for b in word.encode()]))
 
     def _symbols(self, word: str) -> bytes:
-        return np.array(self.automaton.encode(word), "<u4").tobytes()
+        ids = self.automaton.encode(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -262,7 +289,7 @@ class Tokenizer:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif ODD.search(part):
-                out.append(self._word(part))
+                out.append(self._odd(part))
             else:
                 out += [words[w] for w in part.split()]
         return b"".join(out)
@@ -274,6 +301,12 @@ class Tokenizer:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
+@lru_cache(1)
+def tokenizer_of(spec: str) -> Tokenizer:
+    """Compiled once a Python worker, whose tasks go on with its table and caches; Spark ends workers that are idle."""
+    return Tokenizer(spec)
+
+
 def path_of(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -283,7 +316,7 @@ def path_of(name: str = TOKENIZER) -> str:
 def encoded(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), and with with_ids the ids themselves, of each row.
 
-    The tokenizer file is read by the driver only and sent to the workers, which compile it once a task.
+    The tokenizer file is read by the driver only and sent to the workers, which compile it once.
     """
     bounded_batches(spark)
     with open(path or path_of(), encoding="utf-8") as f:
@@ -292,7 +325,7 @@ def encoded(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = Tokenizer(spec.value)  # a second or two, of a task of minutes; kept between tasks, it would stay in each worker for good
+        tok = tokenizer_of(spec.value)
         for b in (whole.iloc[i : i + SLICE] for whole in batches for i in range(0, len(whole), SLICE)):
             n, ids, decoded, lists = [], [], [], []
             for t in b["t"]:
