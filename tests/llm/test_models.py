@@ -90,6 +90,13 @@ def test_the_tally_drops_candidates(spark):
     assert n.count(1) == 20 and n.count(35) == 20 and len(n) == 40 and simhash_dedup.links(frame).count() == 20
 
 
+def test_postings_are_never_broadcast(spark):
+    """Spark takes them for as small as the table of fingerprints, of which each makes 70."""
+    prints = simhash_dedup.written(spark, spark.range(1000).select(F.xxhash64("id").alias("fp")), "prints")
+    plan = simhash_dedup.tallied(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash_dedup.components(spark, edges).collect()}

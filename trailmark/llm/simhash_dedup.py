@@ -84,7 +84,8 @@ def tallied(prints: DataFrame, bits: int = BITS) -> DataFrame:
     # A few fingerprints make many postings, so these are made by as many tasks as there may be; by a hash of fp, since a repartitioning
     # by fp itself would be left out after the aggregation by fp, and that one's partitions merged.
     index = postings(prints.repartition(tasks, F.xxhash64("fp")), bits)
-    met = index.alias("a").join(index.alias("b"), (F.col("a.list") == F.col("b.list")) & (F.col("a.fp") < F.col("b.fp")))
+    # Spark takes the postings for as small as the fingerprints that they are made of, and would broadcast them.
+    met = index.alias("a").hint("merge").join(index.alias("b"), (F.col("a.list") == F.col("b.list")) & (F.col("a.fp") < F.col("b.fp")))
     return met.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
