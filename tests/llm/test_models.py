@@ -97,6 +97,15 @@ def test_postings_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_bands_are_never_broadcast(spark):
+    from trailmark.llm import minhash_dedup
+    nodes = simhash_dedup.written(spark, spark.range(6).select(F.col("id").alias("node"), F.array(F.lit(7), F.col("id") % 2 + 10, F.col("id") + 20).alias("bands")), "nodes")
+    met = minhash_dedup.shared_bands(nodes)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, met.select("h", "node", "k", "rep", "c").collect())) == sorted([(7, i, 0, 0, 6) for i in range(6)] + [(10 + i % 2, i, 1, i % 2, 3) for i in range(6)])
+
+
 def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash_dedup.components(spark, edges).collect()}

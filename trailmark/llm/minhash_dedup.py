@@ -145,12 +145,17 @@ def positions_shared(pairs: DataFrame, nodes: DataFrame, least: int = LEAST) ->
     return pairs.join(one("a"), "a").join(one("b"), "b").where(shared("sa", "sb") >= least).select("a", "b")
 
 
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(h, node, k, rep, c): each node in each of its lists h of band k that has more nodes; the list's least node and their number."""
+    bands = nodes.select("node", F.posexplode("bands").alias("k", "h"))
+    shared = bands.groupBy("h").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return bands.hint("merge").join(shared, "h")  # Spark takes the 32 bands of a node for as small as one
+
+
 def roots_of(spark: SparkSession, docs: DataFrame, nodes: DataFrame, id_col: str, text: str, shingle: int, more: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes (node, key, bands, sig, n) that are linked with another; key is the row_key of one of the node's
     rows in docs. more: further candidate pairs (a, b), confirmed like those of the bands."""
-    bands = nodes.select("node", F.posexplode("bands").alias("k", "h"))
-    shared = bands.groupBy("h").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = written(spark, bands.join(shared, "h"), "bands")
+    met = written(spark, shared_bands(nodes), "bands")
     first = positions_shared(met.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), nodes)
     pairs = written(spark, first.unionByName(more).distinct() if more is not None else first, "pairs")
     ends = met.where("c > 2").select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -201,7 +206,8 @@ def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op12_minhash_near_dedup": op12_minhash_near_dedup}
 #: Pairs over an index of all shingles, then the closure of the links.
 SQL = {
-    "op12_minhash_near_dedup": r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+    "op12_minhash_near_dedup": r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, greatest(2, len(w) - 2))]) AS s FROM d WHERE len(w) > 0),
 n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), u AS (SELECT doc_id, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
