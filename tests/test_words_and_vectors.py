@@ -93,6 +93,55 @@ def test_ladders_shuffle_no_candidates(spark):
     assert rows < 250_000, rows  # the last step's candidates alone are 256 * 225 * 30
 
 
+def generated(spark, since):
+    """Rows that explodes made in the SQL executions after `since`."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    all_of = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    rows = 0
+    for k in (e.executionId() for e in all_of(store.executionsList()) if e.executionId() > since):
+        metrics = store.executionMetrics(k)
+        for node in all_of(store.planGraph(k).allNodes().toSeq()):
+            if node.name() == "Generate":
+                rows += sum(int(metrics.apply(m.accumulatorId()).replace(",", "")) for m in all_of(node.metrics().toSeq()) if m.name() == "number of output rows" and metrics.contains(m.accumulatorId()))
+    return rows
+
+
+def test_far_ladders_make_few_rows(spark, tmp_path):
+    """1,593 words of three letters: what a step reaches has few keys that are new, but many neighbours, nearly all known."""
+    from trailmark.plans import registry
+    spark.range(0, 6_000, 3).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = spark._jsparkSession.sharedState().statusStore().executionsList()
+    last = max(before.apply(i).executionId() for i in range(before.size()))
+    got = registry.queries()["GME_25_word_ladder_far"](spark, str(tmp_path)).count()
+    rows = generated(spark, last)
+    assert got > 2_000_000 and 0 < rows < 8 * got, (got, rows)
+
+
+@pytest.mark.parametrize("least, most", [(1, 1), (2, 5), (0, 3), (3, 2)])
+def test_word_ladders_equal_those_over_neighbours(spark, least, most):
+    r = random.Random(8)
+    words = {"".join(r.choice(a) for _ in range(n)) for a, n in (("abc", 2), ("abc", 4), ("aé\uffff𝔸", 3), ("*ab", 3)) for _ in range(30)}
+    long = "xy" * 70
+    words |= {long[:i] + c + long[i + 1 :] for i in (0, 62, 63, 64, 126, 139) for c in "pq"} | {"p" + long[1:63] + "q" + long[64:], "pp" + long[2:126] + "p" + long[127:]}
+    near = {a: sorted(b for b in words if len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1) for a in words}
+    want = set()
+    for a in words:
+        level, seen = {a: (a,)}, {a}
+        for h in range(1, most + 1):
+            new = {}
+            for x, p in level.items():
+                for y in near[x]:
+                    if y not in seen:
+                        new[y] = min(new.get(y, (chr(0x10FFFF),)), (*p, y))
+            seen, level = seen | set(new), new
+            want |= {(a, b, h, p) for b, p in new.items() if h >= max(least, 1)}
+    w = spark.createDataFrame([(x,) for x in [*words, *words, "", None]], "w string")
+    got = [(x["source"], x["target"], x["hops"], tuple(x["path"])) for x in settlement.word_ladders(w, "w", least, most).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def vectors(n, seed, groups=0):
     g = np.random.default_rng(seed)
     x = g.normal(size=(n, 16)) + (g.normal(size=(groups, 16)) * 6)[g.integers(0, groups, n)] if groups else g.normal(size=(n, 16))
